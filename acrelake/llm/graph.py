@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrelake.llm.common import maybe_broadcast, written
@@ -41,10 +41,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def link_buckets(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Components (id, component) over all verified links between ids that share a bucket.
 
-    ``keyed`` is a written table (key, id); ``verify`` maps distinct candidate pairs (a, b), a < b, to those
+    ``keyed`` is a written table (key, id), or (key, id, sketch) with ``near``, a necessary condition on two sketches that
+    the joins inside buckets apply at once; ``verify`` maps distinct candidate pairs (a, b), a < b, to those
     that are links. First every member is tried against its bucket's smallest one, which is linear in the
     bucket. Then only buckets that still hold several components are looked at, and only pairs between members
     outside the bucket's largest component and members of another component are tried, so a large group of
@@ -54,22 +55,24 @@ def link_buckets(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
     sizes = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     sizes = written(sizes, "buckets")
     many = written(sizes.where("n > 2").select("key", "lo"), "buckets")
-    members = written(keyed.join(maybe_broadcast(many), "key").select("key", "lo", "id").distinct(), "members")
+    extra = ["sketch"] if near else []
+    members = written(keyed.join(maybe_broadcast(many), "key").select("key", "lo", "id", *extra).distinct(), "members")
     star = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     star = star.union(members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
     first = written(verify(written(star.distinct(), "star")), "links")
     label = connected_components(first)
 
-    named = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    named = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), *extra)
     per = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     main = written(main.select("key", F.col("top.component").alias("main")), "main")
     if main.isEmpty():
         return label
     open_ = written(named.join(maybe_broadcast(main), "key"), "open")
-    left = open_.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    right = open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-    rest = left.join(right, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = open_.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), *[F.col(e).alias("sx") for e in extra])
+    right = open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), *[F.col(e).alias("sy") for e in extra])
+    apart = F.expr("cx <> cy")
+    rest = left.join(right, "key").where(apart & near(F.col("sx"), F.col("sy")) if near else apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = rest.join(written(star.distinct(), "tried"), ["a", "b"], "left_anti")
     more = written(verify(written(rest, "rest")), "links")
     return label if more.isEmpty() else connected_components(first.union(more))

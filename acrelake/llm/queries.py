@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrelake.llm import bpe, license_scan, mcd, pii_crf, secret_markov
+from acrelake.llm import bpe, fuzzy_lines, license_scan, mcd, minhash_tensor, pii_crf, secret_markov
 from acrelake.llm.common import sha256_joined, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -45,6 +45,15 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[_kind_count("base", k) for k in secret_markov.KINDS], sha256_joined(_listed("base")).alias("base_sha256"), F.array_join(_listed("spans"), ",").alias("spans"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_tensor.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fuzzy_lines.with_counts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mcd.quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -55,7 +64,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Exact: all pairs that share a shingle, then the closure of the links.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+c AS (SELECT s, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
+e AS (SELECT rep, len(s) AS n, unnest(s) AS sh FROM c),
+l AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.sh = b.sh AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS v, rep AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.v),
+m AS (SELECT v, min(root) AS component_id FROM r GROUP BY v)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN c ON list_sort(s.s) = c.s AND len(s.s) > 0 LEFT JOIN m ON m.v = c.rep
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_near_duplicates": OP5_SQL}
