@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,8 +61,15 @@ def maybe_broadcast(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-cases A-Z alone."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-cases A-Z alone; the cheap function serves wherever all characters are ASCII."""
+    spelled = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(spelled)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` computed once. A plain column that a lambda uses is put in its place by the optimizer
+    when projections collapse, and then computed anew for each element."""
+    return F.transform(F.array(value), body)[0]
 
 
 def sha256_joined(items: Column, sep: str = ",") -> Column:

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrelake.llm import bpe, fuzzy_lines, license_scan, mcd, minhash_tensor, pii_crf, secret_markov
-from acrelake.llm.common import sha256_joined, table
+from acrelake.llm import bpe, collinear, fuzzy_lines, license_scan, mcd, minhash_tensor, pii_crf, secret_markov, separator_scan, winnow
+from acrelake.llm.common import scratch_path, sha256_joined, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -49,6 +49,22 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_tensor.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as flat token files in the shared folder, and their token counts by scanning those."""
+    ids = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    out = separator_scan.count_tokens(ids, scratch_path(spark, "flat"), separator=50_256)
+    return out.select("doc_id", "n_tokens")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256_joined(F.col("items")).alias("items_sha256"), winnow.contaminated().alias("contaminated"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collinear.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fuzzy_lines.with_counts(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
@@ -65,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
@@ -85,4 +104,19 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_
 FROM s LEFT JOIN c ON list_sort(s.s) = c.s AND len(s.s) > 0 LEFT JOIN m ON m.v = c.rep
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_near_duplicates": OP5_SQL}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, least(13, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i : i + least(13, len(w)) - 1], ' '))) AS t FROM b WHERE len(w) > 0),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS t FROM d, ns WHERE len(w) >= n),
+m AS (SELECT DISTINCT dw.doc_id, dw.n, dw.s, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.t = bw.t),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list_distinct(list(item_id::VARCHAR))) AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_near_duplicates": OP5_SQL, "op7_decontamination": OP7_SQL}
