@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def link_buckets(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Components (id, component) over all verified links between ids that share a bucket.
 
-    ``keyed`` is a written table (key, id), or (key, id, sketch) with ``near``, a necessary condition on two sketches that
+    ``keyed`` has rows (key, id), cheap to compute, or (key, id, sketch) with ``near``, a necessary condition on two sketches that
     the joins inside buckets apply at once; ``verify`` maps distinct candidate pairs (a, b), a < b, to those
     that are links. First every member is tried against its bucket's smallest one, which is linear in the
     bucket. Then only buckets that still hold several components are looked at, and only pairs between members
