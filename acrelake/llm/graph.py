@@ -41,41 +41,54 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def link_buckets(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def link_buckets(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None, rounds: int = 2) -> DataFrame:
     """Components (id, component) over all verified links between ids that share a bucket.
 
-    ``keyed`` has rows (key, id), cheap to compute, or (key, id, sketch) with ``near``, a necessary condition on two sketches that
-    the joins inside buckets apply at once; ``verify`` maps distinct candidate pairs (a, b), a < b, to those
-    that are links. First every member is tried against its bucket's smallest one, which is linear in the
-    bucket. Then only buckets that still hold several components are looked at, and only pairs between members
-    outside the bucket's largest component and members of another component are tried, so a large group of
-    copies costs its size and no link between components is missed: a pair inside one component can't change
-    the result, every other pair of a bucket is verified.
+    ``keyed`` has rows (key, id), cheap to compute; ``verify`` maps distinct candidate pairs (a, b), a < b, to those that are
+    links. First every member is tried against its bucket's smallest one, which is linear in the bucket. Then only buckets
+    that still hold several components are looked at: for some rounds, members outside the bucket's largest component are tried
+    against one other member of it. What is left is tried in full, each such member against every member of another
+    component, so a large group of copies costs its size and no link between components is missed: a pair inside one component
+    can't change the result, every other pair of a bucket is verified. With ``sketches`` (id, sketch), ``near`` is a necessary
+    condition on two sketches that the last join applies at once.
     """
     sizes = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     sizes = written(sizes, "buckets")
     many = written(sizes.where("n > 2").select("key", "lo"), "buckets")
-    extra = ["sketch"] if near else []
-    members = written(keyed.join(maybe_broadcast(many), "key").select("key", "lo", "id", *extra).distinct(), "members")
+    members = written(keyed.join(maybe_broadcast(many), "key").select("key", "lo", "id").distinct(), "members")
     star = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     star = star.union(members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
-    first = written(verify(written(star.distinct(), "star")), "links")
-    label = connected_components(first)
-
-    named = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), *extra)
-    per = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    main = written(main.select("key", F.col("top.component").alias("main")), "main")
-    if main.isEmpty():
-        return label
-    open_ = written(named.join(maybe_broadcast(main), "key"), "open")
-    left = open_.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), *[F.col(e).alias("sx") for e in extra])
-    right = open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), *[F.col(e).alias("sy") for e in extra])
-    apart = F.expr("cx <> cy")
-    rest = left.join(right, "key").where(apart & near(F.col("sx"), F.col("sy")) if near else apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = rest.join(written(star.distinct(), "tried"), ["a", "b"], "left_anti")
-    more = written(verify(written(rest, "rest")), "links")
-    return label if more.isEmpty() else connected_components(first.union(more))
+    tried = written(star.distinct(), "star")
+    links = written(verify(tried), "links")
+    label = connected_components(links)
+    for turn in range(rounds + 1):
+        named = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        per = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+        main = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        main = written(main.select("key", F.col("top.component").alias("main")), "main")
+        if main.isEmpty():
+            break
+        open_ = written(named.join(maybe_broadcast(main), "key"), "open")
+        if turn < rounds:
+            order = F.struct(F.xxhash64("id", F.col("key") % 8, F.lit(turn)).alias("h"), F.col("id").alias("y"))
+            chosen = open_.where("component = main").groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.y").alias("y"))
+            pairs = open_.where("component <> main").select("key", F.col("id").alias("x")).join(chosen, "key")
+        else:
+            extra = []
+            if sketches is not None:
+                open_, extra = open_.join(sketches, "id"), ["sketch"]
+            left = open_.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), *[F.col(e).alias("sx") for e in extra])
+            right = open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), *[F.col(e).alias("sy") for e in extra])
+            apart = F.expr("cx <> cy")
+            pairs = left.join(right, "key").where(apart & near(F.col("sx"), F.col("sy")) if extra else apart)
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        more = written(verify(pairs), "links")
+        tried = tried.union(pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            label = connected_components(links)
+    return label
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
