@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 _SAFE = re.compile(r"(?<=\w)(?= )")
 #: A piece holds at least so many characters; the value only bounds the encoder's memory.
 PIECE_CHARS = 1 << 16
+#: Workers hand on their results in parts made from about so many bytes.
+PART_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -54,14 +57,31 @@ def encode_text(enc: tiktoken.Encoding, text: str | None, size: int = PIECE_CHAR
     return [i for piece in pieces(text, size) for i in enc.encode_ordinary(piece)]
 
 
+def _parts(batch: pa.RecordBatch, column: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``most`` bytes of ``column``, one row at least, so that what a worker holds is bounded."""
+    offsets = batch.column(column).offsets if pa.types.is_list(batch.column(column).type) else None
+    sizes = np.diff(offsets.to_numpy()) * 4 if offsets is not None else np.array([len(x.as_buffer() or b"") if x.is_valid else 0 for x in batch.column(column)])
+    start, total = 0, 0
+    for row, n in enumerate(sizes.tolist()):
+        if row > start and total + n > most:
+            yield batch.slice(start, row - start)
+            start, total = row, 0
+        total += n
+    if len(sizes):
+        yield batch.slice(start)
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, ids array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            ids = pa.array([encode_text(enc, t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
+            for part in _parts(batch, 1):
+                rows = [np.array(encode_text(enc, t.as_py()), np.int32) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_col, "ids"])
 
     rows = docs.select(id_col, docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, ids array<int>")
@@ -73,8 +93,9 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            raw = pa.array([enc.decode_bytes(i) if i else b"" for i in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw], [id_col, "ids", "raw"])
+            for part in _parts(batch, 1):
+                raw = pa.array([enc.decode_bytes(i.as_py() or []) for i in part.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), raw], [id_col, "ids", "raw"])
 
     rows = tokens.select(id_col, tokens[ids_col].alias("ids"))
     return rows.mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, ids array<int>, raw binary")
