@@ -112,4 +112,5 @@ def count_tokens(tokens: DataFrame, folder: str, separator: int, id_col: str = "
     if manifest.isEmpty():
         return manifest.selectExpr("*", "0L AS start", "0L AS n_tokens")
     found = scan_tokens(manifest.sparkSession, f"{folder}/tokens", separator, dtype, block)
-    return manifest.join(found, ["file", "place"]).select(id_col, "file", "place", "start", "n_tokens")
+    # the manifest packs into small files, from which its rows would be taken for few and broadcast
+    return manifest.hint("merge").join(found, ["file", "place"]).select(id_col, "file", "place", "start", "n_tokens")
