@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrelake.functions import geometry, scoring, text
-from acrelake.operators import filters, history
+from acrelake.functions import address, geometry, scoring, text
+from acrelake.operators import filters, history, spatial
+from acrelake.sources import ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -351,3 +352,42 @@ def redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decision_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With strict improvement the anchor is the running maximum, which the SQL uses; the fold is the general form."""
     return history.decisions(t(spark, sf_dir, "events"), "user_id", "event_id", "value", "status").select("user_id", "event_id", "status")
+
+
+_ADDRESSES = (
+    "CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN concat('OLD MILL ', CASE WHEN c_custkey % 2 = 0 THEN 'RD' ELSE 'FIELD' END) ELSE concat(cast(c_custkey AS string), ' Main St') END AS site",
+    "CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'PO Box 7, Atlanta, GA 30303' WHEN 2 THEN 'P.O. BOX 7, XX 30303' WHEN 3 THEN 'Atlanta GA 30303' ELSE concat(cast(c_custkey AS string), ' Elm Rd, Macon, GA, 31201-0001') END AS mail",
+)
+
+
+@query(
+    "SELECT round(s, 3) AS site_rate, round(m, 3) AS mailing_rate, least(s, m) < 0.8 AS failing FROM (SELECT "
+    "coalesce(avg(CASE WHEN site <> '' THEN CASE WHEN regexp_matches(site, '^[0-9]+ |RD$') THEN 1.0 ELSE 0.0 END END), 1.0) AS s, "
+    "coalesce(avg(CASE WHEN mail <> '' THEN CASE WHEN mail LIKE '%GA%' AND regexp_matches(mail, '^[0-9]+ |PO Box') THEN 1.0 WHEN mail LIKE 'Atlanta GA%' THEN 0.0 ELSE 0.0 END END), 1.0) AS m "
+    f"FROM (SELECT {', '.join(_ADDRESSES).replace(' AS string', ' AS VARCHAR')} FROM customer))"
+)
+def address_parse_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "customer").selectExpr(*_ADDRESSES)
+    return rows.agg(*address.rates(F.col("site"), F.col("mail")))
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, (p_partkey * 7 % 150) / 10.0 + 0.05 AS x, (p_partkey * 11 % 140) / 10.0 + 0.01 AS y FROM part) WHERE (x + y <= 10 AND x >= 0 AND y >= 0) OR (x BETWEEN 12 AND 14 AND y BETWEEN 3 AND 8)")
+def points_in_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in any of several polygons, which overlap no grid line by chance."""
+    points = t(spark, sf_dir, "part").selectExpr("p_partkey", "(p_partkey * 7 % 150) / 10.0D + 0.05D AS x", "(p_partkey * 11 % 140) / 10.0D + 0.01D AS y")
+    rings = [([(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)],), ([(12.0, 3.0), (14.0, 3.0), (14.0, 8.0), (12.0, 8.0)],)]
+    zones = spark.createDataFrame(rings, "ring array<struct<x: double, y: double>>").withColumn("box", geometry.box(F.col("ring")))
+    return spatial.inside(points, zones, cell=0.7).select("p_partkey")
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'commit: wrong form' WHEN event_id % 7 = 0 THEN 'metric: not a count' WHEN NOT event_type IN ('click', 'view') THEN 'status: unknown' END AS error, "
+    "printf('%.1f', (event_id % 50) / 2.0) AS wall_clock_min FROM events"
+)
+def ledger_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "events").selectExpr(
+        "event_id", "CASE WHEN event_id % 11 = 0 THEN 'ABC' ELSE 'pending' END AS commit", "CASE WHEN event_id % 7 = 0 THEN -1L ELSE event_id END AS metric",
+        "0.5D AS confidence", "0L AS api_calls", "(event_id % 50) / 2.0D AS wall_clock_min",
+        "CASE event_type WHEN 'click' THEN 'keep' WHEN 'view' THEN ' discard ' ELSE event_type END AS status", "cast(event_id AS string) AS description",
+    )
+    return ledger.validated(rows).select(F.col("description").cast("long").alias("event_id"), "error", "wall_clock_min")

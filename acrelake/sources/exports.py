@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,17 +19,27 @@ class Field:
     least: float | None = None
     above: float | None = None
     most: float | None = None
+    #: The header may lack it; such files give nulls.
+    optional: bool = False
 
 
 @dataclass(frozen=True)
 class ExportSpec:
     name: str
     pattern: str
+    #: In the order in which they are checked.
     fields: tuple[Field, ...]
+    #: Their order in files without a header to go by; that of the checks if empty.
+    layout: tuple[str, ...] = ()
 
     @property
     def columns(self) -> list[str]:
-        return [f.name for f in self.fields]
+        return list(self.layout) or [f.name for f in self.fields]
+
+    @property
+    def needed(self) -> list[str]:
+        spare = {f.name for f in self.fields if f.optional}
+        return [c for c in self.columns if c not in spare]
 
 
 SUBMARKET_STATS = ExportSpec(
@@ -50,7 +61,43 @@ LAND_SALES = ExportSpec(
         Field("seller_name"), Field("zoning"), Field("intended_use"), Field("cap_rate", "double"),
     ),
 )
-SPECS = {s.name: s for s in (SUBMARKET_STATS, LAND_SALES)}
+BUILDING_SALES = ExportSpec(
+    "building_sales_comps",
+    r"building_sales_comps_([0-9]{6})\.csv",
+    (
+        Field("address", required=True), Field("submarket", required=True), Field("sale_date", "date", True), Field("sale_price", "long", True, above=0),
+        Field("building_sf", "double", True, above=0), Field("price_psf", "double"), Field("cap_rate", "double"),
+        Field("year_built", "long", least=1850, most=datetime.date.today().year + 2), Field("clear_height_ft", "double", least=8, most=80),
+        Field("noi_at_sale"), Field("buyer_name"), Field("seller_name"), Field("tenant_at_sale"), Field("lease_term_remaining_years"),
+    ),
+    ("address", "submarket", "building_sf", "year_built", "clear_height_ft", "sale_date", "sale_price", "price_psf", "cap_rate", "noi_at_sale",
+     "buyer_name", "seller_name", "tenant_at_sale", "lease_term_remaining_years"),
+)
+LEASING = ExportSpec(
+    "leasing_comps",
+    r"leasing_comps_([0-9]{6})\.csv",
+    (
+        Field("address", required=True), Field("submarket", required=True), Field("tenant_name", required=True), Field("lease_start_date", "date", True),
+        Field("lease_term_months", "long", True, above=0), Field("building_sf_leased", "double", True, above=0),
+        Field("starting_rent_psf_nnn", "double", True, above=0), Field("rent_escalation_pct", "double"), Field("naics_code", "digits", optional=True),
+        Field("tenant_industry"), Field("lease_type"),
+    ),
+    ("address", "submarket", "tenant_name", "tenant_industry", "lease_start_date", "lease_term_months", "building_sf_leased", "starting_rent_psf_nnn",
+     "rent_escalation_pct", "lease_type", "naics_code"),
+)
+LAND_LISTINGS = ExportSpec(
+    "land_listings",
+    r"land_listings_([0-9]{8})\.csv",
+    (
+        Field("address", required=True), Field("submarket", required=True), Field("listing_date", "date", True), Field("acres", "double", True, above=0),
+        Field("asking_price", "long", above=0), Field("asking_price_per_acre", "double", above=0), Field("days_on_market", "long", least=0),
+        Field("parcel_id"), Field("county"), Field("zoning"), Field("topography_notes"), Field("listing_broker"), Field("listing_broker_firm"),
+        Field("utilities_status"), Field("entitlement_status"),
+    ),
+    ("address", "parcel_id", "county", "submarket", "acres", "zoning", "topography_notes", "asking_price", "asking_price_per_acre", "listing_date",
+     "days_on_market", "listing_broker", "listing_broker_firm", "utilities_status", "entitlement_status"),
+)
+SPECS = {s.name: s for s in (SUBMARKET_STATS, LAND_SALES, BUILDING_SALES, LEASING, LAND_LISTINGS)}
 
 
 def header_errors(header: list[str], spec: ExportSpec) -> list[str]:
@@ -58,7 +105,7 @@ def header_errors(header: list[str], spec: ExportSpec) -> list[str]:
     if not any(names):
         return ["empty header"]
     twice = sorted({n for n in names if names.count(n) > 1})
-    missing = [c for c in spec.columns if c not in names]
+    missing = [c for c in spec.needed if c not in names]
     return [f"duplicate column {n}" for n in twice] + [f"missing column {c}" for c in missing]
 
 
@@ -76,6 +123,8 @@ def _parsed(c: Column, f: Field) -> tuple[Column, list[Column]]:
     bare = F.nullif(text.strip(c), F.lit(""))
     if f.kind == "string":
         return bare, [F.when(bare.isNull(), f"{f.name}: required")] if f.required else []
+    if f.kind == "digits":
+        return bare, [F.when(~bare.rlike("^[0-9]+$"), f"{f.name}: not all digits")]
     if f.kind == "date":
         value, bad = text.date(c), bare.isNotNull() & text.date(c).isNull()
     else:
@@ -101,4 +150,6 @@ def read_export(spark: SparkSession, path: str, spec: ExportSpec) -> DataFrame:
         raise ValueError("; ".join(errors))
     raw = spark.read.option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE").csv(path)
     raw = raw.toDF(*[c.removeprefix("﻿").strip().lower() for c in raw.columns]).na.drop("all")
+    for c in set(spec.columns) - set(raw.columns):
+        raw = raw.withColumn(c, F.lit(None).cast("string"))
     return validated(raw, spec)

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from acrelake.functions import geometry, scoring, text
-from acrelake.operators import history
-from acrelake.sources import exports
+from acrelake.operators import history, spatial
+from acrelake.sources import exports, ledger, polygons
 from acrelake.streaming import pickup
 
 HEADER = ",".join(exports.SUBMARKET_STATS.columns)
@@ -62,3 +62,41 @@ def test_rings(spark):
 def test_owner_words(spark):
     df = spark.createDataFrame([("TRUMP LTD",), ("Jane TR ",), ("Trump",), (None,)], "n string")
     assert [r[0] for r in df.select(text.owner_type(F.col("n"))).collect()] == ["llc", "trust", "individual", "unknown"]
+
+
+def test_other_exports(spark, tmp_path):
+    spec = exports.LEASING
+    head = [c for c in spec.columns if c != "naics_code"]
+    row = {c: "x" for c in head} | {"lease_start_date": "2026-01-02", "lease_term_months": "60", "building_sf_leased": "1,000.5", "starting_rent_psf_nnn": "$9", "rent_escalation_pct": ""}
+    late = row | {"lease_term_months": "0"}
+    (tmp_path / "a.csv").write_text("\n".join([",".join(head)] + [",".join(f'"{r[c]}"' for c in head) for r in (row, late)]) + "\n")
+    got = exports.read_export(spark, str(tmp_path / "a.csv"), spec).collect()
+    assert [(r.error, r.lease_term_months, r.naics_code) for r in got] == [(None, 60, None), ("lease_term_months: out of range", 0, None)]
+    assert got[0].building_sf_leased == 1000.5
+    for s in exports.SPECS.values():
+        assert sorted(s.columns) == sorted(f.name for f in s.fields)
+        assert exports.header_errors(s.needed, s) == []
+
+
+def test_polygons(spark, tmp_path):
+    square = [[[0, 0], [4, 0], [4, 4], [0, 4]], [[1, 1], [2, 1], [2, 2]]]
+    features = [{"type": "Feature", "geometry": {"type": k, "coordinates": c}, "properties": {"id": "z"}} for k, c in (("Polygon", square), ("Point", [1, 2]), ("Polygon", []))]
+    import json
+
+    (tmp_path / "z.json").write_text(json.dumps({"type": "FeatureCollection", "features": features + [{"type": "Feature", "geometry": None}]}, indent=1))
+    zones = polygons.read_polygons(spark, str(tmp_path / "z.json"))
+    assert [(len(r.ring), r.box.x1, r.properties["id"]) for r in zones.collect()] == [(4, 4.0, "z")]
+    points = spark.createDataFrame([(1, 1.5, 1.2), (2, 5.0, 1.0), (3, None, 1.0)], "id int, x double, y double")
+    assert [r.id for r in spatial.inside(points, zones.union(zones)).collect()] == [1]
+
+
+def test_ledger(spark, tmp_path):
+    rows = spark.createDataFrame([("abcdef0", 3, 0.5, None, 1.25, "keep", " a\tb\n" + "c" * 300)], "commit string, metric long, confidence double, api_calls long, wall_clock_min double, status string, description string")
+    where = str(tmp_path / "log")
+    ledger.append(rows, where)
+    (tmp_path / "log" / "more.csv").write_text("pending\t1\t0.10\n" + "pending\t1\t0.10\t0\t0.0\tbaseline\t\n" + "a\tb\tc\td\te\tf\tg\th\n")
+    got = sorted(ledger.read_ledger(spark, where).collect())
+    assert [(r.commit, r.metric, r.confidence, r.api_calls, r.status) for r in got] == [("abcdef0", "3", "0.50", "0", "keep"), ("pending", "1", "0.10", "0", "baseline")]
+    assert got[0].description.startswith("a b ccc") and got[0].description.endswith("c…") and len(got[0].description) == 200
+    with pytest.raises(ValueError, match="status"):
+        ledger.append(rows.withColumn("status", F.lit("done")), where)
