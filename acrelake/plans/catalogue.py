@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acrelake.functions import address, geometry, scoring, text
-from acrelake.operators import filters, history, spatial
+from acrelake.operators import filters, health, history, spatial
 from acrelake.sources import ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -391,3 +391,12 @@ def ledger_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE event_type WHEN 'click' THEN 'keep' WHEN 'view' THEN ' discard ' ELSE event_type END AS status", "cast(event_id AS string) AS description",
     )
     return ledger.validated(rows).select(F.col("description").cast("long").alias("event_id"), "error", "wall_clock_min")
+
+
+@query(
+    "SELECT user_id AS source, CASE WHEN bool_or(event_type = 'error' AND bad) THEN 'failing' WHEN bool_or(bad) THEN 'degraded' ELSE 'healthy' END AS health, "
+    "coalesce(string_agg(DISTINCT CASE WHEN bad THEN event_type END, ',' ORDER BY CASE WHEN bad THEN event_type END), '') AS failed FROM (SELECT user_id, event_type, event_id % 23 = 0 AS bad FROM events) GROUP BY user_id"
+)
+def health_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = t(spark, sf_dir, "events").selectExpr("user_id AS source", "event_type AS check", "CASE WHEN event_id % 23 = 0 THEN 'fail' ELSE 'pass' END AS status")
+    return health.roll_up(checks, ["error"])
