@@ -157,6 +157,38 @@ def test_line_simhash_and_pigeonhole(spark):
     assert all((0, i) in met for i in range(len(flips)))
 
 
+def changed(rng, line, n):
+    """``line`` with n letters replaced at places of their own."""
+    chars = list(line)
+    for i in rng.sample([i for i, c in enumerate(chars) if c != " "], n):
+        chars[i] = "q" if chars[i] != "q" else "z"
+    return "".join(chars)
+
+
+def test_line_dedup_finds_copies_at_edit_similarity(spark):
+    """Planted copies go, by line length and share of edited letters; different lines of the same words stay."""
+    rng, docs, planted = random.Random(11), [], {}
+    for n in (1, 3, 5, 10, 15, 25, 50, 100, 200):
+        for rate in (0.0, 0.02, 0.05, 0.1):
+            for _ in range(20):
+                line = " ".join(w.replace("é", "e") for w in words(rng, n)) if n > 1 else "".join(rng.choice("abcdefghijk") for _ in range(30))
+                edits = max(1, int(rate * len(line)))
+                if edits <= len(line) // 10:
+                    planted[len(docs)] = (n, rate)
+                    docs += [(2 * len(docs), line), (2 * len(docs) + 1, changed(rng, line, edits))]
+    own = [(10**6 + i, " ".join(words(rng, 30))) for i in range(200)]
+    df = spark.createDataFrame(docs + own, "doc_id long, text string")
+    gone = {r.doc_id: r._n_removed for r in fuzzy_lines.with_counts(df).collect()}
+    assert not any(gone[i] for i, _ in own)
+    found = {}
+    for k, kind in planted.items():
+        found.setdefault(kind, []).append(gone[docs[k][0]] + gone[docs[k + 1][0]])
+    share = {kind: sum(x) / len(x) for kind, x in found.items()}
+    print(share)
+    assert all(x == 1 for (n, rate), x in share.items() if rate <= 0.02 or n <= 5), share
+    assert all(x >= 0.9 for (n, rate), x in share.items() if rate <= 0.05), share
+
+
 @pytest.mark.parametrize("name", ["op5_near_duplicates", "op7_decontamination", "op9_line_dedup"])
 def test_empty_tables(spark, tmp_path, name):
     where = table(spark, tmp_path, [])
