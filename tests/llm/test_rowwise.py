@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 
 import pytest
@@ -178,6 +179,19 @@ def test_outliers_keep_clean_rows_and_reject_far_ones(spark):
     assert counts.get((1, True)) == 300 and counts.get((0, True), 0) <= 3
 
 
+def test_outliers_small_groups_and_a_third_of_copies(spark):
+    """Groups of one or two far rows are judged by all rows, small clean groups stay, and a third of far copies goes whole."""
+    rng = random.Random(6)
+    point = lambda *at: tuple(a + rng.gauss(0, 0.1) for a in at)
+    rows = [("en", "big", 0, *point(0, 0, 0)) for _ in range(400)] + [("en", "big", 1, 2.0, 2.0, 2.0)] * 200
+    rows += [("en", "spread", 0, *point(0, 0, 0)) for _ in range(400)] + [("en", "spread", 1, *point(3, 3, 3)) for _ in range(200)]
+    rows += [("de", f"s{i}", 0, *point(0, 0, 0)) for i in range(30) for _ in range(5)]
+    rows += [(None, "one", 1, 3.0, 3.0, 3.0)] + [("fr", "two", 1, 3.0, 3.0, 3.0)] * 2
+    df = spark.createDataFrame(rows, "lang string, source string, bad int, x double, y double, z double")
+    out = mcd.robust_outliers(df, {"x": 0.1, "y": 0.1, "z": 0.1}).groupBy("bad", "outlier").count().collect()
+    assert {(r.bad, r.outlier): r["count"] for r in out} == {(0, False): 950, (1, True): 403}
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("op1_pii", "op2_licenses", "op3_bpe", "op4_secrets", "op10_quality"):
