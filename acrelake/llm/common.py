@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of key rows that may be broadcast; a row of keys takes at most a few dozen bytes.
+#: Largest number of rows, and of bytes of their files, that may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,20 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and all runs on this machine (tests), one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="acrelake-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's file system closes."""
     path = f"{shared_dir(spark)}/acrelake/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, store = _hadoop(spark, path)
+    store.deleteOnExit(target)
     return path
 
 
@@ -41,24 +48,24 @@ def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`written` once nothing needs it."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(conf).delete(target, True)
-
+def drop_written(*tables: DataFrame) -> None:
+    """Remove the files of tables made by :func:`written` that nothing needs any more."""
+    for df in tables:
+        target, store = _hadoop(df.sparkSession, df._scratch)
+        store.delete(target, True)
 
-def maybe_broadcast(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``keys`` only after counting that they are few; beyond that a shuffle join is planned.
 
-    Call it with written tables: counting them reads file footers only.
-    """
-    return F.broadcast(keys) if keys.count() <= limit else keys
+def maybe_broadcast(keys: DataFrame) -> DataFrame:
+    """Broadcast ``keys``, a table made by :func:`written`, only if its rows (counted from file footers) and the bytes of its files
+    are few; beyond that a shuffle join is planned."""
+    target, store = _hadoop(keys.sparkSession, keys._scratch)
+    small = store.getContentSummary(target).getLength() <= BROADCAST_BYTES and keys.count() <= BROADCAST_ROWS
+    return F.broadcast(keys) if small else keys
 
 
 def ascii_lower(c: Column) -> Column:

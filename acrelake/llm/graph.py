@@ -1,93 +1,96 @@
 """Connected components and linking inside buckets, DataFrame operations only.
 
-Nothing here reaches the driver but row counts.
+Nothing here reaches the driver but row counts, and every table is removed once nothing needs it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrelake.llm.common import maybe_broadcast, written
+from acrelake.llm.common import drop_written, maybe_broadcast, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (id, component) for every vertex of ``edges`` (a, b); component is the smallest id reachable.
 
-    Rounds of hooking and contraction: each vertex points to its smallest neighbour, pointer doubling
-    turns the pointers into roots, and the edges are rewritten between roots. Every round at least
-    halves the vertices that are left. Empty edges give an empty result; loops are kept as single vertices.
+    Rounds of hooking and contraction: each vertex points to its smallest neighbour, the pointers are doubled twice, and edges and
+    labels are rewritten to where they point. As pointers only go down inside a component, its smallest vertex is what stays.
+    Empty edges give an empty result; loops are kept as single vertices.
     """
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
-    edges = edges.where("a <> b")
-    while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    open_ = edges.where("a <> b")
+    while not open_.isEmpty():
+        both = open_.union(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p")), "parent")
-        while True:
-            up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            jumped = written(parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("q"), (F.col("pp") < F.col("p")).alias("moved")), "parent")
-            parent = jumped.select("v", F.col("q").alias("p"))
-            if jumped.where("moved").isEmpty():
-                break
-        to = parent.select(F.col("v").alias("component"), F.col("p").alias("root"))
-        labels = written(labels.join(to, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
-        end_a = parent.select(F.col("v").alias("a"), F.col("p").alias("ra"))
-        end_b = parent.select(F.col("v").alias("b"), F.col("p").alias("rb"))
-        edges = edges.join(end_a, "a").join(end_b, "b").where("ra <> rb")
-        edges = written(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        jumped = parent
+        for _ in range(2):
+            jumped = jumped.join(jumped.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p"))
+        to = written(jumped, "jumped")
+        moved = labels.join(to.select(F.col("v").alias("component"), F.col("p").alias("root")), "component", "left")
+        after = written(moved.select("id", F.coalesce("root", "component").alias("component")), "labels")
+        ends = [to.select(F.col("v").alias(c), F.col("p").alias(f"r{c}")) for c in "ab"]
+        left = open_.join(ends[0], "a").join(ends[1], "b").where("ra <> rb")
+        left = written(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        drop_written(edges, labels, parent, to)
+        edges, labels, open_ = left, after, left
+    drop_written(edges)
     return labels
 
 
-def link_buckets(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None, rounds: int = 2) -> DataFrame:
-    """Components (id, component) over all verified links between ids that share a bucket.
+def link_buckets(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], rounds: int = 1) -> DataFrame:
+    """Components (id, component) over the links between ids that share a bucket.
 
-    ``keyed`` has rows (key, id), cheap to compute; ``verify`` maps distinct candidate pairs (a, b), a < b, to those that are
-    links. First every member is tried against its bucket's smallest one, which is linear in the bucket. Then only buckets
+    ``keyed`` has rows (key, id); ``verify`` maps distinct candidate pairs (a, b), a < b, to a written table of those that are links.
+    First every member is tried against its bucket's smallest one, which is linear in the bucket. Then only buckets
     that still hold several components are looked at: for some rounds, members outside the bucket's largest component are tried
-    against one other member of it. What is left is tried in full, each such member against every member of another
-    component, so a large group of copies costs its size and no link between components is missed: a pair inside one component
-    can't change the result, every other pair of a bucket is verified. With ``sketches`` (id, sketch), ``near`` is a necessary
-    condition on two sketches that the last join applies at once.
+    against one of them, so that a second family in a bucket costs its size too. ``rest`` gets what is left, rows (key, id,
+    component, main, n) of buckets with several components, and returns the links between them as a written table.
     """
-    sizes = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    sizes = written(sizes, "buckets")
-    many = written(sizes.where("n > 2").select("key", "lo"), "buckets")
+    sizes = written(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi"), "buckets")
+    many = written(sizes.where("n > 2").select("key", "lo"), "many")
     members = written(keyed.join(maybe_broadcast(many), "key").select("key", "lo", "id").distinct(), "members")
     star = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    star = star.union(members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
-    tried = written(star.distinct(), "star")
-    links = written(verify(tried), "links")
-    label = connected_components(links)
+    tried = written(star.union(members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))).distinct(), "star")
+    drop_written(sizes, many)
+    done = [tried]
+    links = [verify(tried)]
+    label = connected_components(links[0])
     for turn in range(rounds + 1):
         named = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         per = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-        main = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        main = written(main.select("key", F.col("top.component").alias("main")), "main")
-        if main.isEmpty():
-            break
+        main = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+        main = written(main.select("key", "n", F.col("top.component").alias("main")), "main")
         open_ = written(named.join(maybe_broadcast(main), "key"), "open")
-        if turn < rounds:
-            order = F.struct(F.xxhash64("id", F.col("key") % 8, F.lit(turn)).alias("h"), F.col("id").alias("y"))
-            chosen = open_.where("component = main").groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.y").alias("y"))
-            pairs = open_.where("component <> main").select("key", F.col("id").alias("x")).join(chosen, "key")
+        drop_written(main)
+        if open_.isEmpty():
+            drop_written(open_)
+            break
+        if turn == rounds:
+            more = rest(open_)
         else:
-            extra = []
-            if sketches is not None:
-                open_, extra = open_.join(sketches, "id"), ["sketch"]
-            left = open_.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), *[F.col(e).alias("sx") for e in extra])
-            right = open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), *[F.col(e).alias("sy") for e in extra])
-            apart = F.expr("cx <> cy")
-            pairs = left.join(right, "key").where(apart & near(F.col("sx"), F.col("sy")) if extra else apart)
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        more = written(verify(pairs), "links")
-        tried = tried.union(pairs)
-        if not more.isEmpty():
-            links = links.union(more)
-            label = connected_components(links)
+            outside = open_.where("component <> main").select("key", F.col("id").alias("x"))
+            order = F.struct(F.xxhash64("x", F.lit(turn)).alias("h"), F.col("x").alias("y"))
+            pairs = outside.join(outside.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.y").alias("y")), "key").where("x <> y")
+            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            for before in done:
+                pairs = pairs.join(before, ["a", "b"], "left_anti")
+            done.append(written(pairs, "pairs"))
+            more = verify(done[-1])
+        drop_written(open_)
+        if more.isEmpty():
+            drop_written(more)
+            continue
+        links.append(more)
+        every = links[0]
+        for one in links[1:]:
+            every = every.union(one)
+        drop_written(label)
+        label = connected_components(every)
+    drop_written(members, *done, *links)
     return label
 
 
@@ -95,4 +98,3 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     """The rows (key, id) whose key occurs with another id too."""
     busy = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     return keyed.join(maybe_broadcast(written(busy, "busy")), "key", "left_semi")
-

@@ -6,19 +6,27 @@ pair of a hash from the first and one from the second collection: 2 * side * row
 s = 0.75 and over 0.9999 at 0.85 for the defaults.
 
 Texts with equal shingle sets form one class, represented once, so copies cost one row each. Only half keys that
-occur in two classes are paired, which loses no shared table key. Inside a table bucket the work is that of
-``graph.link_buckets``: linear for a large group of near copies. Its last join also asks that two sketches agree on as many
-minhashes as a link at the threshold does but for four standard deviations, which one in 30,000 such links misses.
+occur in two classes are paired, which loses no shared table key. Inside a table bucket every member is tried against one other,
+then members outside the largest component against one of them (``graph.link_buckets``): linear for a large group of near copies.
+
+What is left is exact and needs no pair of members either: each group of buckets has one pivot P, and its members are held as
+their differences from it, R = P - X and A = X - P. As common(X, Y) = P - R(X) - R(Y) + |R(X) & R(Y)| + |A(X) & A(Y)|, with sets
+standing for their sizes, two members are linked only if their differences share so many shingles that v(X) + v(Y), v(X) = R(X) - P / 2 +
+X * num / (num + den), is reached. A member that is linked with P at once joins its component. For others that bound is
+positive, hence their differences meet by a join on the rarest shingles of each (a prefix filter): near copies just below
+the threshold differ from each other by shingles of their own, and never become candidates.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer
 words than the shingle's give one shingle; rows with a null id belong to components like others but can't name them
-(``component_id`` is null, ``kept`` true where no row of the component has an id); repeated rows are copies; extra
-columns are dropped; an empty table gives an empty one.
+(``component_id`` is null, ``kept`` true where no row of the component has an id); repeated rows are copies; ``chosen`` marks the
+one document of a component, its smallest (id, hash of the text), in every row that has both; extra
+columns are dropped; an empty table gives an empty one. Classes are numbered by 64 bits of their 128-bit hash; two of n
+classes fall together with probability n * n / 2 ** 65.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrelake.llm.common import maybe_broadcast, written
+from acrelake.llm.common import drop_written, maybe_broadcast, written
 from acrelake.llm.graph import link_buckets, shared_keys
 
 WORDS = 5
@@ -59,8 +67,8 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(shingles: np.ndarray, side: int, rows: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """2 * side half keys, each of ``rows`` minhashes, by one multiply and shift per minhash; and a byte of each minhash."""
+def signature(shingles: np.ndarray, side: int, rows: int, seed: int = 1) -> np.ndarray:
+    """2 * side half keys, each of ``rows`` minhashes, by one multiply and shift per minhash."""
     rng = np.random.default_rng(seed)
     mult = rng.integers(1, 1 << 63, 2 * side * rows, dtype=np.int64).astype(_U) * _U(2) + _U(1)
     add = rng.integers(0, 1 << 63, 2 * side * rows, dtype=np.int64).astype(_U)
@@ -71,26 +79,24 @@ def signature(shingles: np.ndarray, side: int, rows: int, seed: int = 1) -> tupl
     keys = np.zeros(2 * side, _U)
     for r in range(rows):
         keys = _mix(keys * _U(0x9E3779B97F4A7C15) + low[r::rows] + np.arange(2 * side, dtype=_U))
-    return keys, (low & _U(0xFF)).astype(np.uint8).view(np.int8)
+    return keys
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, side: int = SIDE, rows: int = ROWS) -> DataFrame:
-    """Rows (id, n_shingles, class_id, halves, mins): class_id is a 128-bit hash of the set."""
+    """Rows (id, text_key, n_shingles, class_id, halves): class_id is a 128-bit hash of the set, text_key one of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, classes, halves, mins = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            counts, classes, halves = [], [], []
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, words)
                 counts.append(len(s))
                 classes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys, low = signature(s, side, rows) if len(s) else (None, None)
-                halves.append(keys.view(np.int64) if len(s) else None)
-                mins.append(low)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(halves, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int8()))], [id_col, "n_shingles", "class_id", "halves", "mins"])
+                halves.append(signature(s, side, rows).view(np.int64) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], [id_col, "text_key", "n_shingles", "class_id", "halves"])
 
-    src = docs.select(id_col, docs[text_col].cast("string").alias("text"))
-    return src.mapInArrow(run, f"`{id_col}` {dict(src.dtypes)[id_col]}, n_shingles long, class_id binary, halves array<long>, mins array<tinyint>")
+    src = docs.select(docs[id_col], F.xxhash64(docs[text_col].cast("string")).alias("text_key"), docs[text_col].cast("string").alias("text"))
+    return src.mapInArrow(run, f"`{id_col}` {dict(src.dtypes)[id_col]}, text_key long, n_shingles long, class_id binary, halves array<long>")
 
 
 def full_sets(docs: DataFrame, text_col: str, words: int = WORDS) -> DataFrame:
@@ -105,11 +111,12 @@ def full_sets(docs: DataFrame, text_col: str, words: int = WORDS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, side: int = SIDE, rows: int = ROWS) -> DataFrame:
-    """Rows (id, n_shingles, class_id, component_id, kept) for every row of ``docs``."""
+    """Rows (id, text_key, n_shingles, class_id, component_id, kept, chosen) for every row of ``docs``."""
     num, den = similarity
     base = written(sketches(docs, id_col, text_col, words, side, rows), "sketches")
+    own = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_key"))
     # classes are numbered by a 64-bit hash of it: long keys shuffle and compare far cheaper than binary ones
-    reps = base.where("class_id is not null").groupBy("class_id").agg(F.min(id_col).alias("name"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("mins").alias("sketch"))
+    reps = base.where("class_id is not null").groupBy("class_id").agg(F.min(own).alias("name"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
     reps = written(reps.select("*", F.xxhash64("class_id").alias("id")), "classes")
 
     half = reps.select("id", F.posexplode("halves").alias("place", "h")).select("id", "place", F.col("h").alias("key"))
@@ -117,35 +124,88 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sides = alive.groupBy("id").agg(F.collect_list(F.when(F.col("place") < side, F.struct("place", "key"))).alias("a"), F.collect_list(F.when(F.col("place") >= side, F.struct("place", "key"))).alias("b"))
     pairs = F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a["place"], a["key"], b["place"], b["key"]))))
     keyed = written(sides.select(F.explode(pairs).alias("key"), "id"), "keys")
-
-    sizes = reps.select("id", "n", "class_id")
+    sizes = reps.select("id", "n")
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """A written table (id, shingles) of the classes in the written table ``ids`` (id)."""
+        one = reps.join(maybe_broadcast(ids), "id", "left_semi").select("class_id", "id", F.col("name.id").alias("_id"), F.col("name.text_key").alias("_key"))
+        one = written(one, "texts")
+        wanted = maybe_broadcast(one)
+        some = texts.join(wanted, texts["id"].eqNullSafe(F.col("_id")) & (F.xxhash64(texts["text"]) == F.col("_key")), "left_semi")
+        sets = full_sets(some, "text", words).join(wanted.select("class_id", "id"), "class_id")
+        sets = written(sets.select("id", "shingles").dropDuplicates(["id"]), "sets")
+        drop_written(one)
+        return sets
 
     def verify(candidates: DataFrame) -> DataFrame:
         """Links among candidates, on full sets of just the classes that need them."""
-        one = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("class_id").alias(f"class_{c}"))
-        near = candidates.join(one("a"), "a").join(one("b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-        near = written(near, "near")
-        need = written(near.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct(), "need")
-        ids = base.join(maybe_broadcast(need), "class_id", "left_semi").groupBy("class_id").agg(F.min(id_col).alias("_id"))
-        ids = written(ids.select("_id").distinct(), "texts")
-        some = docs.select(id_col, text_col).join(maybe_broadcast(ids), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-        sets = full_sets(some, text_col, words).join(maybe_broadcast(need), "class_id", "left_semi")
-        sets = written(sets.dropDuplicates(["class_id"]), "sets")
-        left = sets.select(F.col("class_id").alias("class_a"), F.col("shingles").alias("s_a"))
-        right = sets.select(F.col("class_id").alias("class_b"), F.col("shingles").alias("s_b"))
-        both = near.join(left, "class_a").join(right, "class_b")
+        one = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+        near = written(candidates.join(one("a"), "a").join(one("b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")), "near")
+        need = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
+        sets = sets_of(need)
+        both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b")), "b")
         common = F.size(F.array_intersect("s_a", "s_b"))
-        return both.withColumn("common", common).where(den * F.col("common") >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+        links = written(both.withColumn("common", common).where(den * F.col("common") >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"), "links")
+        drop_written(near, need, sets)
+        return links
+
+    def rest(open_: DataFrame) -> DataFrame:
+        return _by_differences(open_, sets_of, num, den)
 
-    # a link at the threshold agrees on num / den of the minhashes; four standard deviations less are let through
-    hashes, p = 2 * side * rows, num / den
-    agree = int(hashes * p - 4 * (hashes * p * (1 - p)) ** 0.5)
-    near = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) >= agree
-    groups = link_buckets(keyed, verify, reps.select("id", "sketch"), near)
+    groups = link_buckets(keyed, verify, rest)
+    drop_written(keyed)
     named = reps.join(groups, "id", "left").select("class_id", "name", F.coalesce("component", "id").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("name").alias("component_id"))
-    placed = named.join(smallest, "component").select("class_id", "component_id")
-    out = base.drop("halves", "mins").join(placed, "class_id", "left")
+    smallest = named.groupBy("component").agg(F.min("name").alias("first"))
+    placed = named.join(smallest, "component").select("class_id", "first")
+    out = base.drop("halves").join(placed, "class_id", "left")
     alone = F.col("class_id").isNull()
-    component = F.when(alone, F.col(id_col)).otherwise(F.col("component_id"))
-    return out.select(id_col, "n_shingles", "class_id", component.alias("component_id"), F.coalesce(F.col(id_col) == component, component.isNull()).alias("kept"))
+    component = F.when(alone, F.col(id_col)).otherwise(F.col("first.id"))
+    kept = F.coalesce(F.col(id_col) == component, component.isNull())
+    return out.select(id_col, "text_key", "n_shingles", "class_id", component.alias("component_id"), kept.alias("kept"), (alone | F.coalesce(own.eqNullSafe(F.col("first")), F.lit(False))).alias("chosen"))
+
+
+def _by_differences(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """The links between components of open buckets, rows (key, id, component, main); a written table (a, b)."""
+    pivots = open_.where("component = main").groupBy("key").agg(F.min("id").alias("p"))
+    # a pair that shares several keys mostly shares the pivot too, and then is met once
+    group = written(open_.join(pivots, "key").select("p", "id", "component").distinct(), "group")
+    ids = written(group.select(F.explode(F.array("p", "id")).alias("id")).distinct(), "ids")
+    sets = sets_of(ids)
+    sides = group.join(sets.select(F.col("id").alias("p"), F.col("shingles").alias("s_p")), "p").join(sets.select("id", F.col("shingles").alias("s_x")), "id")
+    share = num / (num + den)
+    member = sides.select("p", "id", "component", F.size("s_p").alias("np"), F.size("s_x").alias("nx"), F.array_except("s_p", "s_x").alias("r"), F.array_except("s_x", "s_p").alias("a"))
+    member = member.select("p", "id", "component", "np", "nx", F.size("r").alias("nr"), F.concat("r", "a").alias("diff"))
+    # exact in whole numbers: v is num + den times the bound, twice; P's own is -np * (den - num) / 2 and that is its margin
+    v = 2 * (num + den) * F.col("nr") - (num + den) * F.col("np") + 2 * num * F.col("nx")
+    member = written(member.select("p", "id", "component", v.cast("long").alias("v"), ((den - num) * F.col("np")).cast("long").alias("edge"), "diff"), "members")
+    drop_written(group, ids, sets)
+    outside = F.col("v") > F.col("edge")
+    direct = member.where(~outside & (F.col("id") != F.col("p"))).select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
+
+    # the least overlap that a partner beyond, or within, P's reach asks for, and the prefix that can't be without a shared shingle
+    scale = 2 * (num + den)
+    least = lambda margin: F.greatest(F.ceil((F.col("v") + margin) / F.lit(scale)), F.lit(1))
+    prefix = lambda margin: F.greatest(F.size("order") - least(margin) + 1, F.lit(0)).cast("int")
+    flat = member.select("p", "id", F.explode("diff").alias("e"))
+    often = flat.groupBy("p", "e").agg(F.count("*").alias("f"))
+    ordered = flat.join(often, ["p", "e"]).groupBy("p", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("order"))
+    ranked = member.select("p", "id", "component", "v", "edge", outside.alias("out")).join(ordered, ["p", "id"])
+    # partners outside have v over the edge, those inside have v of -edge at least
+    ranked = ranked.select("p", "id", "component", "out", F.expr("order.e").alias("e"), prefix(F.col("edge")).alias("to_out"), F.when(F.col("out"), prefix(-F.col("edge"))).otherwise(0).alias("to_in"))
+    ranked = written(ranked, "ranked")
+    post = lambda size, where: ranked.where(where).select("p", "id", "component", F.explode(F.slice("e", F.lit(1), F.col(size))).alias("e"))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Candidates (p, x, y) of different components; a shingle that one component alone holds gives none."""
+        mixed = left.select("p", "e", "component").union(right.select("p", "e", "component")).groupBy("p", "e").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("p", "e")
+        l, r = left.join(mixed, ["p", "e"], "left_semi").alias("l"), right.alias("r")
+        on = F.expr("l.p = r.p AND l.e = r.e AND l.component <> r.component")
+        return l.join(r, on).select("l.p", F.col("l.id").alias("x"), F.col("r.id").alias("y"))
+
+    pairs = met(post("to_out", "out"), post("to_out", "out")).where("x < y").union(met(post("to_in", "out"), post("to_out", "NOT out"))).distinct()
+    half = lambda c: member.select("p", F.col("id").alias(c), F.col("v").alias(f"v_{c}"), F.col("diff").alias(f"d_{c}"))
+    sure = pairs.join(half("x"), ["p", "x"]).join(half("y"), ["p", "y"]).where(scale * F.size(F.array_intersect("d_x", "d_y")) >= F.col("v_x") + F.col("v_y"))
+    links = written(direct.union(sure.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "links")
+    drop_written(member, ranked)
+    return links

@@ -46,7 +46,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_tensor.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
+    out = minhash_tensor.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fuzzy_lines.with_counts(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc.doc_id", "n_lines", "n_removed", F.sha2("doc.text", 256).alias("text_sha256"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

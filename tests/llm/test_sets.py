@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acrelake.llm import fuzzy_lines, graph, minhash_tensor, queries, winnow
+from acrelake.llm.common import written
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -83,10 +84,43 @@ def test_components_on_chains_and_stars(spark):
 def test_bucket_links_reach_members_that_miss_the_smallest(spark):
     """In one bucket only neighbours link; the smallest member reaches just one of them."""
     keyed = spark.createDataFrame([(7, i) for i in range(40)] + [(8, i) for i in (1, 50)], "key long, id long")
-    got = graph.link_buckets(keyed, lambda p: p.where("b - a = 2 OR b = 50"))
+    verify = lambda p: written(p.where("b - a = 2 OR b = 50"), "links")
+    every = lambda o: verify(o.selectExpr("key", "id AS a").join(o.selectExpr("key", "id AS b"), "key").where("a < b").select("a", "b"))
+    got = graph.link_buckets(keyed, verify, every)
     assert {r.id: r.component for r in got.collect()} == {**{i: i % 2 for i in range(40)}, 50: 1}
 
 
+def test_near_copies_just_below_the_threshold(spark, tmp_path):
+    """Copies of one text, each changed on its own: few of them are links, all of which are found, and those that aren't never meet."""
+    rng, met = random.Random(6), []
+    base = words(rng, 200)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.choice((3, 6, 6, 7, 7, 8))):
+            copy[at] = f"own{rng.randint(0, 40 if i % 9 == 0 else 10**6)}"
+        rows.append((i, " ".join(copy)))
+    family = rows[5][1].split()
+    for i in range(160, 200):
+        copy = list(family)
+        for at in rng.sample(range(200), 6):
+            copy[at] = f"kin{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(196)} for i, t in rows}
+    edges = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in minhash_tensor.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(edges, sets)
+    # the last join alone, from one bucket of single members
+    df = spark.createDataFrame(rows[1:], "doc_id long, text string")
+    ids = [r[0] for r in rows[1:]]
+    open_ = spark.createDataFrame([(1, i, i, ids[0], len(ids)) for i in ids], "key long, id long, component long, main long, n long")
+    lookup = {hash_of: i for i, hash_of in ((i, minhash_tensor.xxhash.xxh3_128_digest(minhash_tensor.shingle_set(t).tobytes())) for i, t in rows[1:])}
+    known = spark.createDataFrame([(bytearray(k), i) for k, i in lookup.items()], "class_id binary, id long")
+    sets_of = lambda wanted: written(minhash_tensor.full_sets(df, "text").join(known, "class_id").join(wanted, "id", "left_semi").select("id", "shingles"), "sets")
+    links = {(r.a, r.b) for r in minhash_tensor._by_differences(open_, sets_of, 75, 100).collect()}
+    assert links <= set(edges) and components(links, ids) == components([e for e in edges if e[0]], ids)
+
+
 def test_decontamination(spark, tmp_path):
     rng = random.Random(5)
     items = [(k, " ".join(words(rng, n)), 0) for k, n in enumerate((40, 13, 14, 12, 6, 3, 25, 200))] + [(20, None, 0), (21, "", 0), (22, "...", 0)]
@@ -126,35 +160,36 @@ def test_decontamination(spark, tmp_path):
 def test_line_dedup(spark):
     rng = random.Random(9)
     long = [" ".join(words(rng, 60)) for _ in range(6)]
-    fuzzy = long[0].replace("alpha", "alphq", 1) + "!"
+    fuzzy = long[0].replace(long[0].split()[20], "alphq", 1) + "!"
     docs = [(0, f"{long[0]}\n\n{long[1]}\n---"), (1, f"{long[1].upper()}\n{fuzzy}\n{long[2]}\n---"), (2, None), (3, ""), (4, "hi\nhi\nHI!\nho"), (None, long[0]), (5, f"{long[3]}\n{long[3]}")]
-    df = spark.createDataFrame([(i, t, "en", 1, 2) for i, t in docs], "doc_id long, text string, lang string, id int, pos int")
-    got = {r.doc_id: r for r in fuzzy_lines.with_counts(df).collect()}
-    assert got[0].text == docs[0][1] and got[2].text is None and got[3].text == "" and got[None].text == long[0]
-    assert got[4].text == "hi\nho" and got[5].text == long[3]
-    lines = got[1].text.split("\n")
-    assert long[1].upper() not in lines and long[2] in lines and "---" in lines
-    assert [got[i]._n_removed for i in (0, 1, 4, 5)] == [0, 3 - len(lines) + 1, 2, 1]
+    df = spark.createDataFrame([(i, t, "en", 1, 2) for i, t in docs], "doc_id long, text string, lang string, id int, gone int")
+    got = {r.doc.doc_id: r for r in fuzzy_lines.with_counts(df).collect()}
+    assert got[0].doc.text == docs[0][1] and got[2].doc.text is None and got[3].doc.text == "" and got[None].doc.text == long[0]
+    assert got[4].doc.text == "hi\nho" and got[5].doc.text == long[3]
+    assert got[1].doc.text == f"{long[2]}\n---"
+    assert [(got[i].n_lines, got[i].n_removed) for i in (0, 1, 4, 5, 2)] == [(4, 0), (4, 2), (4, 2), (2, 1), (0, 0)]
     assert fuzzy_lines.dedup_lines(df).columns == df.columns
 
 
-def test_line_simhash_and_pigeonhole(spark):
-    """The packed counters give the plain SimHash, and every pair within the distance shares a key."""
-    rng = random.Random(2)
-    lines = [" ".join(words(rng, n)) for n in (1, 2, 5, 40, 41, 300)]
-    lines.append(lines[4].replace(lines[4].split()[20], "zzz"))
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
-    rows = fuzzy_lines._lines(df, "doc_id", "text")
-    sims = {r.k1: r.sim for r in fuzzy_lines._hashes(fuzzy_lines._classes(rows)).collect()}
-    pairs = rows.select("k1", F.expr("transform(sequence(0, size(split(norm, ' ')) - 1), i -> xxhash64(get(split(norm, ' '), i), get(split(norm, ' '), i + 1)))").alias("h"))
-    for r in pairs.collect():
-        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r.h) > len(r.h))
-        assert sims[r.k1] % (1 << 64) == want
-    base = 0x0123456789ABCDEF
-    flips = [base] + [base ^ sum(1 << b for b in c) for c in itertools.islice(itertools.combinations(range(0, 63, 5), 3), 60)]
-    keyed = fuzzy_lines._keys(spark.createDataFrame([(i, s) for i, s in enumerate(flips)], "k1 long, sim long"), fuzzy_lines.BLOCKS, fuzzy_lines.DISTANCE)
-    met = {(r.a, r.b) for r in keyed.alias("x").join(keyed.alias("y"), "key").selectExpr("x.id a", "y.id b").collect()}
-    assert all((0, i) in met for i in range(len(flips)))
+def test_lines_of_rows_that_share_an_id(spark):
+    """Rows with one id and different texts lose only their own surplus lines; rows alike in both keep the same ones."""
+    rows = [(7, "dup line\nzzz"), (7, "a line of no one else at all\nyyy"), (3, "dup line"), (9, "twice here\nand more"), (9, "twice here\nand more")]
+    got = sorted(r.text for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(["zzz", "a line of no one else at all\nyyy", "dup line", "twice here\nand more", "twice here\nand more"])
+
+
+def test_lines_against_all_pairs(spark):
+    """All lines of the given documents: of the pairs at edit similarity 0.9, at least as many as in the docstring are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = fuzzy_lines._written_lines(docs, "doc_id", "text")
+    norms = {r.k1: r.norm for r in rows.select("k1", "norm").distinct().collect()}
+    keys = sorted(norms)
+    pairs = spark.createDataFrame([(x, norms[x]) for x in keys], "k long, t string")
+    near = pairs.selectExpr("k AS a", "t AS ta").join(pairs.selectExpr("k AS b", "t AS tb"), F.expr("a < b AND abs(len(ta) - len(tb)) <= floor(0.1 * greatest(len(ta), len(tb)))"))
+    near = near.where("levenshtein(ta, tb, cast(floor(0.1 * greatest(len(ta), len(tb))) AS int)) >= 0").select("a", "b", F.size(F.split("ta", " ")).alias("n")).collect()
+    keep = {r.k1: r.keep for r in fuzzy_lines._surplus(rows).collect()}
+    found = [r for r in near if keep.get(r.a) is None or keep.get(r.b) is None if r.a in keep and r.b in keep]
+    assert len(near) > 20 and len(found) >= 0.97 * len(near)
 
 
 def changed(rng, line, n):
@@ -178,7 +213,7 @@ def test_line_dedup_finds_copies_at_edit_similarity(spark):
                     docs += [(2 * len(docs), line), (2 * len(docs) + 1, changed(rng, line, edits))]
     own = [(10**6 + i, " ".join(words(rng, 30))) for i in range(200)]
     df = spark.createDataFrame(docs + own, "doc_id long, text string")
-    gone = {r.doc_id: r._n_removed for r in fuzzy_lines.with_counts(df).collect()}
+    gone = {r.doc.doc_id: r.n_removed for r in fuzzy_lines.with_counts(df).collect()}
     assert not any(gone[i] for i, _ in own)
     found = {}
     for k, kind in planted.items():
