@@ -34,6 +34,12 @@ def _hadoop(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the default file system where it has none, so that workers mean the store that Spark means."""
+    target, store = _hadoop(spark, path)
+    return store.makeQualified(target).toString()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's file system closes."""
     path = f"{shared_dir(spark)}/acrelake/{name}-{uuid.uuid4().hex}"
@@ -80,5 +86,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def prefix_sums(values: Column) -> Column:
+    """Sums of all values before each place. By blocks of about the root of the length: a fold that appends copies its array each time."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+
+    def by_blocks(blocks: Column, sums: Column) -> Column:
+        base = F.transform(sums, lambda _, j: total(F.slice(sums, F.lit(1), j)))
+        return let(base, lambda at: F.flatten(F.transform(blocks, lambda part, j: F.transform(part, lambda _, i: F.get(at, j) + total(F.slice(part, F.lit(1), i))))))
+
+    def cut(a: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(a))), F.lit(1)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), width), lambda j: F.slice(a, j, width))
+        return let(blocks, lambda b: let(F.transform(b, total), lambda sums: by_blocks(b, sums)))
+
+    return let(values, cut)
+
+
+def count_below(ordered: Column, bound: Column) -> Column:
+    """How many values of an ascending array are below ``bound``, by bisection."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        right = F.get(ordered, middle) < bound
+        step = F.when(right, F.struct((middle + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), middle.alias("hi")))
+        return F.when(acc["lo"] < acc["hi"], step).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve, lambda acc: acc["lo"])
+
+
 def sha256_joined(items: Column, sep: str = ",") -> Column:
     return F.sha2(F.array_join(items, sep), 256)

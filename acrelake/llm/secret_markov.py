@@ -7,6 +7,8 @@ their difference is one table of constants inside the plan.
 
 Offsets are code points. They come from the lengths of a text's parts between matches, so no row leaves the JVM.
 
+Work is linear in the length of a token, and nearly so in the number of matches in a text.
+
 Defined results: a null or empty text has no spans; extra columns are dropped; repeated rows give repeated results;
 an empty table gives an empty one.
 """
@@ -21,6 +23,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acrelake.llm.common import count_below, let, prefix_sums
+
 #: The patterns of the contract. A run of 16 or more is a maximal run with that length, likewise
 #: for access keys; a failing assignment uses up its text, so its length is tested afterwards.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -94,32 +98,29 @@ def ratio(token: str, table: tuple[float, ...]) -> float:
 
 
 def _llr(token: Column, table: tuple[float, ...]) -> Column:
+    """The token's characters are read once into an array of places, so the work is linear in its length."""
     n = len(ALPHABET)
     values = F.split(F.lit(",".join(f"{x:.6g}" for x in table)), ",").cast("array<double>")  # folded to a constant
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(values, place(i) * n + place(i + 1)))
+    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return let(places, lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.lit(0.0), lambda acc, i: acc + F.get(values, F.get(p, i - 1) * n + F.get(p, i))))
 
 
 def _spans(text: Column, pattern: str, kind: str, rank: int, good: Column | None = None) -> Column:
     """array<struct(start, rank, end, kind)> of all matches; ``good`` is an array of booleans beside the matches."""
     p = F.lit(pattern)
-    matches = F.regexp_extract_all(text, p, F.lit(0))
-    lengths = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"),
-        F.transform(matches, F.char_length).alias("size"),
-        *([good.alias("good")] if good is not None else []),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("out"))
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+    sizes = F.transform(F.regexp_extract_all(text, p, F.lit(0)), F.char_length)
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(s.alias("start"), F.lit(rank).alias("rank"), e.alias("end"), F.lit(kind).alias("kind"))
-        fits = x["size"].isNotNull() if good is None else x["size"].isNotNull() & F.coalesce(x["good"], F.lit(False))
-        return F.struct(e.alias("at"), F.when(fits, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(parts: Column) -> Column:
+        before = prefix_sums(F.transform(parts, lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0))))
+        starts = F.zip_with(parts, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + x["gap"] + x["size"]).alias("end"), F.lit(kind).alias("kind"), x["good"].alias("good")))
+        fits = F.filter(starts, lambda x: x["end"].isNotNull() & F.coalesce(x["good"], F.lit(False)))
+        return F.transform(fits, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
 
+    every = F.transform(sizes, lambda _: F.lit(True)) if good is None else good
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    return F.when(F.regexp_like(text, p), F.aggregate(lengths, start, step, lambda acc: acc["out"])).otherwise(none)
+    parts = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), every.alias("good"))
+    return F.when(F.regexp_like(text, p), let(parts, placed)).otherwise(none)
 
 
 def find_secrets(docs: DataFrame, table: tuple[float, ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +136,11 @@ def find_secrets(docs: DataFrame, table: tuple[float, ...] | None = None, id_col
         F.concat(_spans(text, ASSIGN, "assign", 0, good), _spans(text, ACCESS, "access", 1), _spans(text, HEX, "hex", 2)).alias("_base"),
         _spans(text, TOKEN, "random", 3, random_like).alias("_more"),
     )
-    clear = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    # base spans that begin before the end of a token, less those that end by its start, overlap it
+    starts, ends = F.array_sort(F.transform("_base", lambda b: b["start"])), F.array_sort(F.transform("_base", lambda b: b["end"]))
+    both = F.struct(starts.alias("starts"), ends.alias("ends"))
+    clear = let(both, lambda x: F.filter("_more", lambda m: count_below(x["starts"], m["end"]) == count_below(x["ends"], m["start"] + 1)))
+    clear = F.when((F.size("_base") == 0) | (F.size("_more") == 0), F.col("_more")).otherwise(clear)
     found = found.select(id_col, F.array_sort("_base").alias("base"), clear.alias("_more"))
     return found.select(id_col, "base", F.array_sort(F.concat("base", "_more")).alias("spans"))
 

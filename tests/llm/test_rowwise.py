@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import pytest
 import public_tokenizers
@@ -196,3 +197,53 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("op1_pii", "op2_licenses", "op3_bpe", "op4_secrets", "op10_quality"):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_secrets_in_very_long_texts(spark):
+    """One token of a million characters, and many matches in one text, take seconds."""
+    rng = random.Random(3)
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(1_000_000))
+    many = " ".join(f"token=abcdefghijkl{i} Zq8Xv1Lm2Tk9Rw4Pj{i % 10}" for i in range(30_000))
+    began = time.perf_counter()
+    rows = secret_markov.find_secrets(spark.createDataFrame([(1, "x " + blob), (2, many)], "doc_id long, text string")).collect()
+    assert time.perf_counter() - began < 60
+    got = {r.doc_id: r for r in rows}
+    assert [(s.start, s.end, s.kind) for s in got[1].spans] == [(2, 1_000_002, "random")]
+    want = [(m.start(), m.end()) for m in re.finditer(r"token=\w+", many)]
+    assert [(s.start, s.end) for s in got[2].base] == want
+    more = [(s.start, s.end) for s in got[2].spans if s.kind == "random"]
+    assert set(more) <= {m.span() for m in re.finditer(r"Zq\w+", many)} and len(more) > 25_000
+
+
+def test_skip_links_join_similar_tokens():
+    link = lambda text: pii_crf.skip_links(text.split())
+    assert link("jane@mail.org and then jane(at)mail(dot)org") == [(0, 3)]
+    assert link("555-123-4567 or later +15551234567") == [(0, 3)]
+    assert link("555-123-4567 then 555 123 4567") == [(0, 2), (0, 3), (0, 4)]
+    assert link("word another word") == [] and link("12 and 12") == []
+
+
+def test_field_carries_a_kind_to_where_there_is_no_context():
+    """Sentences written by hand, not by the training generator."""
+    model = pii_crf.trained()
+
+    def found(text):
+        return {(text[s:e], k) for s, e, k in pii_crf.field_spans(text, pii_crf.base_spans(text), model)}
+
+    first = "Please call 555-123-4567 after noon. The clerk wrote it down twice, and the slip that was left on the desk reads 555 123 4567 only."
+    assert {t for t, k in found(first) if k == "phone"} == {"555-123-4567", "555 123 4567"}
+    assert ("ann.smith(at)example.org", "email") in found("You can write to ann.smith(at)example.org if the office is closed.")
+    assert found("In 2019 we counted 48 herons, 112 ducks and 7 swans on page 88 of the ledger.") == set()
+
+
+@pytest.mark.parametrize(
+    "line, labels",
+    [
+        ("MIT.", ["mit", "permissive"]), ("MIT, see LICENSE", ["mit", "permissive"]), ("GPL-3.0-or-later applies", ["copyleft", "gpl-3.0-or-later"]),
+        ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl-2.0", "weak-copyleft"]), ("MIT OR GPL-2.0 AND LGPL-2.1", ["gpl-2.0", "lgpl-2.1", "mit", "permissive"]),
+        ("(MIT OR GPL-2.0) AND Foo-1", ["foo-1", "gpl-2.0", "mit", "unknown"]), (", none", ["expression-invalid"]), ("(" * 50_000, ["expression-invalid"]),
+    ],
+)
+def test_tag_lines(line, labels):
+    got = license_scan.scan_text(f"// SPDX-License-Identifier: {line}\nint x;")
+    assert got["labels"] == labels and got["score"] == (0.0 if labels == ["expression-invalid"] else 1.0)
