@@ -2,8 +2,8 @@
 
 Files hold little-endian uint16 or uint32 ids and nothing else. They are cut into blocks of fixed size; each block is read on
 its own and searched at once for the separator, giving its separators' places. A document may begin many blocks before its end:
-a prefix scan over the blocks' summaries (separators before, place of the last one) stitches the boundaries, so no task ever
-needs more than a block. Block summaries are a few numbers each.
+a prefix scan over the blocks' summaries (separators before, place of the last one; a few numbers each) stitches the boundaries, so no task ever
+needs more than a block's places or a group's summaries.
 
 ``write_tokens`` makes such files from id arrays: one file per task attempt under a temporary name, renamed when complete, so a
 task that is run again replaces nothing half done; a manifest says which document is where.
@@ -23,11 +23,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ids in a block.
+from acrelake.llm.common import qualified, written
+
+#: Ids in a block, and blocks in a group of the prefix scan.
 BLOCK = 1 << 20
+GROUP = 1 << 10
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path that the driver qualified; Hadoop spells local ones with one slash."""
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
@@ -62,6 +66,7 @@ def write_tokens(tokens: DataFrame, folder: str, separator: int, id_col: str = "
             store.move(f"{root}/_{name}", f"{root}/{name}")
         yield from keys
 
+    folder = qualified(tokens.sparkSession, folder)
     rows = tokens.select(id_col, ids_col)
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, file string, place long")
 
@@ -92,11 +97,19 @@ def scan_tokens(spark: SparkSession, folder: str, separator: int, dtype: str = "
                 rows["ends"].append(np.flatnonzero(ids == separator) + number * block)
             yield pa.RecordBatch.from_arrays([pa.array(rows["path"], pa.string()), pa.array(rows["block"], pa.int64()), pa.array(rows["size"], pa.int64()), pa.array(rows["ends"], pa.list_(pa.int64()))], list(rows))
 
-    found = blocks.mapInArrow(run, "path string, block long, size long, ends array<long>")
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    found = written(blocks.mapInArrow(run, "path string, block long, size long, ends array<long>"), "ends")
+    # the prefix scan moves a few numbers for each block, in two levels: over the groups of a file, and inside each group
     last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
-    stitched = found.select("*", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("count"), F.coalesce(F.last(last, True).over(before), F.lit(-1)).alias("open"), F.lead("block").over(Window.partitionBy("path").orderBy("block")).isNull().alias("final"), F.sum("size").over(every).alias("upto"))
+    short = found.select("path", "block", F.expr(f"block div {GROUP}").alias("group"), F.size("ends").alias("n"), "size", last.alias("last"))
+    upper = short.groupBy("path", "group").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("last").alias("last"))
+    files_in_order = Window.partitionBy("path").orderBy("group")
+    before = files_in_order.rowsBetween(Window.unboundedPreceding, -1)
+    upper = upper.select("path", "group", F.sum("n").over(before).alias("n0"), F.sum("size").over(before).alias("size0"), F.max("last").over(before).alias("last0"), F.lead("group").over(files_in_order).isNull().alias("final0"))
+    in_order = Window.partitionBy("path", "group").orderBy("block")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    plus = lambda c: F.coalesce(F.col(f"{c}0"), F.lit(0)) + F.coalesce(F.sum(c).over(before), F.lit(0))
+    scan = short.join(upper, ["path", "group"]).select("path", "block", plus("n").alias("count"), (plus("size") + F.col("size")).alias("upto"), F.coalesce(F.max("last").over(before), "last0", F.lit(-1)).alias("open"), (F.col("final0") & F.lead("block").over(in_order).isNull()).alias("final"))
+    stitched = found.join(scan, ["path", "block"])
     tail = F.col("final") & (F.col("upto") - 1 > F.coalesce(last, F.col("open")))
     ends = F.concat(F.transform("ends", lambda e: F.struct(e.alias("at"), F.lit(True).alias("ended"))), F.when(tail, F.array(F.struct(F.col("upto").alias("at"), F.lit(False).alias("ended")))).otherwise(F.array().cast("array<struct<at:bigint,ended:boolean>>")))
     flat = stitched.select("path", "count", "open", "ends", F.posexplode(ends).alias("i", "e"))
@@ -106,8 +119,6 @@ def scan_tokens(spark: SparkSession, folder: str, separator: int, dtype: str = "
 
 def count_tokens(tokens: DataFrame, folder: str, separator: int, id_col: str = "doc_id", ids_col: str = "ids", dtype: str = "uint16", block: int = BLOCK) -> DataFrame:
     """Rows (id, file, place, start, n_tokens): token counts by writing the files and scanning them."""
-    from acrelake.llm.common import written
-
     manifest = written(write_tokens(tokens, f"{folder}/tokens", separator, id_col, ids_col, dtype), "manifest")
     if manifest.isEmpty():
         return manifest.selectExpr("*", "0L AS start", "0L AS n_tokens")
