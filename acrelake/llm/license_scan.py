@@ -2,10 +2,10 @@
 
 Each text is lower-cased (A-Z) and cut into words; one automaton finds every phrase (identifier tags, notice
 phrases, licence names) at word boundaries. After an ``SPDX-License-Identifier`` tag the rest of the line is
-parsed as an expression with and/or/with and evaluated over licence categories.
+parsed as an expression with and/or/with, as far as it is one, and evaluated over licence categories.
 
 Defined results: a null or empty text has no words, no labels and score 0; text without a phrase the same;
-a malformed expression gives the label ``expression-invalid`` and nothing else; extra columns are dropped; repeated
+a line that begins with no expression gives the label ``expression-invalid`` and nothing else; extra columns are dropped; repeated
 rows give repeated results; an empty table gives an empty one.
 """
 
@@ -63,44 +63,53 @@ _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+:-]+)")
 _BINDING = {"or": 1, "and": 2, "with": 3}
 
 
-def parse_expression(text: str) -> list[str]:
-    """Reverse Polish order of a licence expression by the shunting-yard algorithm; ValueError if malformed."""
+def parse_expression(text: str, whole: bool = True) -> list[str]:
+    """Reverse Polish order of a licence expression by the shunting-yard algorithm; ValueError if malformed. Unless it must be the
+    ``whole`` text, the longest beginning that is an expression counts, as prose or punctuation often follows."""
     out: list[str] = []
     stack: list[str] = []
     operand, at, text = True, 0, text.strip().removesuffix("*/").removesuffix("-->").strip()
+    good: list[str] | None = None
+    size = depth = 0
+
+    def error() -> list[str]:
+        if whole or good is None:
+            raise ValueError(text)
+        return out[:size] + good
+
     while at < len(text):
         found = _TOKEN.match(text, at)
         if not found:
-            raise ValueError(text)
+            return error()
         at, token = found.end(), found[1]
         low = token.lower()
         if token == "(":
             if not operand:
-                raise ValueError(text)
+                return error()
             stack.append(token)
+            depth += 1
         elif token == ")":
-            if operand:
-                raise ValueError(text)
-            while stack and stack[-1] != "(":
+            if operand or not depth:
+                return error()
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                raise ValueError(text)
             stack.pop()
+            depth -= 1
         elif low in _BINDING:
             if operand:
-                raise ValueError(text)
+                return error()
             while stack and stack[-1] != "(" and _BINDING[stack[-1]] >= _BINDING[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand = True
         else:
-            if not operand:
-                raise ValueError(text)
-            out.append(token)
+            if not operand or not token.strip(".:"):
+                return error()
+            out.append(token if whole else token.rstrip(".:"))
             operand = False
-    if operand or "(" in stack:
-        raise ValueError(text)
-    return out + stack[::-1]
+        if not operand and not depth:
+            good, size = stack[::-1], len(out)
+    return error() if operand or depth else out + stack[::-1]
 
 
 def category(identifier: str) -> str:
@@ -159,7 +168,7 @@ def scan_text(text: str | None) -> dict:
     if tagged:
         for found in _TAG_LINE.finditer(text):
             try:
-                kind, names = evaluate(parse_expression(found[1]))
+                kind, names = evaluate(parse_expression(found[1], whole=False))
                 labels |= {kind, *names}
                 expressions.append(found[1].strip())
                 score = 0.0

@@ -167,45 +167,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _by_differences(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """The links between components of open buckets, rows (key, id, component, main); a written table (a, b)."""
-    pivots = open_.where("component = main").groupBy("key").agg(F.min("id").alias("p"))
-    # a pair that shares several keys mostly shares the pivot too, and then is met once
-    group = written(open_.join(pivots, "key").select("p", "id", "component").distinct(), "group")
+    # the smallest member of a bucket's largest component is the pivot: a pair that shares several keys is met once for each pivot
+    group = written(open_.select(F.col("main").alias("p"), "id", "component").distinct(), "group")
     ids = written(group.select(F.explode(F.array("p", "id")).alias("id")).distinct(), "ids")
     sets = sets_of(ids)
     sides = group.join(sets.select(F.col("id").alias("p"), F.col("shingles").alias("s_p")), "p").join(sets.select("id", F.col("shingles").alias("s_x")), "id")
-    share = num / (num + den)
-    member = sides.select("p", "id", "component", F.size("s_p").alias("np"), F.size("s_x").alias("nx"), F.array_except("s_p", "s_x").alias("r"), F.array_except("s_x", "s_p").alias("a"))
-    member = member.select("p", "id", "component", "np", "nx", F.size("r").alias("nr"), F.concat("r", "a").alias("diff"))
-    # exact in whole numbers: v is num + den times the bound, twice; P's own is -np * (den - num) / 2 and that is its margin
-    v = 2 * (num + den) * F.col("nr") - (num + den) * F.col("np") + 2 * num * F.col("nx")
-    member = written(member.select("p", "id", "component", v.cast("long").alias("v"), ((den - num) * F.col("np")).cast("long").alias("edge"), "diff"), "members")
+    # in whole numbers: v is the docstring's bound times scale, v of P itself is -edge
+    scale = 2 * (num + den)
+    v = scale * F.size(F.array_except("s_p", "s_x")) - (num + den) * F.size("s_p") + 2 * num * F.size("s_x")
+    member = sides.select("p", "id", "component", v.cast("long").alias("v"), ((den - num) * F.size("s_p")).cast("long").alias("edge"), F.array_except("s_p", "s_x").alias("r"), F.array_except("s_x", "s_p").alias("a"))
+    member = written(member, "members")
     drop_written(group, ids, sets)
     outside = F.col("v") > F.col("edge")
     direct = member.where(~outside & (F.col("id") != F.col("p"))).select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
 
-    # the least overlap that a partner beyond, or within, P's reach asks for, and the prefix that can't be without a shared shingle
-    scale = 2 * (num + den)
+    # only shingles that two members differ from P by can be shared
+    tagged = F.concat(F.transform("r", lambda e: F.struct(e.alias("e"), F.lit(1).alias("lost"))), F.transform("a", lambda e: F.struct(e.alias("e"), F.lit(0).alias("lost"))))
+    flat = member.select("p", "id", F.explode(tagged).alias("d")).select("p", "id", "d.e", "d.lost")
+    often = flat.groupBy("p", "e").agg(F.count("*").alias("f")).where("f > 1")
+    ordered = flat.join(often, ["p", "e"]).groupBy("p", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("order"), F.sum("lost").alias("nr"), F.sum(1 - F.col("lost")).alias("na"))
+    ranked = member.select("p", "id", "component", "v", "edge", outside.alias("out")).join(ordered, ["p", "id"])
+    # the least overlap that a partner outside P's reach (its v is over edge), or within it (-edge at least), asks for, and the prefix
+    # of the rarest shingles that can't be without a shared one
     least = lambda margin: F.greatest(F.ceil((F.col("v") + margin) / F.lit(scale)), F.lit(1))
     prefix = lambda margin: F.greatest(F.size("order") - least(margin) + 1, F.lit(0)).cast("int")
-    flat = member.select("p", "id", F.explode("diff").alias("e"))
-    often = flat.groupBy("p", "e").agg(F.count("*").alias("f"))
-    ordered = flat.join(often, ["p", "e"]).groupBy("p", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("order"))
-    ranked = member.select("p", "id", "component", "v", "edge", outside.alias("out")).join(ordered, ["p", "id"])
-    # partners outside have v over the edge, those inside have v of -edge at least
-    ranked = ranked.select("p", "id", "component", "out", F.expr("order.e").alias("e"), prefix(F.col("edge")).alias("to_out"), F.when(F.col("out"), prefix(-F.col("edge"))).otherwise(0).alias("to_in"))
+    ranked = ranked.select("p", "id", "component", "v", "nr", "na", "out", F.expr("order.e").alias("e"), prefix(F.col("edge")).alias("to_out"), F.when(F.col("out"), prefix(-F.col("edge"))).otherwise(0).alias("to_in"))
     ranked = written(ranked, "ranked")
-    post = lambda size, where: ranked.where(where).select("p", "id", "component", F.explode(F.slice("e", F.lit(1), F.col(size))).alias("e"))
+    post = lambda size, where: ranked.where(where).select("p", "id", "component", "v", "nr", "na", F.explode(F.slice("e", F.lit(1), F.col(size))).alias("e"))
+    slack = scale * (F.col("nr") + F.col("na")) - F.col("v")
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Candidates (p, x, y) of different components; a shingle that one component alone holds gives none."""
-        mixed = left.select("p", "e", "component").union(right.select("p", "e", "component")).groupBy("p", "e").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("p", "e")
-        l, r = left.join(mixed, ["p", "e"], "left_semi").alias("l"), right.alias("r")
-        on = F.expr("l.p = r.p AND l.e = r.e AND l.component <> r.component")
-        return l.join(r, on).select("l.p", F.col("l.id").alias("x"), F.col("r.id").alias("y"))
+        """Candidates (p, x, y) of different components that share a posted shingle and could share enough of them. A side's shingle goes
+        where all that post it on the other side are of its component or can't reach it, whatever they share."""
+
+        def useful(one: DataFrame, other: DataFrame) -> DataFrame:
+            reach = other.groupBy("p", "e").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.max(slack).alias("_most"), F.min("v").alias("_least"))
+            both = one.join(reach, ["p", "e"]).where((F.col("v") <= F.col("_most")) & (slack >= F.col("_least")) & ((F.col("_lo") != F.col("component")) | (F.col("_hi") != F.col("component"))))
+            return both.drop("_lo", "_hi", "_most", "_least")
+
+        first = useful(left, right)
+        l, r = first.alias("l"), useful(right, first).alias("r")
+        room = F.expr(f"{scale} * (least(l.nr, r.nr) + least(l.na, r.na)) >= l.v + r.v")
+        return l.join(r, F.expr("l.p = r.p AND l.e = r.e AND l.component <> r.component") & room).select("l.p", F.col("l.id").alias("x"), F.col("r.id").alias("y"))
 
     pairs = met(post("to_out", "out"), post("to_out", "out")).where("x < y").union(met(post("to_in", "out"), post("to_out", "NOT out"))).distinct()
-    half = lambda c: member.select("p", F.col("id").alias(c), F.col("v").alias(f"v_{c}"), F.col("diff").alias(f"d_{c}"))
-    sure = pairs.join(half("x"), ["p", "x"]).join(half("y"), ["p", "y"]).where(scale * F.size(F.array_intersect("d_x", "d_y")) >= F.col("v_x") + F.col("v_y"))
+    half = lambda c: ranked.select("p", F.col("id").alias(c), F.col("v").alias(f"v_{c}"), F.col("e").alias(f"e_{c}"))
+    sure = pairs.join(half("x"), ["p", "x"]).join(half("y"), ["p", "y"]).where(scale * F.size(F.array_intersect("e_x", "e_y")) >= F.col("v_x") + F.col("v_y"))
     links = written(direct.union(sure.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "links")
     drop_written(member, ranked)
     return links

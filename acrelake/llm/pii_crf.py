@@ -2,7 +2,8 @@
 
 Patterns give the base spans. The field labels white-space tokens as other, email, ip, card or phone: unary
 potentials over shape and context features, a chain potential between neighbours, and a skip potential between
-consecutive occurrences of the same token (letters and digits alone, so ``555-0100`` and ``5550100`` are one). Tokens
+consecutive occurrences of the same or a similar token (``555-123-4567``, ``+1 5551234567`` and ``555 123 4567`` are one, and so are
+``ann@x.org`` and ``ann(at)x(dot)org``). Tokens
 under a base span are evidence. Loopy sum-product messages run over whole documents, so a number seen once with
 its context is found where it is repeated without. Tokens that have no digit, no ``@`` and no spelt-out separator, and
 aren't within CONTEXT tokens of one, can only be other (a structural zero of the model), hence carry no messages.
@@ -26,7 +27,9 @@ from pyspark.sql import DataFrame
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 CONTEXT = 3
-ROUNDS = 12
+#: Messages pass until none moves by STILL (in logarithms); loops that swing for ever end after ROUNDS.
+STILL = 1e-3
+ROUNDS = 200
 THRESHOLD = 0.95
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -87,6 +90,7 @@ def spans_text(spans: list[tuple[int, int, str]]) -> str:
 _TOKEN = re.compile(r"\S+")
 _TRIGGER = re.compile(r"[0-9@]|[(\[{<](?:at|dot)[)\]}>]|\bdot\b", re.IGNORECASE)
 _STRIP = ".,;:!?\"'()[]{}<>"
+_SIGN = re.compile(r"[(\[{<](?:at|dot)[)\]}>]", re.IGNORECASE)
 _CUES = {
     "phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax", "dial", "reach"},
     "email": {"email", "mail", "e-mail", "write", "contact"},
@@ -146,18 +150,43 @@ def token_features(tokens: list[str], i: int) -> list[int]:
 
 
 def _key(token: str) -> str:
-    return "".join(filter(str.isalnum, token)).lower()
-
-
-def skip_links(keys: list[str]) -> list[tuple[int, int]]:
-    """Consecutive occurrences of one key; keys of under four characters or without a digit or ``at`` sign don't link."""
-    last: dict[str, int] = {}
-    links = []
-    for i, key in enumerate(keys):
-        if len(key) >= 4 and _DIGIT.search(key):
-            if key in last and i - last[key] > 1:
-                links.append((last[key], i))
-            last[key] = i
+    """What a token is recognised by when it comes again: addresses with their signs spelt out or not, numbers by their last nine
+    digits (so with or without a prefix), other tokens by their letters and digits; empty if it doesn't link."""
+    spelt = _SIGN.sub(lambda m: "@" if m[0][1:3].lower() == "at" else ".", token.strip(_STRIP.replace("(", "") if "(" in token[1:] else _STRIP)).lower()
+    if "@" in spelt[1:-1]:
+        return "".join(c for c in spelt if c.isalnum() or c == "@")
+    flat = "".join(filter(str.isalnum, spelt))
+    if len(flat) < 4 or not _DIGIT.search(flat):
+        return ""
+    return flat[-9:] if flat.isdigit() else flat
+
+
+def skip_links(tokens: list[str], places: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between consecutive occurrences of one key. Numbers written in up to five tokens (``555 123 4567``), which stand together in
+    ``places``, have a key as a whole too, and all their tokens link."""
+    last: dict[str, list[int]] = {}
+    links: list[tuple[int, int]] = []
+    places = places or list(range(len(tokens)))
+    bare = [t.strip("()[]+,;.") for t in tokens]
+
+    def meet(key: str, nodes: list[int]) -> None:
+        if key:
+            if key in last and last[key][-1] < nodes[0]:
+                links.extend((a, b) for a in last[key] for b in nodes if b - a > 1)
+            last[key] = nodes
+
+    i = 0
+    while i < len(tokens):
+        j = i
+        while j < len(tokens) and j - i < 5 and bare[j].replace("-", "").isdigit() and places[j] == places[i] + j - i:
+            j += 1
+        digits = "".join(bare[i:j]).replace("-", "") if j - i > 1 else ""
+        if 7 <= len(digits) <= 19:
+            meet(digits[-9:], list(range(i, j)))
+        else:
+            j = i + 1
+            meet(_key(tokens[i]), [i])
+        i = j
     return links
 
 
@@ -203,7 +232,7 @@ def _sentences(seed: int, count: int) -> Iterator[tuple[list[str], list[int]]]:
             elif what < 0.34:
                 if rng.random() < 0.5:
                     add([rng.choice(sorted(_CUES["email"]))], 0)
-                made.append(([f"{word()}.{num(2)}{rng.choice(['@', '(at)', '[at]'])}{word()}{rng.choice(['.', '(dot)'])}com"], 1))
+                made.append(([f"{word()}{rng.choice(['', '.' + num(2), '.' + word(), '_' + word()])}{rng.choice(['@', '(at)', '[at]'])}{word()}{rng.choice(['.', '(dot)'])}{rng.choice(['com', 'org', 'net'])}"], 1))
             elif what < 0.42:
                 add([rng.choice(sorted(_CUES["card"]))], 0)
                 c = card()
@@ -214,7 +243,9 @@ def _sentences(seed: int, count: int) -> Iterator[tuple[list[str], list[int]]]:
                 made.append(([".".join(str(rng.randint(0, 255)) for _ in range(4))], 2))
             elif what < 0.66 and made:  # again, perhaps written otherwise
                 parts, label = rng.choice(made)
-                made.append(([_key(p) for p in parts] if label == 4 and len(parts) == 1 and rng.random() < 0.7 else parts, label))
+                bare = ["".join(c for p in parts for c in p if c.isdigit())]
+                other = bare if rng.random() < 0.5 else ["+1" + bare[0]] if rng.random() < 0.5 else [bare[0][:3], bare[0][3:6], bare[0][6:]]
+                made.append((other if label == 4 and rng.random() < 0.7 else parts, label))
             else:
                 add([rng.choice(sorted(_CUES["number"]))] if rng.random() < 0.4 else [], 0)
                 made.append((rng.choice([[num(rng.randint(1, 6))], [num(rng.randint(8, 24))], [f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"], [f"{num(2)}.{num(2)}"], [f"{num(1)}.{num(1)}.{num(2)}"], ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(16, 40)))], [f"{rng.randint(10, 23)}:{rng.randint(10, 59)}"], [num(3), num(3), num(3)], [f"{word()}{num(2)}"]]), 0))
@@ -230,7 +261,7 @@ def trained(seed: int = 7, count: int = 1500, steps: int = 250) -> Model:
     size = len(LABELS)
     for tokens, labels in _sentences(seed, count):
         links: dict[int, np.ndarray] = {}
-        for a, b in skip_links([_key(t) for t in tokens]):
+        for a, b in skip_links(tokens):
             for x, y in ((a, b), (b, a)):
                 links.setdefault(x, np.zeros(size))[labels[y]] += 1
         for i, label in enumerate(labels):
@@ -258,7 +289,7 @@ def trained(seed: int = 7, count: int = 1500, steps: int = 250) -> Model:
     return Model(w[:f], (chain + chain.T) / 2, (skip + skip.T) / 2)
 
 
-def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS, still: float = STILL) -> np.ndarray:
     """Marginals by damped loopy sum-product; edges (u, v) with one symmetric potential each, all in logarithms."""
     if not len(edges):
         p = np.exp(unary - unary.max(1, keepdims=True))
@@ -274,7 +305,10 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds
         out = (total[source] - message[back])[:, :, None] + pot
         top = out.max(1)
         new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-        message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
+        new = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
+        moved, message = np.abs(new - message).max(), new
+        if moved < still:
+            break
     total = unary.copy()
     np.add.at(total, goal, message)
     p = np.exp(total - total.max(1, keepdims=True))
@@ -306,8 +340,7 @@ def field_spans(text: str, base: list[tuple[int, int, str]], model: Model, thres
             unary[k, LABELS.index(base[b][2])] += 60
             taken[k] = True
     chain = [(k, k + 1) for k in range(len(nodes) - 1) if nodes[k + 1] == nodes[k] + 1]
-    keys = [_key(text[max(places[i][0], 0) : places[i][1]]) for i in nodes]
-    skip = skip_links(keys)
+    skip = skip_links([tokens[i] for i in nodes], nodes.tolist())
     pot = np.concatenate([np.broadcast_to(model.chain, (len(chain), *model.chain.shape)), np.broadcast_to(model.skip, (len(skip), *model.skip.shape))])
     p = beliefs(unary, np.array(chain + skip, np.int64).reshape(-1, 2), pot)
     best = p.argmax(1)
@@ -331,7 +364,7 @@ def field_spans(text: str, base: list[tuple[int, int, str]], model: Model, thres
         if e > s and fits:
             out.append((s, e, LABELS[best[k]]))
         k = last + 1
-    return [x for x in out if not any(s < x[1] and x[0] < e for s, e, _ in base)] if len(base) * len(out) < 10_000 else _apart(out, base)
+    return _apart(out, base) if base else out
 
 
 def _apart(out: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
