@@ -29,8 +29,8 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
 
     def crosses(i: Column) -> Column:
         a, b = F.get(ring, i), F.get(ring, (i + n - 1) % n)
-        rise = F.when(b["y"] == a["y"], 1e-30).otherwise(b["y"] - a["y"])
-        return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / rise + a["x"])
+        run = F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"])
+        return ((a["y"] > y) != (b["y"] > y)) & F.coalesce(x < run + a["x"], F.lit(False))
 
     return F.when(n >= 3, F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), lambda odd, i: odd != crosses(i))).otherwise(False)
 
@@ -38,3 +38,28 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
 def envelope(x: Column, y: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
     """Closed box; a missing coordinate is outside."""
     return F.coalesce(x.between(x0, x1) & y.between(y0, y1), F.lit(False))
+
+
+def largest_outer(rings: Column, orientation: str = "reference") -> Column:
+    """struct(ring, reduced) of an array of rings: the outer ring of greatest area, the first of equal ones; ``reduced`` if there were several.
+    Outer rings run counter-clockwise for ``reference`` (which is what its files hold) and clockwise for ``esri``; where none does, all are taken."""
+    sign = 1 if orientation == "reference" else -1
+    sized = F.transform(rings, lambda r, i: F.struct(F.abs(signed_area(r)).alias("size"), (-i).alias("place"), (sign * signed_area(r) >= 0).alias("outer"), r.alias("ring")))
+    outer = F.filter(sized, lambda s: s["outer"])
+    chosen = F.when(F.size(outer) > 0, outer).otherwise(sized)
+    return F.struct(F.array_max(chosen)["ring"].alias("ring"), (F.size(outer) > 1).alias("reduced"))
+
+
+def wkt(ring: Column) -> Column:
+    return F.concat(F.lit("POLYGON(("), F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit("))"))
+
+
+def in_degrees(x: Column, y: Column) -> Column:
+    return F.coalesce(x.between(-180, 180) & y.between(-90, 90), F.lit(False))
+
+
+def miles(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Great-circle distance by the haversine."""
+    rad = lambda c: F.radians(c)
+    h = F.pow(F.sin((rad(y1) - rad(y0)) / 2), F.lit(2.0)) + F.cos(rad(y0)) * F.cos(rad(y1)) * F.pow(F.sin((rad(x1) - rad(x0)) / 2), F.lit(2.0))
+    return 2 * 3958.7613 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))

@@ -102,3 +102,50 @@ def basis(sale_price: Column, sale_date: Column, assessed: Column, acres: Column
     row = lambda value, source: F.struct((value / acres).alias("value"), F.lit(source).alias("source"))
     none = F.struct(F.lit(None).cast("double").alias("value"), F.lit("unavailable").alias("source"))
     return F.when(known & recent, row(sale_price.cast("double"), "recent_sale")).when(known & (assessed > 0), row(assessed * factor, "assessed")).otherwise(none)
+
+
+#: What an assessment counts for by state, and how old a sale may be in days.
+INFLATION = {"GA": 2.5}
+SALE_DAYS = 720
+
+
+def basis_by_state(sale_price: Column, sale_date: Column, assessed: Column, acres: Column, state: Column, as_of: Column) -> Column:
+    """struct(value, source): price per acre by a recent sale, else by the assessment, which states with a factor inflate."""
+    factor = F.coalesce(F.create_map(*[x for k, v in INFLATION.items() for x in (F.lit(k), F.lit(v))])[F.upper(state)], F.lit(1.0))
+    inflated = F.coalesce(F.upper(state).isin(*INFLATION), F.lit(False))
+    plain = basis(sale_price, sale_date, assessed, acres, as_of, factor)
+    source = F.when(plain["source"] != "assessed", plain["source"]).when(inflated, F.concat(F.lit("assessed_inflated_"), F.lower(state))).otherwise("assessed_raw")
+    return F.struct(plain["value"].alias("value"), source.alias("source"))
+
+
+def blockers(verdict: Column, block: Column, size: int = 160) -> Column:
+    """map of the failing gate to its reason, at most ``size`` characters; empty where nothing fails."""
+    gate = F.split_part(verdict, F.lit(":"), F.lit(2))
+    reason = F.when(gate == "strategy", "no strategy is strong or moderate").otherwise(F.substring(block, 1, size))
+    return F.when(verdict.startswith("FAIL:"), F.create_map(gate, reason)).otherwise(F.create_map().cast("map<string,string>"))
+
+
+#: Gates in the order in which they are tried.
+GATES = ("control", "entitlement", "strategy", "deal_killer")
+
+
+def gate_statuses(verdict: Column) -> dict[str, Column]:
+    """Display of each gate: those before the failing one pass, those after it are pending; all pass or all are pending otherwise."""
+    failed = F.array_position(F.array(*[F.lit(g) for g in GATES]), F.coalesce(F.when(verdict.startswith("FAIL:"), F.substring(verdict, 6, 100)), F.lit("")))
+    quiet = F.when(verdict == "PASS", "PASS").otherwise("PENDING")
+    return {g: F.when(failed == 0, quiet).when(failed == i, "FAIL").when(failed > i, "PASS").otherwise("PENDING") for i, g in enumerate(GATES, 1)}
+
+
+def overall_status(score: Column, verdict: Column, threshold: float) -> Column:
+    return F.when(verdict == "PASS", "ACTIONABLE").when(score >= threshold, "QUALIFIED — NOT ACTIONABLE").otherwise("BELOW THRESHOLD")
+
+
+def full_weight_composite(weights: dict[str, int]) -> Column:
+    """The composite of reports: every weight counts, whether its score is known or not."""
+    top = reduce(Column.__add__, [F.coalesce(F.col(c).cast("double") * w, F.lit(0.0)) for c, w in weights.items()])
+    return top / float(sum(weights.values())) * 10.0
+
+
+def strategies_listed(fit: Column) -> Column:
+    """Keys of a map of ratings that are strong or moderate, joined by commas."""
+    return F.array_join(F.map_keys(F.map_filter(fit, lambda _, v: v.isin("STRONG", "MODERATE"))), ",")

@@ -38,10 +38,51 @@ def slug(name: Column, size: int = 60) -> Column:
     return F.substring(F.regexp_replace(dashed, "^_+|_+$", ""), 1, size)
 
 
+#: Fixed value: what a mailing address may begin with and isn't part of it.
+ADDRESSEE = r"(?i)^\s*(ATTN[:\s]+|C/O\s+|CO\s+)"
+
+
 def mailing(*parts: Column) -> Column:
-    """Non-empty parts joined, each without a leading ATTN or C/O."""
-    bare = [F.nullif(strip(F.regexp_replace(p, r"(?i)^\s*(ATTN[:\s]+|C/O\s+|CO\s+)", "")), F.lit("")) for p in parts]
-    return F.nullif(F.concat_ws(", ", *bare), F.lit(""))
+    """The parts that aren't blank joined by a blank, less one addressee mark at the start of the whole; empty if there is nothing."""
+    bare = [F.nullif(strip(p), F.lit("")) for p in parts]
+    return strip(F.regexp_replace(F.concat_ws(" ", *bare), ADDRESSEE, ""))
+
+
+def lenient_double(c: Column) -> Column:
+    """Null on any failure; no money signs are taken away."""
+    bare = strip(c)
+    return F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
+
+
+def lenient_long(c: Column) -> Column:
+    """Cut towards zero."""
+    return lenient_double(c).try_cast("long")
+
+
+def text_or_null(c: Column) -> Column:
+    return F.nullif(strip(c), F.lit(""))
+
+
+#: Counties of the one market and the market of all others.
+COUNTIES = ("fulton", "dekalb", "cobb", "gwinnett", "clayton", "henry", "spalding", "fayette")
+MARKET = "Atlanta"
+
+
+def market_of(county: Column) -> Column:
+    """struct(market, used_default)."""
+    known = F.coalesce(F.lower(strip(county)).isin(*COUNTIES), F.lit(False))
+    return F.struct(F.lit(MARKET).alias("market"), (~known).alias("used_default"))
+
+
+def marker(c: Column, pattern: str, last: bool = True) -> Column:
+    """The last (or first) match of a pattern's first group, null if there is none."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    return F.when(F.size(found) > 0, F.element_at(found, -1 if last else 1))
+
+
+def json_or_empty(c: Column) -> Column:
+    """map<string,string> of a JSON object; anything else is an empty map."""
+    return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
 def number(c: Column) -> Column:

@@ -24,9 +24,9 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
 
 
 def needs_rescore(entities: DataFrame, scores: DataFrame, key: str, order: list[Column], pending: Column) -> DataFrame:
-    """Entities without a score, or whose latest one is pending."""
-    last = latest(scores, [key], order).select(key, pending.alias("_pending"))
-    return entities.join(last, key, "left").where("_pending IS NULL OR _pending").drop("_pending")
+    """Entities without a score, or whose latest one is pending; one whose latest score has no status is neither."""
+    last = latest(scores, [key], order).select(key, F.coalesce(pending, F.lit(False)).alias("_pending"), F.lit(True).alias("_scored"))
+    return entities.join(last, key, "left").where("_scored IS NULL OR _pending").drop("_pending", "_scored")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep_first: list[str], frozen: list[str] = []) -> DataFrame:  # noqa: B006
@@ -67,16 +67,62 @@ def bag_difference(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFr
     return both.select(*cols, "n_left", "n_right", F.greatest(F.col("n_left") - F.col("n_right"), F.lit(0)).alias("to_insert"), F.least("n_left", "n_right").alias("present"), F.greatest(F.col("n_right") - F.col("n_left"), F.lit(0)).alias("right_only"))
 
 
-def decisions(df: DataFrame, run: str, order: str, metric: str, status: str) -> DataFrame:
-    """Keep or discard against the best kept so far: a sequential fold over each run's rows in order."""
-    rows = F.array_sort(F.collect_list(F.struct(order, metric)))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast(f"array<struct<{order}:bigint,{status}:string>>").alias("out"))
+def decisions(df: DataFrame, run: str, order: str, metric: str, status: str, confidence: str | None = None, state: str | None = None) -> DataFrame:
+    """Keep or discard against the best kept so far. A greater metric is kept, an equal one if its confidence is greater by more than
+    noise; rows whose ``state`` isn't ok pass their state on and change nothing. Where only the metric decides, the best so far is a running
+    maximum; the tie-break needs a fold over the rows of one run, in order, in one task: a run is one ledger of experiments."""
+    if confidence is None and state is None:
+        best = F.max(metric).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        return df.select(run, order, F.when(best.isNull(), "baseline").when(F.col(metric) > best, "keep").otherwise("discard").alias(status))
+    conf = F.col(confidence).cast("double") if confidence else F.lit(0.0)
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(metric).cast("double").alias("m"), conf.alias("c"), (F.col(state) if state else F.lit("ok")).alias("s"))))
+    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(None).cast("double").alias("c"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
-        first, better = acc["anchor"].isNull(), x[metric] > acc["anchor"]
-        verdict = F.when(first, "baseline").when(better, "keep").otherwise("discard")
-        anchor = F.when(first | better, x[metric].cast("double")).otherwise(acc["anchor"])
-        return F.struct(anchor.alias("anchor"), F.array_append(acc["out"], F.struct(x[order].cast("bigint").alias(order), verdict.alias(status))).alias("out"))
+        near = F.abs(x["c"] - acc["c"]) <= F.greatest(1e-9 * F.greatest(F.abs(x["c"]), F.abs(acc["c"])), F.lit(1e-9))
+        better = acc["m"].isNull() | (x["m"] > acc["m"]) | ((x["m"] == acc["m"]) & ~near & (x["c"] > acc["c"]))
+        kept = (x["s"] == "ok") & better
+        # only improvements enter the list, so it stays short
+        return F.when(kept, F.struct(x["m"].alias("m"), x["c"].alias("c"), F.array_append(acc["kept"], x["o"].cast("bigint")).alias("kept"))).otherwise(acc)
 
-    folded = df.groupBy(run).agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("out"))
-    return folded.select(run, F.explode("out").alias("o")).select(run, f"o.{order}", f"o.{status}")
+    folded = df.groupBy(run).agg(rows.alias("_rows")).select(run, "_rows", F.aggregate("_rows", start, step, lambda a: a["kept"]).alias("_kept"))
+    kept = folded.select(run, F.explode("_kept").alias(order)).withColumn("_at", F.min(order).over(Window.partitionBy(run)))
+    verdict = F.when(F.col("r.s") != "ok", F.col("r.s")).when(F.col("_at").isNull(), "discard").when(F.col("_at") == F.col(order), "baseline").otherwise("keep")
+    every = folded.select(run, F.explode("_rows").alias("r")).withColumn(order, F.col("r.o").cast("bigint"))
+    return every.join(kept, [run, order], "left").select(run, order, verdict.alias(status))
+
+
+def last_anchor(df: DataFrame, run: str, order: str, status: str, value: str) -> DataFrame:
+    """Adds ``anchor``, the value of the last baseline or kept row before each row of its run."""
+    before = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("anchor", F.last(F.when(F.col(status).isin("baseline", "keep"), F.col(value)), True).over(before))
+
+
+def created(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of ``new`` that don't exist yet, one for each key."""
+    return new.dropDuplicates([key]).join(old, key, "left_anti")
+
+
+def name_drift(old: DataFrame, new: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows (key, existing, incoming) of known keys that come with another name."""
+    known = old.where(F.coalesce(name, F.lit("")) != "").select(key, F.col(name).alias("existing"))
+    return new.select(key, F.col(name).alias("incoming")).distinct().join(known, key).where("existing <> incoming").select(key, "existing", "incoming")
+
+
+def restore(mirror: DataFrame, ledger: DataFrame, order: str) -> DataFrame:
+    """The mirror's rows in order, for an empty ledger only."""
+    if not ledger.isEmpty():
+        raise ValueError("the ledger isn't empty")
+    return mirror.orderBy(order).drop(order)
+
+
+def append_numbered(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``new`` under ``old`` with numbers after its greatest one. Numbers are dense and follow ``order``: ranges are sorted apart, counted,
+    and offset by the counts before them."""
+    top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
+    ranged = new.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ranged = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
+    offset = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).crossJoin(F.broadcast(top))
+    numbered = ranged.join(F.broadcast(offset.select("_p", (F.col("_o") + F.col("_top")).alias("_base"))), "_p")
+    return old.unionByName(numbered.withColumn(key, F.col("_base") + F.col("_n")).drop("_p", "_n", "_base"), allowMissingColumns=True)

@@ -21,3 +21,16 @@ def inside(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", c
     px, py = F.col(f"p.{x}"), F.col(f"p.{y}")
     near = (step(px) == F.col("t._cx")) & (step(py) == F.col("t._cy")) & px.between(F.col("t.box.x0"), F.col("t.box.x1")) & py.between(F.col("t.box.y0"), F.col("t.box.y1"))
     return p.join(tiles, near & geometry.contains(F.col("t.ring"), px, py), "left_semi")
+
+
+def within_miles(left: DataFrame, right: DataFrame, limit: float) -> DataFrame:
+    """The rows of ``left`` (x, y in degrees) with a row of ``right`` within ``limit`` miles. Rows of ``right`` go to their cell's
+    neighbours too, so the join is on cells; cells are as wide as the limit at 60 degrees of latitude, up to which this is exact."""
+    cell = limit / 69.0 * 2
+    step = lambda c: F.floor(c / cell)
+    near = F.sequence(F.lit(-1), F.lit(1))
+    tiles = right.select("x", "y", F.explode(near).alias("_i"), F.lit(0).alias("_z")).select("x", "y", "_i", F.explode(near).alias("_j"))
+    tiles = tiles.select("x", "y", (step(F.col("x")) + F.col("_i")).alias("_cx"), (step(F.col("y")) + F.col("_j")).alias("_cy")).alias("r")
+    l = left.alias("l")
+    on = (step(F.col("l.x")) == F.col("r._cx")) & (step(F.col("l.y")) == F.col("r._cy")) & (geometry.miles(F.col("l.x"), F.col("l.y"), F.col("r.x"), F.col("r.y")) <= limit)
+    return l.join(tiles, on, "left_semi")

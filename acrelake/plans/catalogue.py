@@ -71,11 +71,13 @@ def group_median_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.percentile(F.col("l_extendedprice").cast("double"), F.lit(0.5)), 6).alias("median"))
 
 
-@query(f"WITH s AS ({LATEST_SQL.format(where=' WHERE year(o_orderdate) = 1996')}) SELECT c_custkey FROM customer LEFT JOIN s ON c_custkey = o_custkey WHERE o_custkey IS NULL OR o_orderstatus = 'P'")
+@query(f"WITH s AS (SELECT o_custkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status FROM ({LATEST_SQL.format(where=' WHERE year(o_orderdate) = 1996')})) SELECT c_custkey FROM customer LEFT JOIN s ON c_custkey = o_custkey WHERE o_custkey IS NULL OR status = 'P'")
 def needs_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A latest row without a status is neither missing nor pending."""
     orders = t(spark, sf_dir, "orders").where("year(o_orderdate) = 1996").withColumnRenamed("o_custkey", "c_custkey")
     order = [F.col("o_orderdate").desc_nulls_first(), F.col("o_orderkey").desc()]
-    return history.needs_rescore(t(spark, sf_dir, "customer"), orders, "c_custkey", order, F.col("o_orderstatus") == "P").select("c_custkey")
+    pending = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")) == "P"
+    return history.needs_rescore(t(spark, sf_dir, "customer"), orders, "c_custkey", order, pending).select("c_custkey")
 
 
 @query("SELECT DISTINCT ON (user_id) user_id, event_id FROM events WHERE event_type = 'error' AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY user_id, ts DESC NULLS FIRST, event_id DESC")
@@ -256,10 +258,11 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", text.slug(F.expr("p_name || ' / #' || p_partkey")).alias("slug"))
 
 
-@query("SELECT c_custkey, c_name || ', Unit ' || c_custkey AS mail FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name || ' ATTN: Unit ' || c_custkey END AS mail FROM customer")
 def mailing_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.expr("CASE c_custkey % 3 WHEN 0 THEN 'ATTN: ' WHEN 1 THEN ' c/o ' ELSE '' END")
-    return t(spark, sf_dir, "customer").select("c_custkey", text.mailing(F.concat(lead, F.col("c_name")), F.lit("  "), F.expr("'Unit ' || c_custkey")).alias("mail"))
+    some = F.col("c_custkey") % 11 != 0
+    return t(spark, sf_dir, "customer").select("c_custkey", text.mailing(F.when(some, F.concat(lead, F.col("c_name"))), F.lit("  "), F.when(some, F.expr("'ATTN: Unit ' || c_custkey"))).alias("mail"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN NULL ELSE o_custkey::DOUBLE END AS value, o_orderkey % 5 = 1 AS bad FROM orders")

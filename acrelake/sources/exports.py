@@ -19,6 +19,8 @@ class Field:
     least: float | None = None
     above: float | None = None
     most: float | None = None
+    #: At most so many years after the day of the run.
+    years_ahead: int | None = None
     #: The header may lack it; such files give nulls.
     optional: bool = False
 
@@ -31,6 +33,10 @@ class ExportSpec:
     fields: tuple[Field, ...]
     #: Their order in files without a header to go by; that of the checks if empty.
     layout: tuple[str, ...] = ()
+    #: Parse errors of all fields are told together, before any range.
+    gather: bool = False
+    #: Rows with these columns alike replace those loaded before.
+    keys: tuple[str, ...] = ()
 
     @property
     def columns(self) -> list[str]:
@@ -46,11 +52,13 @@ SUBMARKET_STATS = ExportSpec(
     "submarket_stats",
     r"submarket_stats_([0-9]{8})\.csv",
     (
-        Field("submarket_name", required=True), Field("market", required=True), Field("total_inventory_sf", "long", least=0),
-        Field("vacancy_rate_pct", "double", least=0, most=100), Field("availability_rate_pct", "double", least=0, most=100),
-        Field("net_absorption_t12_sf", "long"), Field("under_construction_sf", "long", least=0), Field("proposed_sf", "long", least=0),
-        Field("asking_rent_nnn_psf", "double", above=0), Field("report_date", "date", required=True),
+        Field("submarket_name", required=True), Field("market", required=True), Field("report_date", "date", required=True),
+        Field("vacancy_rate_pct", "double", least=0, most=100), Field("availability_rate_pct", "double", least=0, most=100), Field("asking_rent_nnn_psf", "double", above=0),
+        Field("total_inventory_sf", "long", least=0), Field("under_construction_sf", "long", least=0), Field("proposed_sf", "long", least=0), Field("net_absorption_t12_sf", "long"),
     ),
+    ("submarket_name", "market", "total_inventory_sf", "vacancy_rate_pct", "availability_rate_pct", "net_absorption_t12_sf", "under_construction_sf", "proposed_sf",
+     "asking_rent_nnn_psf", "report_date"),
+    gather=True, keys=("market", "submarket_name", "report_date"),
 )
 LAND_SALES = ExportSpec(
     "land_sales_comps",
@@ -60,6 +68,7 @@ LAND_SALES = ExportSpec(
         Field("sale_date", "date", True), Field("sale_price", "long", True, above=0), Field("price_per_acre", "double"), Field("buyer_name"),
         Field("seller_name"), Field("zoning"), Field("intended_use"), Field("cap_rate", "double"),
     ),
+    keys=("submarket", "address", "sale_date"),
 )
 BUILDING_SALES = ExportSpec(
     "building_sales_comps",
@@ -67,11 +76,12 @@ BUILDING_SALES = ExportSpec(
     (
         Field("address", required=True), Field("submarket", required=True), Field("sale_date", "date", True), Field("sale_price", "long", True, above=0),
         Field("building_sf", "double", True, above=0), Field("price_psf", "double"), Field("cap_rate", "double"),
-        Field("year_built", "long", least=1850, most=datetime.date.today().year + 2), Field("clear_height_ft", "double", least=8, most=80),
+        Field("year_built", "long", least=1850, years_ahead=2), Field("clear_height_ft", "double", least=8, most=80),
         Field("noi_at_sale"), Field("buyer_name"), Field("seller_name"), Field("tenant_at_sale"), Field("lease_term_remaining_years"),
     ),
     ("address", "submarket", "building_sf", "year_built", "clear_height_ft", "sale_date", "sale_price", "price_psf", "cap_rate", "noi_at_sale",
      "buyer_name", "seller_name", "tenant_at_sale", "lease_term_remaining_years"),
+    keys=("submarket", "address", "sale_date"),
 )
 LEASING = ExportSpec(
     "leasing_comps",
@@ -84,6 +94,7 @@ LEASING = ExportSpec(
     ),
     ("address", "submarket", "tenant_name", "tenant_industry", "lease_start_date", "lease_term_months", "building_sf_leased", "starting_rent_psf_nnn",
      "rent_escalation_pct", "lease_type", "naics_code"),
+    keys=("submarket", "address", "tenant_name", "lease_start_date"),
 )
 LAND_LISTINGS = ExportSpec(
     "land_listings",
@@ -96,6 +107,7 @@ LAND_LISTINGS = ExportSpec(
     ),
     ("address", "parcel_id", "county", "submarket", "acres", "zoning", "topography_notes", "asking_price", "asking_price_per_acre", "listing_date",
      "days_on_market", "listing_broker", "listing_broker_firm", "utilities_status", "entitlement_status"),
+    keys=("listing_date", "address"),
 )
 SPECS = {s.name: s for s in (SUBMARKET_STATS, LAND_SALES, BUILDING_SALES, LEASING, LAND_LISTINGS)}
 
@@ -109,35 +121,55 @@ def header_errors(header: list[str], spec: ExportSpec) -> list[str]:
     return [f"duplicate column {n}" for n in twice] + [f"missing column {c}" for c in missing]
 
 
-def validated(raw: DataFrame, spec: ExportSpec) -> DataFrame:
-    """Typed columns of ``spec`` and ``error``, the first failure in the order of the fields (null if none)."""
-    values, errors = [], []
+def validated(raw: DataFrame, spec: ExportSpec, as_of: datetime.date | None = None) -> DataFrame:
+    """Typed columns of ``spec`` and ``error`` (null if none): the first failure in the order of required texts, required dates, then field
+    by field; with ``gather`` all parse errors joined by ``; ``, then the first range that fails. ``as_of`` bounds years."""
+    values, texts, parses, ranges, mixed = [], [], [], [], []
     for f in spec.fields:
-        value, bad = _parsed(F.col(f.name), f)
+        value, parse, limits = _parsed(F.col(f.name), f, as_of)
         values.append(value.alias(f.name))
-        errors += bad
+        if f.required and f.kind in ("string", "date"):
+            texts += parse
+        else:
+            parses += parse
+            ranges += limits
+            mixed += parse + limits
+    errors = [*texts, F.nullif(F.concat_ws("; ", *parses), F.lit("")), *ranges] if spec.gather else [*texts, *mixed]
     return raw.select(*values, F.coalesce(*errors, F.lit(None).cast("string")).alias("error"))
 
 
-def _parsed(c: Column, f: Field) -> tuple[Column, list[Column]]:
+def _parsed(c: Column, f: Field, as_of: datetime.date | None) -> tuple[Column, list[Column], list[Column]]:
     bare = F.nullif(text.strip(c), F.lit(""))
     if f.kind == "string":
-        return bare, [F.when(bare.isNull(), f"{f.name}: required")] if f.required else []
+        return bare, [F.when(bare.isNull(), f"{f.name}: required")] if f.required else [], []
     if f.kind == "digits":
-        return bare, [F.when(~bare.rlike("^[0-9]+$"), f"{f.name}: not all digits")]
+        return bare, [F.when(~bare.rlike("^[0-9]+$"), f"{f.name}: not all digits")], []
     if f.kind == "date":
         value, bad = text.date(c), bare.isNotNull() & text.date(c).isNull()
     else:
         parsed = text.number(c)
         value, bad = parsed["value"], parsed["bad"]
-    errors = [F.when(bad, f"{f.name}: not a {'date' if f.kind == 'date' else 'number'}")]
+    parse, limits = [F.when(bad, f"{f.name}: not a {'date' if f.kind == 'date' else 'number'}")], []
     if f.required:
-        errors.append(F.when(value.isNull(), f"{f.name}: required"))
+        parse.append(F.when(value.isNull(), f"{f.name}: required"))
     if f.kind != "date":
-        for bound, test in ((f.least, value.__lt__), (f.above, value.__le__), (f.most, value.__gt__)):
+        most = f.most if f.years_ahead is None else (as_of or datetime.date.today()).year + f.years_ahead
+        for bound, test in ((f.least, value.__lt__), (f.above, value.__le__), (most, value.__gt__)):
             if bound is not None:
-                errors.append(F.when(test(F.lit(bound)), f"{f.name}: out of range"))
-    return F.bround(value, 0).cast("long") if f.kind == "long" else value, errors
+                limits.append(F.when(test(F.lit(bound)), f"{f.name}: out of range"))
+    return F.bround(value, 0).cast("long") if f.kind == "long" else value, parse, limits
+
+
+def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid rows, and rows that failed with their error: a bad row doesn't spoil its file."""
+    return checked.where("error IS NULL").drop("error"), checked.where("error IS NOT NULL")
+
+
+def load(old: DataFrame, checked: DataFrame, spec: ExportSpec) -> DataFrame:
+    """``old`` with the valid rows in place of those with their keys; repeated rows of the file all come."""
+    from acrelake.operators import history
+
+    return history.keyed_replace(old, split(checked)[0], list(spec.keys))
 
 
 def read_export(spark: SparkSession, path: str, spec: ExportSpec) -> DataFrame:

@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from acrelake.sources.exports import ExportSpec, validated
+from acrelake.sources.exports import ExportSpec, header_errors, validated
 
 
 def exports(spark: SparkSession, folder: str, spec: ExportSpec) -> DataFrame:
-    schema = ", ".join(f"{c} string" for c in spec.columns)
-    raw = spark.readStream.schema(schema).option("header", True).option("pathGlobFilter", f"{spec.name}_*.csv").csv(folder)
-    return validated(raw, spec)
+    """Whole files (path, content) as they come: a header counts for its own file, so columns are taken by name and not by place."""
+    return spark.readStream.format("binaryFile").option("pathGlobFilter", f"{spec.name}_*.csv").load(folder).select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+
+
+def rows_of(files: DataFrame, spec: ExportSpec) -> tuple[DataFrame, DataFrame]:
+    """Checked rows of all files, and files whose header doesn't fit, rows (path, error). An export is a file of a few megabytes."""
+    schema = "path string, error string, cells map<string,string>"
+
+    def parse(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                lines = csv.reader(content.splitlines(keepends=True))
+                header = [h.removeprefix("\ufeff").strip().lower() for h in next(lines, [])]
+                if errors := header_errors(header, spec):
+                    out.append((path, "; ".join(errors), None))
+                    continue
+                out += [(path, None, dict(zip(header, row))) for row in lines if any(c.strip() for c in row)]
+            yield pd.DataFrame(out, columns=["path", "error", "cells"])
+
+    parsed = files.mapInPandas(parse, schema)
+    good = parsed.where("error IS NULL").select(*[F.col("cells")[c].alias(c) for c in spec.columns])
+    return validated(good, spec), parsed.where("error IS NOT NULL").select("path", "error")
 
 
-def land(stream: DataFrame, good: str, bad: str, checkpoint: str) -> StreamingQuery:
-    """Valid rows to one table, failed ones to another, once for all files that are there."""
+def land(stream: DataFrame, spec: ExportSpec, good: str, bad: str, quarantine: str, checkpoint: str) -> StreamingQuery:
+    """Valid rows, failed rows and failed files to a folder each, once for all files that are there. Each batch writes its own
+    sub-folder anew, so that a batch that is run again replaces what it wrote before."""
 
     def publish(batch: DataFrame, number: int) -> None:
-        batch.where("error IS NULL").drop("error").write.mode("append").parquet(good)
-        batch.where("error IS NOT NULL").write.mode("append").parquet(bad)
+        rows, failed = rows_of(batch, spec)
+        for df, where in ((rows.where("error IS NULL").drop("error"), good), (rows.where("error IS NOT NULL"), bad), (failed, quarantine)):
+            df.write.mode("overwrite").parquet(f"{where}/batch={number}")
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -35,9 +35,15 @@ def test_pickup_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "submarket_stats_20260427.csv").write_text(HEADER + "\n" + GOOD + "\n" + GOOD.replace("Atlanta", "") + "\n")
     (tmp_path / "in" / "other.csv").write_text("x\n1\n")
-    out = [str(tmp_path / x) for x in ("good", "bad", "cp")]
-    pickup.land(pickup.exports(spark, str(tmp_path / "in"), exports.SUBMARKET_STATS), *out).awaitTermination(120)
-    assert spark.read.parquet(out[0]).count() == 1 and spark.read.parquet(out[1]).count() == 1
+    swapped = HEADER.replace("submarket_name,market", "market,submarket_name")
+    (tmp_path / "in" / "submarket_stats_20260428.csv").write_text(swapped + "\n" + GOOD.replace("Airport / South,Atlanta", "Macon,North") + "\n")
+    (tmp_path / "in" / "submarket_stats_20260429.csv").write_text("market,x\n1,2\n")
+    spec = exports.SUBMARKET_STATS
+    out = [str(tmp_path / x) for x in ("good", "bad", "failed", "cp")]
+    pickup.land(pickup.exports(spark, str(tmp_path / "in"), spec), spec, *out).awaitTermination(120)
+    assert {(r.market, r.submarket_name) for r in spark.read.parquet(out[0]).collect()} == {("Atlanta", "Airport / South"), ("Macon", "North")}
+    assert spark.read.parquet(out[1]).count() == 1
+    assert [r.path.rsplit("/", 1)[1] for r in spark.read.parquet(out[2]).collect()] == ["submarket_stats_20260429.csv"]
 
 
 def test_null_order_and_ties(spark):
