@@ -13,7 +13,7 @@ from acrelake.sources.exports import ExportSpec, header_errors, validated
 
 def exports(spark: SparkSession, folder: str, spec: ExportSpec) -> DataFrame:
     """Whole files (path, content) as they come: a header counts for its own file, so columns are taken by name and not by place."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", f"{spec.name}_*.csv").load(folder).select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", f"{spec.name}_*.csv").load(folder).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def rows_of(files: DataFrame, spec: ExportSpec) -> tuple[DataFrame, DataFrame]:
