@@ -1,8 +1,9 @@
 """Substring deduplication by collinear chaining: fuzzy passages that documents share.
 
 Seeds are minimisers: of every WINDOW consecutive K-word grams the one with the smallest hash, so any span of
-WINDOW + K - 1 equal words shares a seed. Each seed that several documents have is joined to one of them, its anchor,
-which is linear in the seed's occurrences. Per pair of documents the matches are chained: a chain gains K for each match and pays
+WINDOW + K - 1 equal words shares a seed. Each place of a seed that several documents have is joined to one of them, the first in its
+anchor, which is linear in the seed's occurrences; the anchor's own further places are joined to it too, so a passage that a
+document holds twice is reported at both places. Per pair of documents the matches are chained: a chain gains K for each match and pays
 GAP for each word skipped on either side, and the best predecessor comes from a Fenwick tree over anchor positions that
 keeps prefix maxima. Chains are aligned word by word, by banded edit distance between seeds and by extension at
 their ends. Where parts of one passage have different anchors their aligned parts are joined again:
@@ -12,7 +13,9 @@ Result rows are parts of passages of at least LEAST_WORDS words: (id, other_id,
 end exclusive. Both sides are named, so every document that holds a shared passage occurs in some row.
 
 Defined results: null or empty texts and rows with a null id share nothing; repeated rows (id and text alike) are one
-document; of a seed that a document repeats the first place counts; rows that share an id but not the text are told apart by text; extra columns are dropped; an empty table gives an empty one.
+document; what one document alone repeats is not looked at; of places of a seed that overlap, as in a word said a thousand times, those
+K words apart count; rows that share an id but not the text are told apart by text; extra columns are dropped; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acrelake.llm.common import maybe_broadcast, written
+from acrelake.llm.common import drop_written, maybe_broadcast, written
 
-K = 8
-WINDOW = 16
+K = 5
+WINDOW = 8
 GAP = 0.1
 LEAST_WORDS = 50
 #: Aligned parts below this many words are chance; edits may be at most this share of a part.
@@ -97,25 +100,43 @@ def chains(pos: np.ndarray, other: np.ndarray, k: int = K, gap: float = GAP) ->
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance within a band of ``most``; more than ``most`` counts as most + 1."""
+    """Edit distance within a band of ``most``; more than ``most`` counts as most + 1. Stretches that have too few words in
+    common are told by counting, the others row by row until all of a row is above ``most``."""
     n, m = len(a), len(b)
-    if abs(n - m) > most:
+    if abs(n - m) > most or max(n, m) - _common(a, b) > most:
         return most + 1
     row = np.arange(m + 1)
     for i in range(1, n + 1):
         lo, hi = max(1, i - most), min(m, i + most)
-        new = np.full(m + 1, most + 1)
-        if lo == 1:
-            new[0] = i
         step = np.minimum(row[lo - 1 : hi] + (b[lo - 1 : hi] != a[i - 1]), row[lo : hi + 1] + 1)
-        left = int(new[lo - 1])
-        for j, v in enumerate(step.tolist(), lo):
-            left = min(v, left + 1)
-            new[j] = left
-        row = new
+        row[lo - 1] = i if lo == 1 else most + 1
+        row[lo : hi + 1] = step
+        at = np.arange(lo - 1, hi + 1)
+        row[lo - 1 : hi + 1] = np.minimum.accumulate(row[lo - 1 : hi + 1] - at) + at
+        if row[lo - 1 : hi + 1].min() > most:
+            return most + 1
     return int(min(row[m], most + 1))
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two stretches have in common, each as often as in both."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    count = lambda part: np.bincount(part, minlength=len(ids))
+    return int(np.minimum(count(at[: len(a)]), count(at[len(a) :])).sum())
+
+
+def _apart(h: np.ndarray, at: np.ndarray, k: int = K) -> np.ndarray:
+    """Indices of the places to keep: of runs of overlapping places of one seed, those k words apart."""
+    order = np.lexsort((at, h))
+    h, at = h[order], at[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (at[1:] - at[:-1] >= k)
+    since = at - at[np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))]
+    keep = fresh.copy()
+    keep[1:] |= since[1:] // k != since[:-1] // k
+    return order[keep]
+
+
 def _extend(a: np.ndarray, b: np.ndarray) -> int:
     """How far two arrays agree from their start, crossing up to CROSS mismatches that agreement follows."""
     n = min(len(a), len(b))
@@ -172,7 +193,16 @@ class _Words:
         return self.ids
 
 
-_MARGIN = 2 * (K + WINDOW)
+#: Words that an extension may reach on either side of a lone seed, which can't make a passage of its own, and of a chain.
+_LONE = (LEAST_WORDS - K) // 2
+_MARGIN = LEAST_WORDS
+#: Seeds with more places and anchors with more chains are spread over tasks.
+_HOT = 20_000
+_BUSY = 2_000
+
+
+def _margin(seeds: int) -> int:
+    return _LONE if seeds == 1 else _MARGIN
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
@@ -187,18 +217,20 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out: tuple[list, list, list] = ([], [], [])
             for d, text in zip(keys, batch.column(1).to_pylist()):
                 h, at = minimisers(word_ids(text))
-                h, first = np.unique(h, return_index=True)
-                out[0].append(h.view(np.int64))
-                out[1].append(np.full(len(h), d, np.int64))
-                out[2].append(at[first].astype(np.int32))
+                kept = _apart(h, at)
+                out[0].append(h[kept].view(np.int64))
+                out[1].append(np.full(len(kept), d, np.int64))
+                out[2].append(at[kept].astype(np.int32))
             columns = [np.concatenate(x) if x else np.empty(0) for x in out]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["seed", "d", "pos"])
 
     found = written(src.select("d", "text").mapInArrow(seeds, "seed long, d long, pos int"), "seeds")
-    busy = found.groupBy("seed").agg(F.min("d").alias("anchor"), F.max("d").alias("last")).where("anchor <> last").select("seed", "anchor")
-    shared = written(found.join(busy, "seed"), "shared")
-    held = shared.where("d = anchor").groupBy("seed").agg(F.min("pos").alias("other"))
-    matches = shared.where("d <> anchor").join(held, "seed").groupBy("d", "anchor").agg(F.collect_list(F.struct("pos", "other")).alias("m"))
+    first = F.min(F.struct("d", "pos")).alias("first")
+    busy = found.groupBy("seed").agg(first, F.max("d").alias("last"), F.count("*").alias("n")).where("first.d <> last")
+    busy = written(busy.select("seed", F.col("first.d").alias("anchor"), F.col("first.pos").alias("other"), "n"), "busy")
+    hot = written(busy.where(F.col("n") > _HOT), "hot")
+    shared = found.join(maybe_broadcast(hot), "seed", "left_anti").join(busy, "seed").unionByName(found.join(maybe_broadcast(hot), "seed"))
+    matches = shared.where("d <> anchor OR pos <> other").groupBy("d", "anchor").agg(F.collect_set(F.struct("pos", "other")).alias("m"))
 
     def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -210,7 +242,13 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     rows.append((d, anchor, pos[c].tolist(), other[c].tolist()))
             yield pd.DataFrame(rows, columns=["d", "anchor", "pos", "other"])
 
-    lines = written(matches.mapInPandas(chained, "d long, anchor long, pos array<int>, other array<int>"), "chains")
+    every = written(matches.mapInPandas(chained, "d long, anchor long, pos array<int>, other array<int>"), "chains")
+    drop_written(found, busy, hot)
+    # what chains and their margins cover together must reach the least passage; most chance seeds go here, before any text is read
+    margin = F.when(F.size("pos") == 1, _LONE).otherwise(_MARGIN)
+    ends = (F.col("pos")[0] - margin, F.element_at("pos", -1) + K + margin)
+    lines = written(_islands(every.withColumn("_from", ends[0]).withColumn("_to", ends[1]), "_from", "_to", least).select("d", "anchor", "pos", "other"), "likely")
+    drop_written(every)
 
     def sliced(where: str, out: str):
         """Adds the words around a chain on one side, so that no text travels further."""
@@ -220,8 +258,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for pdf in batches:
                 cut = []
                 for text, at in zip(pdf["text"], pdf[where]):
-                    lo = max(0, int(at[0]) - _MARGIN)
-                    cut.append(words(text)[lo : int(at[-1]) + K + _MARGIN].view(np.int64))
+                    lo = max(0, int(at[0]) - _margin(len(at)))
+                    cut.append(words(text)[lo : int(at[-1]) + K + _margin(len(at))].view(np.int64))
                 pdf = pdf.drop(columns="text")
                 pdf[out] = cut
                 yield pdf
@@ -233,9 +271,12 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = src.select("d", "id", "text").join(maybe_broadcast(touched), "d", "left_semi").join(lines, "d")
     left = near.mapInPandas(sliced("pos", "a"), f"d long, id {kind}, anchor long, pos array<int>, other array<int>, a array<long>")
     left = written(left.dropDuplicates(["d", "anchor", "pos", "other"]), "left")
-    far = src.select(F.col("d").alias("anchor"), F.col("id").alias("other_id"), "text")
-    need = written(left.select("anchor").distinct(), "anchors")
-    far = far.join(maybe_broadcast(need), "anchor", "left_semi").dropDuplicates(["anchor"])
+    need = written(left.groupBy("anchor").agg(F.floor(F.count("*") / _BUSY).cast("int").alias("salts")), "anchors")
+    split = written(need.where("salts > 0"), "split")
+    far = src.select(F.col("d").alias("anchor"), F.col("id").alias("other_id"), "text").join(maybe_broadcast(need), "anchor").dropDuplicates(["anchor"])
+    far = far.select("anchor", "other_id", "text", F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
+    turn = F.pmod(F.xxhash64("d", "pos"), F.coalesce("salts", F.lit(0)) + 1).cast("int")
+    salted = left.join(maybe_broadcast(split), "anchor", "left").withColumn("salt", turn).drop("salts")
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
@@ -243,17 +284,22 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = []
             for r in pdf.itertuples(index=False):
                 a, b = np.asarray(r.a, np.int64).view(_U), words(r.text)
-                lo, ro = max(0, int(r.pos[0]) - _MARGIN), max(0, int(r.other[0]) - _MARGIN)
-                b = b[ro : int(r.other[-1]) + K + _MARGIN]
+                margin = _margin(len(r.pos))
+                lo, ro = max(0, int(r.pos[0]) - margin), max(0, int(r.other[0]) - margin)
+                b = b[ro : int(r.other[-1]) + K + margin]
                 for s, e, o, f, cost in align(a, b, [int(p) - lo for p in r.pos], [int(q) - ro for q in r.other]):
                     if e - s >= LEAST_PART and cost <= MOST_EDITS * (e - s):
                         rows.append((r.d, r.id, r.other_id, s + lo, e + lo, o + ro, f + ro, cost))
             yield pd.DataFrame(rows, columns=["d", "id", "other_id", "start", "end", "other_start", "other_end", "edits"])
 
-    parts = left.join(far, "anchor").mapInPandas(aligned, f"d long, id {kind}, other_id {kind}, start int, end int, other_start int, other_end int, edits int")
-    by = Window.partitionBy("d").orderBy("start", "end")
-    parts = parts.withColumn("_reach", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    parts = parts.withColumn("_island", F.sum(F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = salted.join(far, ["anchor", "salt"]).mapInPandas(aligned, f"d long, id {kind}, other_id {kind}, start int, end int, other_start int, other_end int, edits int")
+    return _islands(parts, "start", "end", least).select(F.col("id").alias(id_col), "other_id", "start", "end", "other_start", "other_end", "edits")
+
+
+def _islands(rows: DataFrame, start: str, end: str, least: int) -> DataFrame:
+    """The rows whose spans, joined with those of their document that they touch, are of ``least`` words or more."""
+    by = Window.partitionBy("d").orderBy(start, end)
+    rows = rows.withColumn("_reach", F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_island", F.sum(F.when(F.col(start) <= F.col("_reach"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     island = Window.partitionBy("d", "_island")
-    parts = parts.withColumn("_words", F.max("end").over(island) - F.min("start").over(island)).where(F.col("_words") >= least)
-    return parts.select(F.col("id").alias(id_col), "other_id", "start", "end", "other_start", "other_end", "edits")
+    return rows.withColumn("_words", F.max(end).over(island) - F.min(start).over(island)).where(F.col("_words") >= least)

@@ -74,3 +74,56 @@ def test_edits():
 
 def test_empty(spark):
     assert collinear.shared_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_place_of_a_passage_is_found(spark, monkeypatch):
+    """A passage that a document holds twice, in the anchor or another one, with and without splitting of hot seeds and anchors."""
+    rng = random.Random(11)
+    vocab = vocabulary(rng, 4000)
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    p = text(70)
+    docs = [(i, " ".join(text(40) + p + text(90) + p + text(20)) if i in (1, 4) else " ".join(text(60) + p + text(30))) for i in range(7)]
+    alone = text(80)
+    docs += [(20, " ".join(alone + text(50) + alone)), (21, " ".join(["so"] * 3000)), (22, " ".join(text(20) + ["so"] * 400 + text(20)))]
+    places = {i: [60] for i in range(7)} | {1: [40, 200], 4: [40, 200]}
+    for hot in (20_000, 2):
+        monkeypatch.setattr(collinear, "_HOT", hot)
+        monkeypatch.setattr(collinear, "_BUSY", hot)
+        covered = {}
+        for r in collinear.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+            covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+            covered.setdefault(r.other_id, set()).update(range(r.other_start, r.other_end))
+        for i, starts in places.items():
+            want = {x for s in starts for x in range(s, s + 70)}
+            assert want <= covered[i] and len(covered[i]) <= len(want) + 8, i
+        assert set(covered) == {*places, 21, 22}
+        assert set(range(3000)) <= covered[21] and set(range(20, 420)) <= covered[22]
+
+
+def test_fuzzy_passages_by_rate_of_edits(spark):
+    """Passages of 60 words with an edit every so many words; whole documents are told apart by id."""
+    rng = random.Random(12)
+    vocab = vocabulary(rng, 20_000)
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    docs, pairs = [], {}
+    for every in (8, 10, 15):
+        for _ in range(40):
+            p, i = text(60), len(docs)
+            q = ["edited" if j % every == every - 1 else w for j, w in enumerate(p)]
+            docs += [(i, " ".join(text(50) + p + text(50))), (i + 1, " ".join(text(30) + q + text(50)))]
+            pairs.setdefault(every, set()).add(i)
+    rows = collinear.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {min(r.doc_id, r.other_id) for r in rows}
+    assert all(abs(r.doc_id - r.other_id) == 1 for r in rows)
+    share = {every: len(ids & found) / len(ids) for every, ids in pairs.items()}
+    assert share[15] >= 0.97 and share[10] >= 0.95 and share[8] >= 0.85, share
+
+
+def test_edits_of_long_stretches_end_soon():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 60, 20_000).astype(np.uint64)
+    assert collinear.edits(a, rng.permutation(a), 4000) > 4000
+    b = np.delete(a, [10, 5000, 19_000])
+    b[7000] = 1
+    assert collinear.edits(a, b, 4000) == 4
+    assert collinear.edits(a, rng.integers(0, 1 << 60, 20_000).astype(np.uint64), 4000) == 4001
