@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from acrelake.plans import catalogue, cycles  # noqa: F401  (cycles registers its queries)
+from acrelake.plans import catalogue, cycles, reports  # noqa: F401  (cycles and reports register their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
