@@ -66,12 +66,16 @@ def drop_written(*tables: DataFrame) -> None:
         store.delete(target, True)
 
 
-def maybe_broadcast(keys: DataFrame) -> DataFrame:
-    """Broadcast ``keys``, a table made by :func:`written`, only if its rows (counted from file footers) and the bytes of its files
-    are few; beyond that a shuffle join is planned."""
+def is_small(keys: DataFrame, rows: int | None = None) -> bool:
+    """Whether the rows of ``keys``, a table made by :func:`written`, and the bytes of its files are few. Rows are counted from file
+    footers unless their number is known."""
     target, store = _hadoop(keys.sparkSession, keys._scratch)
-    small = store.getContentSummary(target).getLength() <= BROADCAST_BYTES and keys.count() <= BROADCAST_ROWS
-    return F.broadcast(keys) if small else keys
+    return store.getContentSummary(target).getLength() <= BROADCAST_BYTES and (keys.count() if rows is None else rows) <= BROADCAST_ROWS
+
+
+def maybe_broadcast(keys: DataFrame) -> DataFrame:
+    """Broadcast ``keys`` only if it is small; beyond that a shuffle join is planned."""
+    return F.broadcast(keys) if is_small(keys) else keys
 
 
 def ascii_lower(c: Column) -> Column:
