@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrelake.llm import bpe, collinear, fuzzy_lines, license_scan, mcd, minhash_tensor, pii_crf, secret_markov, separator_scan, winnow
+from acrelake.llm import bpe, collinear, divergence, fim_units, fuzzy_lines, license_scan, mcd, minhash_tensor, pii_crf, secret_markov, separator_scan, winnow
 from acrelake.llm.common import scratch_path, sha256_joined, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -76,6 +76,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim_units.fill_in_middle(table(spark, sf_dir, "documents"))
+    chars = lambda part: F.char_length(part).cast("long").alias(f"{part}_chars")
+    again = fim_units.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", chars("prefix"), chars("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_licenses": op2_licenses,
@@ -87,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_divergence": op13_divergence,
 }
 
 #: Exact: all pairs that share a shingle, then the closure of the links.
@@ -120,4 +133,34 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_near_duplicates": OP5_SQL, "op7_decontamination": OP7_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+r AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, [('0x' || h[8 * i + 1 : 8 * i + 8])::BIGINT FOR i IN range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT doc_id, t, n, form, coalesce(array_to_string(u[1 : a], ''), '') AS pre, coalesce(array_to_string(u[a + 1 : b], ''), '') AS mid, coalesce(array_to_string(u[b + 1 : n], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN len(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+#: Every pair of groups over all kept terms, on whole numbers of 128 bits.
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT row) AS df FROM o GROUP BY ALL),
+k AS (SELECT lang, term, sum(c)::HUGEINT AS c FROM c GROUP BY ALL HAVING sum(df) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM k GROUP BY lang),
+q AS (SELECT k.lang, term, 1 + (1000000000 * (k.c + 2)) // (n + 2 * v) AS q FROM k JOIN v USING (lang)),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0)::HUGEINT AS n FROM g LEFT JOIN (c JOIN k USING (lang, term)) c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0)::HUGEINT + 2)) // (n.n + 2 * v) AS p
+  FROM n JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_near_duplicates": OP5_SQL, "op7_decontamination": OP7_SQL, "op12_fill_in_middle": OP12_SQL, "op13_divergence": OP13_SQL}
