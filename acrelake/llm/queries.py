@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrelake.llm import bpe, collinear, divergence, fim_units, fuzzy_lines, license_scan, mcd, minhash_tensor, pii_crf, secret_markov, separator_scan, winnow
+from acrelake.llm import bpe, brown_classes, collinear, divergence, fim_units, fuzzy_lines, license_scan, mcd, minhash_tensor, pii_crf, secret_markov, separator_scan, winnow
 from acrelake.llm.common import scratch_path, sha256_joined, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -76,6 +76,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = brown_classes.class_scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim_units.fill_in_middle(table(spark, sf_dir, "documents"))
     chars = lambda part: F.char_length(part).cast("long").alias(f"{part}_chars")
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op11_class_scores": op11_class_scores,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_divergence": op13_divergence,
 }
