@@ -15,9 +15,9 @@ LEAST_COMPS = 3
 STALE_DAYS = 30
 
 
-def latest_context(context: DataFrame) -> DataFrame:
-    """One row per submarket: the preferred source before any other, then the newest date, an unknown date first."""
-    return history.latest(context, ["submarket"], [F.when(F.col("source") == "costar", 0).otherwise(1), F.col("as_of").desc_nulls_first(), F.col("context_id")])
+def latest_context(context: DataFrame, preferred: str) -> DataFrame:
+    """One row per submarket: the ``preferred`` source before any other, then the newest date, an unknown date first."""
+    return history.latest(context, ["submarket"], [F.when(F.col("source") == preferred, 0).otherwise(1), F.col("as_of").desc_nulls_first(), F.col("context_id")])
 
 
 def land_medians(sales: DataFrame, as_of: Column, months: int = 36) -> DataFrame:
@@ -26,12 +26,14 @@ def land_medians(sales: DataFrame, as_of: Column, months: int = 36) -> DataFrame
     return recent.groupBy("submarket").agg(F.count("*").alias("median_n"), F.percentile("price", F.lit(0.5)).alias("median"))
 
 
-def scored(parcels: DataFrame, context: DataFrame, sales: DataFrame, blocks: DataFrame, as_of: Column, weights: dict[str, int]) -> DataFrame:
+def scored(parcels: DataFrame, context: DataFrame, sales: DataFrame, blocks: DataFrame, as_of: Column, weights: dict[str, int], preferred: str, medians: DataFrame | None = None) -> DataFrame:
     """``parcels`` (parcel_id, submarket, state, acres, sale_price, sale_date, assessed, centroid) with every score. An empty submarket is none,
-    and a submarket without context or comps gives null scores, not a lost parcel. ``blocks`` has rows (parcel_id, block)."""
+    and a submarket without context or comps gives null scores, not a lost parcel. ``blocks`` has rows (parcel_id, block);
+    ``preferred`` is the source of market figures that goes before others; ``medians``, rows as of :func:`land_medians`, may come from
+    elsewhere, as from ``selection.quantiles`` where one submarket has very many sales."""
     key = F.nullif(F.col("submarket"), F.lit(""))
-    out = parcels.withColumn("_key", key).join(latest_context(context).withColumnRenamed("submarket", "_key"), "_key", "left")
-    out = out.join(land_medians(sales, as_of).withColumnRenamed("submarket", "_key"), "_key", "left").join(blocks, "parcel_id", "left")
+    out = parcels.withColumn("_key", key).join(latest_context(context, preferred).withColumnRenamed("submarket", "_key"), "_key", "left")
+    out = out.join((land_medians(sales, as_of) if medians is None else medians).withColumnRenamed("submarket", "_key"), "_key", "left").join(blocks, "parcel_id", "left")
     basis = scoring.basis_by_state(F.col("sale_price"), F.col("sale_date"), F.col("assessed"), F.col("acres"), F.col("state"), as_of)
     out = out.withColumn("basis", basis).withColumn("median_n", F.coalesce("median_n", F.lit(0)))
     enough = F.col("median_n") >= LEAST_COMPS

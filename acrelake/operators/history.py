@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acrelake.sources import scratch
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Exactly one row per key: the first in ``order``."""
@@ -118,11 +120,15 @@ def restore(mirror: DataFrame, ledger: DataFrame, order: str) -> DataFrame:
 
 def append_numbered(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``new`` under ``old`` with numbers after its greatest one. Numbers are dense and follow ``order``: ranges are sorted apart, counted,
-    and offset by the counts before them."""
+    and offset by the counts before them.
+
+    A row's range and its place there are written once and read twice: were the ranges planned for the counts and for the rows apart,
+    adaptive execution could cut them differently and no partition number would mean the same on both sides."""
     top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    ranged = new.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_n", place)
+    ranged = scratch.written(ranged, "ranged")
+    sizes = ranged.groupBy("_p").agg((F.max("_n") + 1).alias("_c"))
     offset = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).crossJoin(F.broadcast(top))
-    numbered = ranged.join(F.broadcast(offset.select("_p", (F.col("_o") + F.col("_top")).alias("_base"))), "_p")
+    numbered = ranged.join(F.broadcast(offset.select("_p", (F.col("_o") + F.col("_top") + 1).alias("_base"))), "_p")  # a row for each partition
     return old.unionByName(numbered.withColumn(key, F.col("_base") + F.col("_n")).drop("_p", "_n", "_base"), allowMissingColumns=True)

@@ -19,7 +19,7 @@ _PARCELS = """SELECT c_custkey AS parcel_id, CASE WHEN c_custkey % 10 = 0 THEN '
   CASE c_custkey % 4 WHEN 0 THEN 'ga' WHEN 1 THEN 'GA' WHEN 2 THEN 'FL' END AS state, CASE WHEN c_custkey % 13 <> 0 THEN CAST(c_custkey % 40 AS DOUBLE) END AS acres,
   CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey * 900 AS DOUBLE) END AS sale_price, CASE WHEN c_custkey % 2 = 0 THEN DATE '1997-06-01' ELSE DATE '1994-01-01' END AS sale_date,
   CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey * 700 AS DOUBLE) END AS assessed, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 9 = 0 END AS in_zone FROM customer"""
-_CONTEXT = """SELECT s_suppkey AS context_id, concat('m', CAST(s_suppkey % 25 AS {text})) AS submarket, CASE WHEN s_suppkey % 3 = 0 THEN 'costar' ELSE 'other' END AS source,
+_CONTEXT = """SELECT s_suppkey AS context_id, concat('m', CAST(s_suppkey % 25 AS {text})) AS submarket, CASE WHEN s_suppkey % 3 = 0 THEN 'first' ELSE 'other' END AS source,
   CASE WHEN s_suppkey % 17 <> 0 THEN CAST({day} AS DATE) END AS as_of, CASE WHEN s_suppkey % 8 <> 0 THEN (s_suppkey * 7 % 130) / 10.0{d} END AS vacancy,
   CASE WHEN s_suppkey % 9 <> 0 THEN CAST(s_suppkey * 3701 % 3000000 - 900000 AS DOUBLE) END AS absorbed, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_suppkey * 7919 % 2000000 AS DOUBLE) END AS supply FROM supplier"""
 _SALES = """SELECT concat('m', CAST(o_custkey % 28 AS {text})) AS submarket, CAST(o_orderdate AS DATE) AS sale_date, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_totalprice AS DOUBLE) / 10 END AS price
@@ -58,10 +58,10 @@ def _items(select: str) -> list[str]:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _inputs(spark, sf_dir)
-    return cycle.scored(x["parcels"], x["context"], x["sales"], x["blocks"], F.lit(DAY), WEIGHTS)
+    return cycle.scored(x["parcels"], x["context"], x["sales"], x["blocks"], F.lit(DAY), WEIGHTS, "first")
 
 
-_LATEST = f"SELECT DISTINCT ON (submarket) * FROM ({_duck(_CONTEXT)}) ORDER BY submarket, CASE WHEN source = 'costar' THEN 0 ELSE 1 END, as_of DESC NULLS FIRST, context_id"
+_LATEST = f"SELECT DISTINCT ON (submarket) * FROM ({_duck(_CONTEXT)}) ORDER BY submarket, CASE WHEN source = 'first' THEN 0 ELSE 1 END, as_of DESC NULLS FIRST, context_id"
 _MEDIANS = f"SELECT submarket, count(*) AS median_n, quantile_cont(price, 0.5) AS median FROM ({_duck(_SALES)}) WHERE price IS NOT NULL AND sale_date >= DATE '1995-01-01' GROUP BY submarket"
 _JOINED = f"""SELECT p.*, c.* EXCLUDE (submarket), coalesce(m.median_n, 0) AS median_n, m.median, b.block,
   CASE WHEN acres > 0 AND sale_price > 0 AND date_diff('day', sale_date, DATE '1998-01-01') BETWEEN 0 AND 720 THEN sale_price / acres

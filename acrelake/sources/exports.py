@@ -1,4 +1,6 @@
-"""CSV exports: raw header checks, all-string scans, typed projection with the first error of each row."""
+"""CSV exports: raw header checks, all-string scans, typed projection with the first error of each row.
+
+Fixed values: the names of exports and of their columns, and the keys by which rows replace each other, are those of the files' contract."""
 
 from __future__ import annotations
 
@@ -9,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acrelake.functions import text
+from acrelake.operators import history
+from acrelake.sources import lines
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,9 @@ class ExportSpec:
     gather: bool = False
     #: Rows with these columns alike replace those loaded before.
     keys: tuple[str, ...] = ()
+    #: Columns that the files don't have: the same text in every row, and the day in the file's name.
+    constants: tuple[tuple[str, str], ...] = ()
+    dated: str | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -68,7 +75,7 @@ LAND_SALES = ExportSpec(
         Field("sale_date", "date", True), Field("sale_price", "long", True, above=0), Field("price_per_acre", "double"), Field("buyer_name"),
         Field("seller_name"), Field("zoning"), Field("intended_use"), Field("cap_rate", "double"),
     ),
-    keys=("submarket", "address", "sale_date"),
+    keys=("comp_type", "submarket", "address", "sale_date"), constants=(("comp_type", "land"),),
 )
 BUILDING_SALES = ExportSpec(
     "building_sales_comps",
@@ -81,7 +88,7 @@ BUILDING_SALES = ExportSpec(
     ),
     ("address", "submarket", "building_sf", "year_built", "clear_height_ft", "sale_date", "sale_price", "price_psf", "cap_rate", "noi_at_sale",
      "buyer_name", "seller_name", "tenant_at_sale", "lease_term_remaining_years"),
-    keys=("submarket", "address", "sale_date"),
+    keys=("comp_type", "submarket", "address", "sale_date"), constants=(("comp_type", "building"),),
 )
 LEASING = ExportSpec(
     "leasing_comps",
@@ -107,7 +114,7 @@ LAND_LISTINGS = ExportSpec(
     ),
     ("address", "parcel_id", "county", "submarket", "acres", "zoning", "topography_notes", "asking_price", "asking_price_per_acre", "listing_date",
      "days_on_market", "listing_broker", "listing_broker_firm", "utilities_status", "entitlement_status"),
-    keys=("listing_date", "address"),
+    keys=("snapshot_date", "address"), dated="snapshot_date",
 )
 SPECS = {s.name: s for s in (SUBMARKET_STATS, LAND_SALES, BUILDING_SALES, LEASING, LAND_LISTINGS)}
 
@@ -121,9 +128,10 @@ def header_errors(header: list[str], spec: ExportSpec) -> list[str]:
     return [f"duplicate column {n}" for n in twice] + [f"missing column {c}" for c in missing]
 
 
-def validated(raw: DataFrame, spec: ExportSpec, as_of: datetime.date | None = None) -> DataFrame:
-    """Typed columns of ``spec`` and ``error`` (null if none): the first failure in the order of required texts, required dates, then field
-    by field; with ``gather`` all parse errors joined by ``; ``, then the first range that fails. ``as_of`` bounds years."""
+def validated(raw: DataFrame, spec: ExportSpec, as_of: datetime.date | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed columns of ``spec``, those of ``keep`` as they are, and ``error`` (null if none): the first failure in the order of required
+    texts, required dates, then field by field; with ``gather`` all parse errors joined by ``; ``, then the first range that fails. ``as_of``,
+    the day of the run, bounds years and must be given where a field has such a bound. A file's day is taken from ``raw``."""
     values, texts, parses, ranges, mixed = [], [], [], [], []
     for f in spec.fields:
         value, parse, limits = _parsed(F.col(f.name), f, as_of)
@@ -135,7 +143,13 @@ def validated(raw: DataFrame, spec: ExportSpec, as_of: datetime.date | None = No
             ranges += limits
             mixed += parse + limits
     errors = [*texts, F.nullif(F.concat_ws("; ", *parses), F.lit("")), *ranges] if spec.gather else [*texts, *mixed]
-    return raw.select(*values, F.coalesce(*errors, F.lit(None).cast("string")).alias("error"))
+    more = [F.lit(v).alias(k) for k, v in spec.constants] + ([F.col(spec.dated)] if spec.dated else [])
+    return raw.select(*keep, *values, *more, F.coalesce(*errors, F.lit(None).cast("string")).alias("error"))
+
+
+def file_day(path: Column, spec: ExportSpec) -> Column:
+    """The day in the name of a file, null where it has none."""
+    return F.try_to_date(F.nullif(F.regexp_extract(path, spec.pattern, 1), F.lit("")), "yyyyMMdd")
 
 
 def _parsed(c: Column, f: Field, as_of: datetime.date | None) -> tuple[Column, list[Column], list[Column]]:
@@ -153,7 +167,11 @@ def _parsed(c: Column, f: Field, as_of: datetime.date | None) -> tuple[Column, l
     if f.required:
         parse.append(F.when(value.isNull(), f"{f.name}: required"))
     if f.kind != "date":
-        most = f.most if f.years_ahead is None else (as_of or datetime.date.today()).year + f.years_ahead
+        most = f.most
+        if f.years_ahead is not None:
+            if as_of is None:
+                raise ValueError(f"{f.name} is bounded by the day of the run: as_of must be given")
+            most = as_of.year + f.years_ahead
         for bound, test in ((f.least, value.__lt__), (f.above, value.__le__), (most, value.__gt__)):
             if bound is not None:
                 limits.append(F.when(test(F.lit(bound)), f"{f.name}: out of range"))
@@ -167,21 +185,28 @@ def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def load(old: DataFrame, checked: DataFrame, spec: ExportSpec) -> DataFrame:
     """``old`` with the valid rows in place of those with their keys; repeated rows of the file all come."""
-    from acrelake.operators import history
-
     return history.keyed_replace(old, split(checked)[0], list(spec.keys))
 
 
-def read_export(spark: SparkSession, path: str, spec: ExportSpec) -> DataFrame:
-    """An export file; ValueError if its header doesn't fit. Only the header line reaches the driver."""
-    first = spark.read.text(path).limit(1).collect()
-    import csv
-
-    header = next(csv.reader([first[0].value])) if first else []
-    if errors := header_errors(header, spec):
-        raise ValueError("; ".join(errors))
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE").csv(path)
-    raw = raw.toDF(*[c.removeprefix("﻿").strip().lower() for c in raw.columns]).na.drop("all")
-    for c in set(spec.columns) - set(raw.columns):
-        raw = raw.withColumn(c, F.lit(None).cast("string"))
-    return validated(raw, spec)
+def read_export(spark: SparkSession, path: str, spec: ExportSpec, as_of: datetime.date | None = None) -> tuple[DataFrame, DataFrame]:
+    """Checked rows (file, line, the columns of ``spec``, error) of a file or folder, and files whose header doesn't fit, rows (file,
+    error). Each file's columns are those of its own header, a large file is read by many tasks, and ``line`` is where a row begins."""
+    rows, headers = lines.read_rows(spark, path)
+    names = F.transform("header", lambda h: F.lower(F.btrim(F.regexp_replace(F.coalesce(h, F.lit("")), "^\ufeff", ""))))
+    judged = headers.select("file", names.alias("header")).select("file", "header", _header_error(F.col("header"), spec).alias("error"))
+    fit = judged.where("error IS NULL").select("file", "header")
+    # a row for each file, so few beside the rows that the join by file may be one by broadcast, if Spark finds it small
+    cells = rows.join(fit, "file").withColumn("cells", F.map_from_arrays("header", F.transform("header", lambda _, i: F.get("cells", i))))
+    raw = cells.select("file", "line", *[F.col("cells")[c].alias(c) for c in spec.columns])
+    if spec.dated:
+        raw = raw.withColumn(spec.dated, file_day(F.col("file"), spec))
+    return validated(raw, spec, as_of, keep=("file", "line")), judged.where("error IS NOT NULL").select("file", "error")
+
+
+def _header_error(names: Column, spec: ExportSpec) -> Column:
+    """``header_errors`` as one text; null if there is none."""
+    twice = F.array_sort(F.array_distinct(F.filter(names, lambda n: F.size(F.filter(names, lambda m: m == n)) > 1)))
+    missing = F.array_except(F.array(*[F.lit(c) for c in spec.needed]), names)
+    told = lambda what, found: F.transform(found, lambda n: F.concat(F.lit(f"{what} column "), n))
+    every = F.concat(told("duplicate", twice), told("missing", missing))
+    return F.when(~F.exists(names, lambda n: n != ""), "empty header").when(F.size(every) > 0, F.array_join(every, "; "))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import csv
+import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from acrelake.sources.exports import ExportSpec, header_errors, validated
+from acrelake.sources.exports import ExportSpec, file_day, header_errors, validated
 
 
 def exports(spark: SparkSession, folder: str, spec: ExportSpec) -> DataFrame:
@@ -16,8 +17,9 @@ def exports(spark: SparkSession, folder: str, spec: ExportSpec) -> DataFrame:
     return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", f"{spec.name}_*.csv").load(folder).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
-def rows_of(files: DataFrame, spec: ExportSpec) -> tuple[DataFrame, DataFrame]:
-    """Checked rows of all files, and files whose header doesn't fit, rows (path, error). An export is a file of a few megabytes."""
+def rows_of(files: DataFrame, spec: ExportSpec, as_of: datetime.date | None = None) -> tuple[DataFrame, DataFrame]:
+    """Checked rows of all files, and files whose header doesn't fit, rows (path, error). A file is one row here, so this is for the
+    exports of a week, of some megabytes each; ``exports.read_export`` splits larger ones."""
     schema = "path string, error string, cells map<string,string>"
 
     def parse(batches):  # noqa: ANN001, ANN202
@@ -35,16 +37,18 @@ def rows_of(files: DataFrame, spec: ExportSpec) -> tuple[DataFrame, DataFrame]:
             yield pd.DataFrame(out, columns=["path", "error", "cells"])
 
     parsed = files.mapInPandas(parse, schema)
-    good = parsed.where("error IS NULL").select(*[F.col("cells")[c].alias(c) for c in spec.columns])
-    return validated(good, spec), parsed.where("error IS NOT NULL").select("path", "error")
+    good = parsed.where("error IS NULL").select("path", *[F.col("cells")[c].alias(c) for c in spec.columns])
+    if spec.dated:
+        good = good.withColumn(spec.dated, file_day(F.col("path"), spec))
+    return validated(good, spec, as_of), parsed.where("error IS NOT NULL").select("path", "error")
 
 
-def land(stream: DataFrame, spec: ExportSpec, good: str, bad: str, quarantine: str, checkpoint: str) -> StreamingQuery:
+def land(stream: DataFrame, spec: ExportSpec, good: str, bad: str, quarantine: str, checkpoint: str, as_of: datetime.date | None = None) -> StreamingQuery:
     """Valid rows, failed rows and failed files to a folder each, once for all files that are there. Each batch writes its own
     sub-folder anew, so that a batch that is run again replaces what it wrote before."""
 
     def publish(batch: DataFrame, number: int) -> None:
-        rows, failed = rows_of(batch, spec)
+        rows, failed = rows_of(batch, spec, as_of)
         for df, where in ((rows.where("error IS NULL").drop("error"), good), (rows.where("error IS NOT NULL"), bad), (failed, quarantine)):
             df.write.mode("overwrite").parquet(f"{where}/batch={number}")
 

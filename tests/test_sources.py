@@ -1,11 +1,14 @@
+import csv
 import datetime
+import io
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from acrelake.functions import geometry, scoring, text
 from acrelake.operators import history, spatial
-from acrelake.sources import exports, ledger, polygons
+from acrelake.sources import exports, ledger, lines, polygons
 from acrelake.streaming import pickup
 
 HEADER = ",".join(exports.SUBMARKET_STATS.columns)
@@ -23,12 +26,14 @@ def test_header_errors():
 def test_read_export(spark, tmp_path):
     rows = [GOOD, GOOD.replace("5.4%", "150"), GOOD.replace("04/27/2026", "soon"), GOOD.replace("Atlanta", " ")]
     (tmp_path / "a.csv").write_text("﻿" + HEADER + "\n" + "\n".join(rows) + "\n")
-    got = exports.read_export(spark, str(tmp_path / "a.csv"), exports.SUBMARKET_STATS).collect()
+    rows, failed = exports.read_export(spark, str(tmp_path / "a.csv"), exports.SUBMARKET_STATS)
+    got = sorted(rows.collect(), key=lambda r: r.line)
+    assert failed.count() == 0 and [r.line for r in got] == [2, 3, 4, 5]
     assert [r.error for r in got] == [None, "vacancy_rate_pct: out of range", "report_date: not a date", "market: required"]
     assert (got[0].total_inventory_sf, got[0].asking_rent_nnn_psf, got[0].report_date, got[0].proposed_sf) == (28_500_000, 7.85, datetime.date(2026, 4, 27), None)
     (tmp_path / "b.csv").write_text(HEADER.replace("market,", "", 1) + "\nx\n")
-    with pytest.raises(ValueError):
-        exports.read_export(spark, str(tmp_path / "b.csv"), exports.SUBMARKET_STATS)
+    rows, failed = exports.read_export(spark, str(tmp_path / "b.csv"), exports.SUBMARKET_STATS)
+    assert rows.count() == 0 and [r.error for r in failed.collect()] == ["missing column market"]
 
 
 def test_pickup_stream(spark, tmp_path):
@@ -76,7 +81,7 @@ def test_other_exports(spark, tmp_path):
     row = {c: "x" for c in head} | {"lease_start_date": "2026-01-02", "lease_term_months": "60", "building_sf_leased": "1,000.5", "starting_rent_psf_nnn": "$9", "rent_escalation_pct": ""}
     late = row | {"lease_term_months": "0"}
     (tmp_path / "a.csv").write_text("\n".join([",".join(head)] + [",".join(f'"{r[c]}"' for c in head) for r in (row, late)]) + "\n")
-    got = exports.read_export(spark, str(tmp_path / "a.csv"), spec).collect()
+    got = sorted(exports.read_export(spark, str(tmp_path / "a.csv"), spec)[0].collect(), key=lambda r: r.line)
     assert [(r.error, r.lease_term_months, r.naics_code) for r in got] == [(None, 60, None), ("lease_term_months: out of range", 0, None)]
     assert got[0].building_sf_leased == 1000.5
     for s in exports.SPECS.values():
@@ -106,3 +111,82 @@ def test_ledger(spark, tmp_path):
     assert got[0].description.startswith("a b ccc") and got[0].description.endswith("c…") and len(got[0].description) == 200
     with pytest.raises(ValueError, match="status"):
         ledger.append(rows.withColumn("status", F.lit("done")), where)
+
+
+@pytest.fixture
+def splits(spark):
+    """Sets the size of splits, and back."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = {n: spark.conf.get(n) for n in names}
+    yield lambda size: [spark.conf.set(n, v) for n, v in zip(names, (size, "0"))]
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("size", ["37", "200", "128m"])
+def test_records_know_their_line(spark, tmp_path, splits, size):
+    """Any size of splits gives what one reader of the whole file gives, quoted line ends included."""
+    rows = [["k", "v"], ["1", "plain"], ["2", 'two\nlines, "said"'], ["3", ""], ["4", "\n\n"], ["5", "x" * 90 + '"\n"' + "y" * 90], ["", ""], ["7", "é😀"], ["8", "a\r\nb"]]
+    for name, end in (("a.csv", "\n"), ("b.csv", "\r\n")):
+        out = io.StringIO(newline="")
+        csv.writer(out, lineterminator=end).writerows(rows)
+        (tmp_path / name).write_bytes(out.getvalue().removesuffix(end).encode())
+    splits(size)
+    want = []
+    with open(tmp_path / "a.csv", newline="") as f:
+        reader, at = csv.reader(f), 1
+        for row in reader:
+            want.append((at, row))
+            at = reader.line_num + 1
+    body, heads = lines.read_rows(spark, str(tmp_path))
+    got = sorted((r.file[-5:], r.line, [c or "" for c in r.cells]) for r in body.collect())
+    lined = [(at, row) for at, row in want[1:] if any(c.strip() for c in row)]
+    assert [(n, r) for f, n, r in got if f == "a.csv"] == lined
+    assert [[c.replace("\r\n", "\n") for c in r] for f, _, r in got if f == "b.csv"] == [[c.replace("\r\n", "\n") for c in r] for _, r in lined]
+    assert sorted(r.header for r in heads.collect()) == [["k", "v"], ["k", "v"]]
+
+
+def test_listings_of_two_snapshots_both_stay(spark, tmp_path):
+    spec = exports.LAND_LISTINGS
+    row = {c: "x" for c in spec.columns} | {"listing_date": "2026-01-02", "acres": "5", "asking_price": "100", "asking_price_per_acre": "20", "days_on_market": "3", "address": "1 Main St"}
+
+    def week(day, **other):
+        (tmp_path / f"land_listings_{day}.csv").write_text(",".join(spec.columns) + "\n" + ",".join((row | other)[c] for c in spec.columns) + "\n")
+        return exports.read_export(spark, str(tmp_path / f"land_listings_{day}.csv"), spec)[0].drop("file", "line")
+
+    held = exports.split(week("20260105"))[0]
+    held = exports.load(held, week("20260112", asking_price="90"), spec)
+    held = exports.load(held, week("20260112", asking_price="80"), spec)  # the same week again
+    assert sorted((r.snapshot_date.isoformat(), r.asking_price) for r in held.collect()) == [("2026-01-05", 100), ("2026-01-12", 80)]
+
+
+def test_sales_of_land_and_buildings_share_a_table(spark):
+    sale = dict(address="1 Main St", submarket="m", sale_date="2026-01-02", sale_price="100")
+    rows = lambda spec, **more: exports.validated(spark.createDataFrame([{c: (sale | more).get(c) for c in spec.columns}], ", ".join(f"{c} string" for c in spec.columns)), spec, datetime.date(2026, 1, 1))
+    land, building = rows(exports.LAND_SALES, acres="5"), rows(exports.BUILDING_SALES, building_sf="9")
+    shared = ["comp_type", "submarket", "address", "sale_date", "sale_price", "error"]
+    held = exports.split(building.select(shared))[0]
+    held = exports.load(held, land.select(shared), exports.LAND_SALES)
+    held = exports.load(held, rows(exports.LAND_SALES, acres="5", sale_price="70").select(shared), exports.LAND_SALES)
+    assert sorted((r.comp_type, r.sale_price) for r in held.collect()) == [("building", 100), ("land", 70)]
+    with pytest.raises(ValueError, match="as_of"):
+        exports.validated(spark.createDataFrame([], ", ".join(f"{c} string" for c in exports.BUILDING_SALES.columns)), exports.BUILDING_SALES)
+
+
+@pytest.mark.parametrize("advisory", ["1m", "64m"])
+def test_numbers_are_dense_after_files(spark, tmp_path, advisory):
+    """Rows wide enough that the exchanges for counts and for rows would be cut differently."""
+    before = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    try:
+        new = spark.range(200_000).select((F.col("id") % 1009).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        old = spark.createDataFrame([(7, None, "x")], "id long, k long, wide string")
+        history.append_numbered(old, new, "id", ["k", "wide"]).write.parquet(str(tmp_path / "out"))
+        got = spark.read.parquet(str(tmp_path / "out"))
+        assert got.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first() == (200_001, 200_001, 7, 200_007)
+        moved = got.where("id > 7").withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("k", "wide"))).where("n + 7 <> id")
+        assert moved.count() == 0
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
