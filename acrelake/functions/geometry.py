@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Mean radius of the earth.
+RADIUS_MILES = 3958.7613
+
 
 def signed_area(ring: Column) -> Column:
     """Shoelace formula, positive when counter-clockwise; fewer than three points have none."""
@@ -62,4 +65,4 @@ def miles(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Great-circle distance by the haversine."""
     rad = lambda c: F.radians(c)
     h = F.pow(F.sin((rad(y1) - rad(y0)) / 2), F.lit(2.0)) + F.cos(rad(y0)) * F.cos(rad(y1)) * F.pow(F.sin((rad(x1) - rad(x0)) / 2), F.lit(2.0))
-    return 2 * 3958.7613 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * RADIUS_MILES * F.asin(F.sqrt(F.least(h, F.lit(1.0))))

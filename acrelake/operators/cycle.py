@@ -63,3 +63,10 @@ def flags(rows: DataFrame, cycle: str) -> DataFrame:
     coarse = F.when(F.col("s6").isNotNull(), "S6 at submarket grain")
     few = F.when((F.col("median_n") < LEAST_COMPS) & (F.coalesce("submarket", F.lit("")) != ""), F.format_string("S8 has only %d comps", "median_n"))
     return rows.select("parcel_id", F.explode(F.array_compact(F.array(*gaps, stale, coarse, few))).alias("flag")).withColumn("flag", F.concat(F.lit(f"cycle={cycle}; "), F.col("flag")))
+
+
+def log_rows(rows: DataFrame, cycle: str, market: str) -> DataFrame:
+    """The log of a scored table, rows (cycle_id, action_type, market, parcel_id, notes)."""
+    composite = F.when(F.col("composite").isNull(), "none").otherwise(F.format_string("%.2f", "composite"))
+    notes = F.concat(F.lit("composite="), composite, F.lit("; actionability="), F.coalesce("actionability", F.lit("PENDING")))
+    return rows.select(F.lit(cycle).alias("cycle_id"), F.lit("scoring").alias("action_type"), F.lit(market).alias("market"), "parcel_id", notes.alias("notes"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrelake.functions import geometry
@@ -24,13 +26,23 @@ def inside(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", c
 
 
 def within_miles(left: DataFrame, right: DataFrame, limit: float) -> DataFrame:
-    """The rows of ``left`` (x, y in degrees) with a row of ``right`` within ``limit`` miles. Rows of ``right`` go to their cell's
-    neighbours too, so the join is on cells; cells are as wide as the limit at 60 degrees of latitude, up to which this is exact."""
-    cell = limit / 69.0 * 2
-    step = lambda c: F.floor(c / cell)
+    """The rows of ``left`` (x, y in degrees) with a row of ``right`` within ``limit`` miles. Places are points of the unit sphere in
+    space and cells are cubes as wide as the limit's chord, so the join is on cells and exact at any latitude and across the date line.
+    A crowded cell of ``left`` is split as a skewed key."""
+    width = 2 * math.sin(min(limit / geometry.RADIUS_MILES, math.pi) / 2) * (1 + 1e-9) + 1e-12
+    axes = ("a", "b", "c")
+
+    def cells(lng: Column, lat: Column) -> list[Column]:
+        flat, up = F.radians(lng), F.radians(lat)
+        return [F.floor(v / width) for v in (F.cos(up) * F.cos(flat), F.cos(up) * F.sin(flat), F.sin(up))]
+
     near = F.sequence(F.lit(-1), F.lit(1))
-    tiles = right.select("x", "y", F.explode(near).alias("_i"), F.lit(0).alias("_z")).select("x", "y", "_i", F.explode(near).alias("_j"))
-    tiles = tiles.select("x", "y", (step(F.col("x")) + F.col("_i")).alias("_cx"), (step(F.col("y")) + F.col("_j")).alias("_cy")).alias("r")
+    tiles = right.select("x", "y", *[c.alias(f"_{n}") for n, c in zip(axes, cells(F.col("x"), F.col("y")))]).where("_a IS NOT NULL AND _c IS NOT NULL")
+    for n in axes:
+        tiles = tiles.withColumn(f"_{n}", F.explode(F.transform(near, lambda d: F.col(f"_{n}") + d)))  # noqa: B023
+    tiles = tiles.alias("r")
     l = left.alias("l")
-    on = (step(F.col("l.x")) == F.col("r._cx")) & (step(F.col("l.y")) == F.col("r._cy")) & (geometry.miles(F.col("l.x"), F.col("l.y"), F.col("r.x"), F.col("r.y")) <= limit)
+    on = geometry.miles(F.col("l.x"), F.col("l.y"), F.col("r.x"), F.col("r.y")) <= limit
+    for n, c in zip(axes, cells(F.col("l.x"), F.col("l.y"))):
+        on = on & (c == F.col(f"r._{n}"))
     return l.join(tiles, on, "left_semi")
