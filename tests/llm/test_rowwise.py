@@ -193,6 +193,31 @@ def test_outliers_small_groups_and_a_third_of_copies(spark):
     assert {(r.bad, r.outlier): r["count"] for r in out} == {(0, False): 950, (1, True): 403}
 
 
+def test_groups_of_mostly_short_texts_keep_their_proper_ones(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    proper = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    rows = [(i, proper(rng.randint(80, 300)), "en", "mixed") for i in range(100)] + [(1000 + i, "only four words here", "en", "mixed") for i in range(150)]
+    rows += [(2000 + i, None, "en", "mixed") for i in range(50)] + [(3000 + i, "", "de", "none") for i in range(3)]
+    got = mcd.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id for r in got if r.kept} == set(range(100))
+
+
+def test_a_sample_fits_as_all_rows_do(spark):
+    """A group of more rows than the sample: the verdicts are those of the whole group's estimate."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    clean, far = rng.normal(size=(20_000, 2)), rng.normal(size=(8_000, 2)) * 0.2 + 9
+    rows = [(float(a), float(b), "en", "s", k) for k, part in enumerate((clean, far)) for a, b in part]
+    df = spark.createDataFrame(rows, "x double, y double, lang string, source string, bad int")
+    for sample in (500, 10**6):
+        out = mcd.robust_outliers(df, {"x": 0.1, "y": 0.1}, sample=sample).groupBy("bad", "outlier").count().collect()
+        counts = {(r.bad, r.outlier): r["count"] for r in out}
+        assert counts.get((1, False), 0) == 0 and counts.get((0, True), 0) <= 2
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("op1_pii", "op2_licenses", "op3_bpe", "op4_secrets", "op10_quality"):
