@@ -16,31 +16,44 @@ from acrelake.llm.common import drop_written, maybe_broadcast, written
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (id, component) for every vertex of ``edges`` (a, b); component is the smallest id reachable.
 
-    Rounds of hooking and contraction: each vertex points to its smallest neighbour, the pointers are doubled twice, and edges and
-    labels are rewritten to where they point. As pointers only go down inside a component, its smallest vertex is what stays.
-    Empty edges give an empty result; loops are kept as single vertices.
+    Rounds of hooking and contraction: each vertex points to its smallest neighbour, the pointers are doubled, and edges are rewritten to where
+    they point. As pointers only go down inside a component, its smallest vertex is what stays. Labels follow the pointers
+    of all rounds at the end, which are few. Empty edges give an empty result; loops are kept as single vertices.
     """
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
-    open_ = edges.where("a <> b")
+    first = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    hops: list[DataFrame] = []
+    held, open_ = [], first.where("a <> b")
     while not open_.isEmpty():
         both = open_.union(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p")), "parent")
-        jumped = parent
-        for _ in range(2):
-            jumped = jumped.join(jumped.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p"))
+        parent = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p"))
+        jumped = parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p"))
         to = written(jumped, "jumped")
-        moved = labels.join(to.select(F.col("v").alias("component"), F.col("p").alias("root")), "component", "left")
-        after = written(moved.select("id", F.coalesce("root", "component").alias("component")), "labels")
+        hops.append(to)
         ends = [to.select(F.col("v").alias(c), F.col("p").alias(f"r{c}")) for c in "ab"]
         left = open_.join(ends[0], "a").join(ends[1], "b").where("ra <> rb")
-        left = written(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
-        drop_written(edges, labels, parent, to)
-        edges, labels, open_ = left, after, left
-    drop_written(edges)
+        open_ = written(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        held.append(open_)
+    labels = first.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
+    for to in hops:
+        labels = labels.join(to.select(F.col("v").alias("component"), F.col("p").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    labels = written(labels, "labels")
+    drop_written(first, *hops, *held)
     return labels
 
 
+def joined_components(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after more ``links`` (a, b) between vertices, those of ``label`` or new ones: only the components
+    that a link touches are looked at again."""
+    own = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    met = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = connected_components(met)
+    moved = label.join(over.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    fresh = over.join(label, "id", "left_anti").select("id", "component")
+    out = written(moved.unionByName(fresh), "labels")
+    drop_written(over)
+    return out
+
+
 def link_buckets(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], rounds: int = 1) -> DataFrame:
     """Components (id, component) over the links between ids that share a bucket.
 
@@ -53,6 +66,7 @@ def link_buckets(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], res
     sizes = written(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi"), "buckets")
     many = written(sizes.where("n > 2").select("key", "lo"), "many")
     members = written(keyed.join(maybe_broadcast(many), "key").select("key", "lo", "id").distinct(), "members")
+    # a bucket of two needs no look at its members
     star = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     tried = written(star.union(members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))).distinct(), "star")
     drop_written(sizes, many)
@@ -85,11 +99,8 @@ def link_buckets(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], res
             drop_written(more)
             continue
         links.append(more)
-        every = links[0]
-        for one in links[1:]:
-            every = every.union(one)
-        drop_written(label)
-        label = connected_components(every)
+        before, label = label, joined_components(label, more)
+        drop_written(before)
     drop_written(members, *done, *links)
     return label
 
