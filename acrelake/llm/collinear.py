@@ -35,9 +35,10 @@ K = 5
 WINDOW = 8
 GAP = 0.1
 LEAST_WORDS = 50
-#: Aligned parts below this many words are chance; edits may be at most this share of a part.
+#: Aligned parts below this many words are chance; edits may be at most this share of a part: one word in eight, the rate at which seeds
+#: of K words still find nine of ten passages.
 LEAST_PART = 16
-MOST_EDITS = 0.2
+MOST_EDITS = 0.125
 #: Mismatches in a row that an extension may cross.
 CROSS = 2
 

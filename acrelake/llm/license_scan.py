@@ -2,7 +2,9 @@
 
 Each text is lower-cased (A-Z) and cut into words; one automaton finds every phrase (identifier tags, notice
 phrases, licence names) at word boundaries. After an ``SPDX-License-Identifier`` tag the rest of the line is
-parsed as an expression with and/or/with, as far as it is one, and evaluated over licence categories.
+parsed as an expression with and/or/with, as far as it is one, and evaluated over licence categories. An operand is a known identifier or
+a reference (``LicenseRef-``, ``DocumentRef-``), and what stands to the right of ``with`` a known exception: prose after a tag is no
+expression. The identifiers are those of ``license_ids.txt`` beside this file; the notice phrases are a short list of the most common ones.
 
 Defined results: a null or empty text has no words, no labels and score 0; text without a phrase the same;
 a line that begins with no expression gives the label ``expression-invalid`` and nothing else; extra columns are dropped; repeated
@@ -14,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from importlib import resources
 
 import ahocorasick
 import pyarrow as pa
@@ -50,22 +53,37 @@ NOTICES = {
 BASE_WEIGHT = 0.7
 TAG = "spdx license identifier"
 
-#: Category of identifiers by their first part; rank orders them from free to closed.
-CATEGORIES = {
-    "mit": "permissive", "apache": "permissive", "bsd": "permissive", "isc": "permissive", "zlib": "permissive", "cc0": "permissive", "unlicense": "permissive", "0bsd": "permissive",
-    "lgpl": "weak-copyleft", "mpl": "weak-copyleft", "epl": "weak-copyleft", "cddl": "weak-copyleft",
-    "gpl": "copyleft", "agpl": "copyleft", "cc": "restricted", "proprietary": "restricted", "licenseref": "restricted",
-}
 RANK = {"permissive": 0, "weak-copyleft": 1, "copyleft": 2, "restricted": 3, "unknown": 4}
 _NAMES = {v: k for k, v in RANK.items()}
 _TAG_LINE = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+:-]+)")
 _BINDING = {"or": 1, "and": 2, "with": 3}
+_REFERENCE = re.compile(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+", re.IGNORECASE)
+
+
+@lru_cache(maxsize=1)
+def identifiers() -> dict[str, str]:
+    """Lower-case identifiers and their category; exceptions have the category ``exception``. The file has a line for each category."""
+    out = {}
+    for line in resources.files("acrelake.llm").joinpath("license_ids.txt").read_text().splitlines():
+        kind, _, names = line.partition(":")
+        if names and not line.startswith("#"):
+            out |= dict.fromkeys(names.lower().split(), kind)
+    return out
+
+
+def known(token: str, exception: bool) -> bool:
+    """Whether a token may stand as a licence, or as an exception to one; a plus sign means later versions too."""
+    low = token.lower()
+    if exception:
+        return identifiers().get(low) == "exception"
+    kind = identifiers().get(low) or identifiers().get(low.removesuffix("+"))
+    return kind not in (None, "exception") or bool(_REFERENCE.fullmatch(low))
 
 
 def parse_expression(text: str, whole: bool = True) -> list[str]:
-    """Reverse Polish order of a licence expression by the shunting-yard algorithm; ValueError if malformed. Unless it must be the
-    ``whole`` text, the longest beginning that is an expression counts, as prose or punctuation often follows."""
+    """Reverse Polish order of a licence expression by the shunting-yard algorithm; ValueError if malformed or of unknown names. Unless
+    it must be the ``whole`` text, the longest beginning that is an expression counts, as prose or punctuation often follows."""
     out: list[str] = []
     stack: list[str] = []
     operand, at, text = True, 0, text.strip().removesuffix("*/").removesuffix("-->").strip()
@@ -103,9 +121,10 @@ def parse_expression(text: str, whole: bool = True) -> list[str]:
             stack.append(low)
             operand = True
         else:
-            if not operand or not token.strip(".:"):
+            token = token if whole else token.rstrip(".:")
+            if not operand or not known(token, bool(stack) and stack[-1] == "with"):
                 return error()
-            out.append(token if whole else token.rstrip(".:"))
+            out.append(token)
             operand = False
         if not operand and not depth:
             good, size = stack[::-1], len(out)
@@ -113,7 +132,8 @@ def parse_expression(text: str, whole: bool = True) -> list[str]:
 
 
 def category(identifier: str) -> str:
-    return CATEGORIES.get(identifier.lower().split("-")[0].rstrip("+"), "unknown")
+    low = identifier.lower()
+    return identifiers().get(low) or identifiers().get(low.removesuffix("+")) or ("restricted" if _REFERENCE.fullmatch(low) else "unknown")
 
 
 def evaluate(rpn: list[str]) -> tuple[str, list[str]]:
@@ -127,7 +147,7 @@ def evaluate(rpn: list[str]) -> tuple[str, list[str]]:
             stack.append(min(a, b) if token == "or" else max(a, b) if token == "and" else min(a, 1) if a == 2 else a)
         else:
             exception = i + 1 < len(rpn) and rpn[i + 1] == "with"
-            stack.append(RANK[category(token)])
+            stack.append(0 if exception else RANK[category(token)])
             if not exception:
                 names.append(token.lower())
     return _NAMES[stack[0]], sorted(set(names))

@@ -127,3 +127,34 @@ def test_edits_of_long_stretches_end_soon():
     b[7000] = 1
     assert collinear.edits(a, b, 4000) == 4
     assert collinear.edits(a, rng.integers(0, 1 << 60, 20_000).astype(np.uint64), 4000) == 4001
+
+
+def test_queries_of_token_counts_and_passages(spark, tmp_path):
+    """op6 and op8 through their queries: counts as the tokenizer gives them, passages as planted, and empty tables."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from acrelake.llm import queries
+
+    rng = random.Random(21)
+    vocab = vocabulary(rng, 5000)
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    passage = text(60)
+    rows = [(1, f"{text(80)} {passage} {text(40)}"), (2, f"{text(10)} {passage}"), (3, text(200)), (4, None), (5, ""), (6, "a\n" * 30_000), (7, "word " * 60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(queries.RANKS), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r.n_tokens for r in queries.op6_token_counts(spark, f"{tmp_path}/a").collect()}
+    assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in rows}
+    found = {}
+    for r in queries.op8_substring_dedup(spark, f"{tmp_path}/a").collect():
+        found.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        found.setdefault(r.other_id, set()).update(range(r.other_start, r.other_end))
+    assert set(found) == {1, 2} and set(range(80, 140)) <= found[1] and set(range(10, 70)) <= found[2]
+    assert len(found[1]) <= 64 and len(found[2]) <= 64
+    assert queries.op6_token_counts(spark, f"{tmp_path}/b").count() == 0
+    assert queries.op8_substring_dedup(spark, f"{tmp_path}/b").count() == 0

@@ -102,7 +102,7 @@ def test_shunting_yard(text, rpn):
     assert license_scan.parse_expression(text) == rpn.split()
 
 
-@pytest.mark.parametrize("text", ["", "MIT OR", "(MIT", "MIT)", "MIT Apache-2.0", "AND", "MIT ? ISC"])
+@pytest.mark.parametrize("text", ["", "MIT OR", "(MIT", "MIT)", "MIT Apache-2.0", "AND", "MIT ? ISC", "see", "MIT WITH BSD-3-Clause", "Classpath-exception-2.0", "GPL-2.0 WITH MIT", "MIT OR unknown"])
 def test_malformed_expressions(text):
     with pytest.raises(ValueError):
         license_scan.parse_expression(text)
@@ -149,6 +149,19 @@ def test_markov_models_on_held_out_samples(spark):
     assert [(s.kind, s.start, s.end) for s in spans] == [("random", 4, 28)]
 
 
+def test_random_strings_are_found_through_the_operator(spark):
+    """Held-out strings of each kind between words, letters alone among them; identifiers and long words stay."""
+    rng, letters = random.Random(77), secret_markov.ALPHABET
+    kinds = {"lower": letters[:26], "upper": letters[26:52], "letters": letters[:52], "base62": letters[:62], "base64": letters[:64], "lower and digits": letters[:26] + letters[52:62]}
+    rows = [(k, "see " + "".join(rng.choices(chars, k=20)) + " here") for k, chars in kinds.items() for _ in range(200)]
+    rows += [("identifier", f"see {x} here") for x in secret_markov.labelled_samples(41, 500)[1]]
+    rows += [("word", f"see {x} here") for x in ("internationalization", "Donaudampfschifffahrt", "incomprehensibilities", "desafortunadamente", "anticonstitutionnellement", "Rechtsschutzversicherung", "12345678901234567890")]
+    found = secret_markov.find_secrets(spark.createDataFrame(rows, "doc_id string, text string"))
+    share = {r.doc_id: r.s for r in found.groupBy("doc_id").agg(F.avg(F.exists("spans", lambda s: s["kind"] == "random").cast("int")).alias("s")).collect()}
+    assert all(share[k] >= 0.97 for k in kinds), share
+    assert share["identifier"] <= 0.01 and share["word"] == 0, share
+
+
 def test_quality(spark, odd_dir):
     where, rows = odd_dir
     got = {r.doc_id: r for r in queries.op10_quality(spark, where).collect()}
@@ -266,7 +279,9 @@ def test_field_carries_a_kind_to_where_there_is_no_context():
     [
         ("MIT.", ["mit", "permissive"]), ("MIT, see LICENSE", ["mit", "permissive"]), ("GPL-3.0-or-later applies", ["copyleft", "gpl-3.0-or-later"]),
         ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl-2.0", "weak-copyleft"]), ("MIT OR GPL-2.0 AND LGPL-2.1", ["gpl-2.0", "lgpl-2.1", "mit", "permissive"]),
-        ("(MIT OR GPL-2.0) AND Foo-1", ["foo-1", "gpl-2.0", "mit", "unknown"]), (", none", ["expression-invalid"]), ("(" * 50_000, ["expression-invalid"]),
+        ("(MIT OR GPL-2.0) AND Foo-1", ["gpl-2.0", "mit", "permissive"]),
+        ("see the LICENSE file", ["expression-invalid"]), ("MIT WITH BSD-3-Clause", ["mit", "permissive"]), ("GPL-2.0+ AND LicenseRef-own.1", ["gpl-2.0+", "licenseref-own.1", "restricted"]),
+        ("DocumentRef-x:LicenseRef-y", ["documentref-x:licenseref-y", "restricted"]), ("Apache-2.0 WITH LLVM-exception */", ["apache-2.0", "permissive"]), (", none", ["expression-invalid"]), ("(" * 50_000, ["expression-invalid"]),
     ],
 )
 def test_tag_lines(line, labels):
