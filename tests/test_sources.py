@@ -190,3 +190,14 @@ def test_numbers_are_dense_after_files(spark, tmp_path, advisory):
     finally:
         for n, v in before.items():
             spark.conf.set(n, v)
+
+
+def test_addresses(spark):
+    from acrelake.functions import address
+
+    mail = {"PO Box 12, Macon, GA 31201": True, "P.O. BOX 7 ATLANTA GA, 30303-1234": True, "12 Main St, Atlanta, GA 30303": True, "c/o Bank, 9 Elm Rd Dalton ga 30720": True,
+            "Main St, Atlanta, GA 30303": False, "12 Main St, Atlanta, ZZ 30303": False, "12 Main St, Atlanta, GA": False, "": False, None: False, "Box 9 Macon GA 31201": True, "GA 30303-1234": False}
+    site = {"12 Main": True, "0 CAMPBELLTON FAIRBURN RD": True, "Old Mill road": True, "O'Neal Ridge": True, "Rd": False, "Main": False, "12": False, "": False, None: False, "12A Main": False}
+    for cases, f in ((mail, address.mailing_parses), (site, address.site_parses)):
+        rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "a string, want boolean")
+        assert rows.where(~f(F.col("a")).eqNullSafe(F.col("want"))).collect() == []
