@@ -66,3 +66,31 @@ def miles(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     rad = lambda c: F.radians(c)
     h = F.pow(F.sin((rad(y1) - rad(y0)) / 2), F.lit(2.0)) + F.cos(rad(y0)) * F.cos(rad(y1)) * F.pow(F.sin((rad(x1) - rad(x0)) / 2), F.lit(2.0))
     return 2 * RADIUS_MILES * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+#: Half axes of the ellipsoid WGS 84 in metres.
+MAJOR, MINOR = 6378137.0, 6356752.314245179
+_ECCENTRICITY = (1 - (MINOR / MAJOR) ** 2) ** 0.5
+
+
+def _authalic(lat: Column) -> Column:
+    """The area between the equator and a latitude for each radian of longitude, over half the square of the minor axis."""
+    s = F.sin(F.radians(lat))
+    return s / (1 - _ECCENTRICITY**2 * s * s) + F.atanh(_ECCENTRICITY * s) / _ECCENTRICITY
+
+
+def ellipsoid_area(ring: Column) -> Column:
+    """Signed area in square metres on the ellipsoid of a ring in degrees, positive when counter-clockwise. Edges are straight in
+    longitude and latitude, and their areas come by Simpson's rule from the latitude of the first point, so that small rings lose no
+    digits; an edge goes the short way around, and no ring goes around a pole."""
+    n = F.size(ring)
+
+    def under(i: Column, base: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
+        wide = b["x"] - a["x"]
+        turn = F.radians(wide - 360.0 * F.round(wide / 360.0))
+        mean = (_authalic(a["y"]) - base) + 4 * (_authalic((a["y"] + b["y"]) / 2) - base) + (_authalic(b["y"]) - base)
+        return turn * mean / 6
+
+    total = F.transform(F.array(_authalic(F.get(ring, F.lit(0))["y"])), lambda base: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, i: acc - under(i, base)))[0]
+    return F.when(n >= 3, total * (MINOR**2 / 2)).otherwise(0.0)
