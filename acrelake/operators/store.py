@@ -162,6 +162,21 @@ class Cycle:
         entry["parts"] |= {str(b): f"{where}/{_BUCKET}={b}" for b in touched}
         return touched
 
+    def replace_keyed(self, table: str, df: DataFrame, keys: list[str], buckets: int = 64) -> list[int]:
+        """All rows of ``df``, repeated ones too, in place of the table's rows that have their keys; only the buckets that they fall into
+        are read and rewritten. Returns those."""
+        entry = self.tables.setdefault(table, {"schema": df.schema.jsonValue(), "buckets": buckets, "parts": {}})
+        if not entry["buckets"]:
+            raise ValueError(f"{table} has no buckets")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(entry["buckets"])).cast("int")
+        touched = sorted(r[0] for r in df.select(bucket).distinct().collect())  # at most as many numbers as there are buckets
+        if touched:
+            old = self.store._parts(Manifest(tables=self.tables), table, [str(b) for b in touched])
+            merged = history.keyed_replace(old, df.select(old.columns), keys).withColumn(_BUCKET, bucket)
+            where = self._stage(table, merged.hint("rebalance", _BUCKET), [_BUCKET])
+            entry["parts"] |= {str(b): f"{where}/{_BUCKET}={b}" for b in touched}
+        return touched
+
     def commit(self) -> int:
         """Makes the cycle visible; the number of its manifest."""
         number = self._known.number + 1

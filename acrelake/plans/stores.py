@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrelake.operators import cycle, nearest, selection, store
+from acrelake.operators import cycle, ingest, nearest, selection, store
 from acrelake.plans import cycles
 from acrelake.plans.catalogue import query, t
 from acrelake.plans.cycles import _items
-from acrelake.sources import lines, scratch
+from acrelake.sources import exports, lines, scratch
 
 
 def _store(spark: SparkSession, name: str) -> store.Store:
@@ -102,6 +102,46 @@ def quantile_of_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.quantiles(rows, ["g"], "price", 0.9, bin_rows=100).withColumn("price", F.round("price", 6))
 
 
+def _csv_files(rows: DataFrame, header: str) -> str:
+    """A folder with a file for each bucket of ``rows`` (bucket, at, value): its header, then its values in order."""
+    spark = rows.sparkSession
+    heads = rows.select("bucket").distinct().select("bucket", F.lit(-1).cast("long").alias("at"), F.lit(header).alias("value"))
+    path = f"{scratch.fresh_path(spark, 'csv')}-{uuid.uuid4().hex}"
+    rows.unionByName(heads).repartition(5, "bucket").sortWithinPartitions("bucket", "at").drop("at").write.partitionBy("bucket").text(path)
+    return path
+
+
+_DELIVERED = "o_orderkey % {n} = 0"
+_PRICE = "CASE WHEN o_orderkey % 5 = {k} THEN '0' ELSE CAST(o_custkey + 1 + {k} AS {text}) END"
+
+
+def _ingested(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Two deliveries of land sales in files, the second one twice; a table of the store after them."""
+    to, spec = _store(spark, "ingested"), exports.LAND_SALES
+    for cycle_id, n, k in (("in-1", 2, 0), ("in-2", 3, 1), ("in-2", 3, 1)):
+        orders = t(spark, sf_dir, "orders").where(_DELIVERED.format(n=n))
+        cells = {"address": "CAST(o_orderkey AS STRING)", "submarket": "concat('m', o_custkey % 7)", "acres": "'5'", "sale_date": "'2026-01-02'", "sale_price": _PRICE.format(k=k, text="STRING")}
+        value = "concat_ws(',', " + ", ".join(cells.get(c, "''") for c in spec.columns) + ") AS value"
+        rows = orders.selectExpr("o_custkey % 3 AS bucket", "o_orderkey AS at", value)
+        ingest.ingest(to, cycle_id, spec, _csv_files(rows, ",".join(spec.columns)), buckets=8)
+    return to.read(name)
+
+
+_SOLD = "SELECT o_orderkey AS address, o_custkey + 1 + {k} AS sale_price FROM orders WHERE o_orderkey % {n} = 0 AND o_orderkey % 5 <> {k}"
+
+
+@query(f"SELECT coalesce(b.address, a.address) AS address, coalesce(b.sale_price, a.sale_price) AS sale_price FROM ({_SOLD.format(n=2, k=0)}) a FULL JOIN ({_SOLD.format(n=3, k=1)}) b ON a.address = b.address")
+def ingested_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(spark, sf_dir, "land_sales_comps").select(F.col("address").cast("long").alias("address"), "sale_price")
+
+
+@query(" UNION ALL ".join(f"SELECT 'in-{c}' AS cycle_id, count(*) FILTER (o_orderkey % 5 <> {k}) AS loaded, count(*) FILTER (o_orderkey % 5 = {k}) AS failed FROM orders WHERE o_orderkey % {n} = 0 GROUP BY o_custkey % 3" for c, n, k in ((1, 2, 0), (2, 3, 1))))
+def ingestion_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each file; the delivery that came twice was loaded once."""
+    number = lambda what: F.regexp_extract("notes", rf"{what}=(\d+)", 1).cast("long")
+    return _ingested(spark, sf_dir, "log").select("cycle_id", number("rows_loaded").alias("loaded"), number("rows_failed").alias("failed"))
+
+
 _FROM = "c_custkey, ((c_custkey * 7919) % 36000) / 100.0{d} - 180.0{d} AS x, ((c_custkey * 104729) % 17900) / 100.0{d} - 89.5{d} AS y"
 _TO = "s_suppkey, ((s_suppkey * 3571) % 36000) / 100.0{d} - 180.0{d} AS x, CASE WHEN s_suppkey % 4 = 0 THEN 84.0{d} ELSE ((s_suppkey * 13) % 16000) / 100.0{d} - 80.0{d} END AS y"
 _MILES = "2 * 3958.7613 * asin(sqrt(least(1.0, pow(sin((radians(b.y) - radians(a.y)) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin((radians(b.x) - radians(a.x)) / 2), 2))))"
@@ -121,11 +161,8 @@ def numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as CSV files with quoted line ends, read back by splits: each record with the line that it begins on."""
     note = F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat('note, \"', o_orderkey, '\"', repeat('\nx', CAST(o_orderkey % 4 AS INT))) ELSE 'plain' END")
     orders = t(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("bucket"), "o_orderkey", note.alias("note"))
-    heads = orders.select("bucket").distinct().select("bucket", F.lit(-1).cast("long").alias("o_orderkey"), F.lit("key,note").alias("value"))
     quoted = F.concat(F.lit('"'), F.replace("note", F.lit('"'), F.lit('""')), F.lit('"'))
-    rows = orders.select("bucket", "o_orderkey", F.concat_ws(",", F.col("o_orderkey").cast("string"), quoted).alias("value")).unionByName(heads)
-    path = f"{scratch.fresh_path(spark, 'csv')}-{uuid.uuid4().hex}"
-    rows.repartition(5, "bucket").sortWithinPartitions("bucket", "o_orderkey").drop("o_orderkey").write.partitionBy("bucket").text(path)
-    body, heads = lines.read_rows(spark, path)
+    rows = orders.select("bucket", F.col("o_orderkey").alias("at"), F.concat_ws(",", F.col("o_orderkey").cast("string"), quoted).alias("value"))
+    body, heads = lines.read_rows(spark, _csv_files(rows, "key,note"))
     named = body.join(heads, "file").select("file", "line", F.map_from_arrays("header", F.slice("cells", 1, 2)).alias("m"))
     return named.select(F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long").alias("bucket"), F.col("m.key").cast("long").alias("o_orderkey"), "line", F.col("m.note").alias("note"))

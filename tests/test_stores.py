@@ -6,7 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from acrelake.operators import nearest, selection, spatial, store
+from acrelake.operators import ingest, nearest, selection, spatial, store
+from acrelake.sources import exports
 
 
 def files_of(root):
@@ -152,3 +153,29 @@ def test_within_miles_is_brute_force(spark):
         assert got == {i for i, p in enumerate(a) if min(miles(p, q) for q in b) <= limit}
     line = spatial.within_miles(left.where("id = 160"), spark.createDataFrame([(0, 179.9999, 10.0)], schema), 0.1)
     assert line.count() == 1
+
+
+def test_an_ingestion_cycle(spark, tmp_path):
+    """A delivery with bad rows and a bad file; its flags name lines, its files move, and the same cycle again does nothing."""
+    spec = exports.LAND_SALES
+    (tmp_path / "in").mkdir()
+    row = lambda address, price: ",".join({"address": f'"{address}"', "submarket": "m", "acres": "5", "sale_date": "2026-01-02", "sale_price": price}.get(c, "") for c in spec.columns)
+    head = ",".join(spec.columns)
+    (tmp_path / "in" / "land_sales_comps_202601.csv").write_text("\n".join([head, row("1\nMain", "10"), row("2 Main", "0"), row("3 Main", "x"), row("4 Main", "40"), row("4 Main", "41")]))
+    (tmp_path / "in" / "land_sales_comps_202602.csv").write_text("address,x\n1,2\n")
+    to = store.Store(spark, str(tmp_path / "s"))
+    files = ingest.ingest(to, "c1", spec, str(tmp_path / "in"), buckets=4)
+    got = {r.file.rsplit("/", 1)[1]: (r.rows_loaded, r.rows_failed, (r.error or "")[:14]) for r in files.collect()}
+    assert got == {"land_sales_comps_202601.csv": (3, 2, ""), "land_sales_comps_202602.csv": (0, 0, "missing column")}
+    assert sorted((r.address, r.sale_price) for r in to.read("land_sales_comps").collect()) == [("1\nMain", 10), ("4 Main", 40), ("4 Main", 41)]
+    assert sorted(r.description.split("202601.csv ")[1] for r in to.read("flags").collect()) == ["line 4: sale_price: out of range", "line 5: sale_price: not a number"]
+    assert "file=land_sales_comps_202601.csv rows_loaded=3 rows_failed=2" in " ".join(r.notes for r in to.read("log").collect())
+    (tmp_path / "done").mkdir()
+    (tmp_path / "done" / "land_sales_comps_202601.csv").write_text("before")
+    moved = ingest.settle(spark, files, str(tmp_path / "done"), str(tmp_path / "bad"))
+    assert sorted(p.rsplit("/", 2)[1] + "/" + p.rsplit("/", 1)[1] for p in moved.values()) == ["bad/land_sales_comps_202602.csv", "done/land_sales_comps_202601.csv.1"]
+    assert not [p for p in (tmp_path / "in").iterdir() if p.suffix == ".csv" and not p.name.startswith(".")] and ingest.settle(spark, files, str(tmp_path / "done"), str(tmp_path / "bad")) == {}
+    assert ingest.ingest(to, "c1", spec, str(tmp_path / "nowhere")) is None
+    (tmp_path / "in" / "land_sales_comps_202603.csv").write_text("\n".join([head, row("4 Main", "50")]))
+    ingest.ingest(to, "c2", spec, str(tmp_path / "in" / "land_sales_comps_202603.csv"))
+    assert sorted((r.address, r.sale_price) for r in to.read("land_sales_comps").collect()) == [("1\nMain", 10), ("4 Main", 50)]
