@@ -159,7 +159,10 @@ def align(a: np.ndarray, b: np.ndarray, pos: list[int], other: list[int], k: int
     """Aligned parts (start, end, other_start, other_end, edits) of a chain; a stretch between seeds that is too
     different ends one part and begins the next."""
     parts, s, o, e, f, cost = [], pos[0], other[0], pos[0] + k, other[0] + k, 0
-    for p, q in zip(pos[1:], other[1:]):
+    later = zip(pos[1:], other[1:])
+    if all(p - q == s - o for p, q in zip(pos, other)) and np.array_equal(a[s : pos[-1] + k], b[o : other[-1] + k]):
+        e, f, later = pos[-1] + k, other[-1] + k, ()  # equal throughout, as most copies are: no stretch to compare
+    for p, q in later:
         if p < e or q < f:  # overlapping seeds on one diagonal go on; on another one the later seed is passed over
             if p - e == q - f:
                 e, f = p + k, q + k
@@ -232,13 +235,12 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = written(busy.where(F.col("n") > _HOT), "hot")
     shared = found.join(maybe_broadcast(hot), "seed", "left_anti").join(busy, "seed").unionByName(found.join(maybe_broadcast(hot), "seed"))
     matches = shared.where("d <> anchor OR pos <> other").groupBy("d", "anchor").agg(F.collect_set(F.struct("pos", "other")).alias("m"))
+    matches = matches.select("d", "anchor", "m.pos", "m.other")
 
     def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d, anchor, m in zip(pdf["d"], pdf["anchor"], pdf["m"]):
-                pos = np.array([x["pos"] for x in m])
-                other = np.array([x["other"] for x in m])
+            for d, anchor, pos, other in zip(pdf["d"], pdf["anchor"], pdf["pos"], pdf["other"]):
                 for c in chains(pos, other):
                     rows.append((d, anchor, pos[c].tolist(), other[c].tolist()))
             yield pd.DataFrame(rows, columns=["d", "anchor", "pos", "other"])
