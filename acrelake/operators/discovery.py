@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acrelake.functions import geometry, text
@@ -76,3 +77,33 @@ def masked(df: DataFrame, fields: list[str], pattern: str = r"(?i)owner|mail|pho
     """Mapped personal fields, and any whose name looks like one, masked; nulls stay."""
     hide = [c for c in df.columns if c in fields] + [c for c in df.columns if c not in fields and re.search(pattern, c)]
     return df.select(*[F.when(F.col(c).isNotNull(), "***").alias(c) if c in hide else F.col(c) for c in df.columns])
+
+
+def totals(df: DataFrame, by: str, outcome: str, outcomes: list[str]) -> DataFrame:
+    """Rows (by, a count for each of ``outcomes``), and one named total over all."""
+    counts = [F.count_if(F.col(outcome) == o).alias(o) for o in outcomes]
+    rolled = df.rollup(by).agg(F.grouping(by).alias("_all"), *counts)
+    return rolled.select(F.when(F.col("_all") == 1, "total").otherwise(F.col(by)).alias(by), *outcomes)
+
+
+def merged_registry(sources: DataFrame, overlay: DataFrame, key: str, defaults: dict[str, str]) -> DataFrame:
+    """``sources`` with the columns of ``overlay`` by key, ``defaults`` where it says nothing. Keys that begin with an underscore are notes;
+    an overlay key without a source is an error, since a misspelt one would drop out silently."""
+    real = lambda df: df.where(~F.startswith(F.col(key), F.lit("_")))
+    orphans = [r[0] for r in real(overlay).join(sources, key, "left_anti").select(key).orderBy(key).limit(20).collect()]
+    if orphans:
+        raise ValueError(f"overlay keys without a source: {', '.join(orphans)}")
+    filled = real(sources).join(overlay, key, "left")
+    return filled.select(*sources.columns, *[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in overlay.columns if c != key])
+
+
+def fresh_exports(spark: SparkSession, folder: str, now: datetime.datetime, days: int = 30) -> DataFrame:
+    """Rows (path, modified) of CSV files changed in the last ``days`` days, in the folders just below ``folder``: archived ones lie deeper.
+    File names and times are listed, contents are not read. An empty or missing place gives no rows."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = hadoop(f"{folder.rstrip('/')}/*/*.csv")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+        return spark.createDataFrame([], "path string, modified timestamp")
+    files = spark.read.format("binaryFile").schema(schema).load(f"{folder.rstrip('/')}/*/*.csv")
+    return files.where(F.col("modificationTime") >= F.lit(now - datetime.timedelta(days=days))).select("path", F.col("modificationTime").alias("modified"))
