@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -66,6 +67,13 @@ def drop_written(*tables: DataFrame) -> None:
         store.delete(target, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more. It does so when the driver collects garbage, which a
+    driver with room to spare may put off over many stages while the executors' disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def is_small(keys: DataFrame, rows: int | None = None) -> bool:
     """Whether the rows of ``keys``, a table made by :func:`written`, and the bytes of its files are few. Rows are counted from file
     footers unless their number is known."""
