@@ -7,12 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acrelake.operators import spatial
+
 #: Fixed value: so many signals make a parcel one to approach.
 LEAST_SIGNALS = 3
 #: Fixed value: years of one owner that count as a long hold.
 LONG_HOLD_YEARS = 15
 #: Fixed value: neighbours developed that surround a parcel.
 SURROUNDED = 3
+#: Miles within which a sale or a project counts, and months for which a sale does.
+NEAR_MILES, SALE_MONTHS = 1.0, 12
 
 
 def touching(left: DataFrame, right: DataFrame, key: str, cell: float) -> DataFrame:
@@ -45,6 +49,20 @@ def long_hold(since: Column, as_of: Column) -> Column:
     return since < F.add_months(as_of, -12 * LONG_HOLD_YEARS)
 
 
+def recent_sale(sold: Column, price: Column, acres: Column, industrial: Column, as_of: Column) -> Column:
+    """A sale of the last SALE_MONTHS, none to come, at or above what an acre of industrial land costs."""
+    return sold.between(F.add_months(as_of, -SALE_MONTHS), as_of) & (acres > 0) & (F.try_divide(price, acres) >= industrial)
+
+
+def with_near(sites: DataFrame, key: str, places: dict[str, DataFrame], limit: float = NEAR_MILES) -> DataFrame:
+    """``sites`` (key, x, y in degrees) with a column for each of ``places`` (x, y) that says whether one of them is within ``limit`` miles; a
+    site without coordinates has none near. Each costs one join on cells and one on the key, whatever lies close together."""
+    for name, rows in places.items():
+        met = spatial.within_miles(sites.select(key, "x", "y"), rows, limit).select(key, F.lit(True).alias(name)).dropDuplicates([key])
+        sites = sites.join(met, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return sites
+
+
 def counted(df: DataFrame, signals: list[str]) -> DataFrame:
     """``df`` with ``n_signals``, the columns of ``signals`` that are true, and ``outreach``; an unknown signal isn't one."""
     n = reduce(Column.__add__, [F.coalesce(F.col(s), F.lit(False)).cast("int") for s in signals])
