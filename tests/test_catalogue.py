@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from acrelake.plans import catalogue, cycles, layouts, reports, shapes, snapshots, stores, upkeep, validators  # noqa: F401  (the others register their queries)
+from acrelake.plans import catalogue, cycles, discoveries, layouts, reports, shapes, snapshots, stores, upkeep, validators  # noqa: F401  (the others register their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
