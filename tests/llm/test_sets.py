@@ -266,3 +266,20 @@ def test_empty_tables(spark, tmp_path, name):
     where = table(spark, tmp_path, [])
     table(spark, tmp_path, [], "benchmark")
     assert queries.QUERIES[name](spark, where).count() == 0
+
+
+def test_verification_is_the_edit_distance(spark):
+    """Pairs of lines with edits anywhere, none too, against the plain distance of whole texts."""
+    dice, rows = random.Random(5), []
+    for i in range(400):
+        line = " ".join("".join(dice.choice("abcdeé") for _ in range(dice.randrange(1, 7))) for _ in range(dice.choice([1, 2, 5, 8, 20, 60])))
+        chars = list(line)
+        for _ in range(dice.choice([0, 1, 2, len(line) // 20, len(line) // 17 + 1])):
+            place, what = dice.randrange(len(chars) + 1), dice.randrange(3)
+            chars[place : place + (what > 0)] = [dice.choice("ab ")] * (what < 2)
+        rows.append((i, -i, line, "".join(chars)))
+    pairs = spark.createDataFrame(rows, "a long, b long, t_a string, t_b string")
+    most = F.floor(F.lit(0.05) * F.greatest(F.char_length("t_a"), F.char_length("t_b")))
+    want = {r.a for r in pairs.where(F.levenshtein("t_a", "t_b") <= most).collect()}
+    assert {r.a for r in fuzzy_lines._alike(pairs, 0.95).collect()} == want
+    assert 0 < len(want) < 400
