@@ -283,3 +283,36 @@ def test_verification_is_the_edit_distance(spark):
     want = {r.a for r in pairs.where(F.levenshtein("t_a", "t_b") <= most).collect()}
     assert {r.a for r in fuzzy_lines._alike(pairs, 0.95).collect()} == want
     assert 0 < len(want) < 400
+
+
+def test_large_buckets_lose_no_link(spark, tmp_path):
+    """Lines of one bucket that differ from its pivot by what they lack, by own halves or by little: all links among them are found, and
+    lines of a template aren't tried in pairs."""
+    dice, lines = random.Random(21), []
+    word = lambda: "".join(dice.choice("abcdefghiklmnoprstuw") for _ in range(6))
+    whole = [word() for _ in range(60)]
+    lines.append(" ".join(whole))
+    for n in range(10, 50, 2):  # beginnings of the pivot: nothing in them is new
+        lines += [" ".join(whole[:n]), " ".join(whole[:n])[:-3]]
+    for _ in range(30):
+        own = [word() for _ in range(30)]
+        lines += [" ".join(whole[:30] + own), changed(dice, " ".join(whole[:30] + own), 12)]
+    for _ in range(30):
+        near = list(whole)
+        for at in dice.sample(range(60), dice.choice([2, 3, 4, 5])):
+            near[at] = word()
+        lines.append(" ".join(near))
+    spread = lambda a, b: fuzzy_lines._most(a, b, 0.95)
+    df = spark.createDataFrame(list(enumerate(lines)), "k1 long, norm string")
+    pairs = df.selectExpr("k1 AS a", "norm AS t_a").join(df.selectExpr("k1 AS b", "norm AS t_b"), F.expr("a < b"))
+    due = {(r.a, r.b) for r in pairs.where(F.levenshtein("t_a", "t_b") <= spread(F.char_length("t_a"), F.char_length("t_b"))).select("a", "b").collect()}
+    group = spark.createDataFrame([(0, i, i) for i in range(len(lines))], "p long, id long, component long")
+    got = {(r.a, r.b) for r in fuzzy_lines._by_differences(group, df, 0.95).collect()}
+    assert len(due) > 60 and due <= got and len(got) < 0.2 * len(lines) ** 2 / 2, (len(due), len(due - got), len(got))
+    # through the operator: ten times the largest size of a bucket that is tried in pairs
+    text = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    keep = {r.k1: r.keep for r in fuzzy_lines.duplicate_lines(text).collect()}
+    norm = {r.k1: r.norm for r in fuzzy_lines._lines(text, "doc_id", "text").collect()}
+    met = {norm[k] for k in keep}
+    tails = [x for i in range(1, 41) if any(i in p for p in due) for x in [lines[i]]]
+    assert tails and all(x in met for x in tails)
