@@ -1,12 +1,14 @@
 """Quality rules: text statistics, and robust multivariate outliers by minimum covariance determinant.
 
 ``text_stats`` takes counts of every whole text. ``robust_outliers`` fits location and scatter per group (language and
-source) in three passes over small vectors. The first counts the groups. The second takes of each group about SAMPLE rows, all of it where it
-has no more, and runs the concentration steps on them, one group in one task: each step keeps the share ``support`` of the rows that lie nearest to
+source) on all rows of it. Each concentration step keeps the share ``support`` of the rows that lie nearest to
 the current estimate, rows that tie at the cut by weight, and estimates from them anew, until the determinant stands still; of three starts
-(deviations from the medians, moments of all rows with far values pulled in, moments of all rows) the least determinant wins. The third
-takes all rows of a group within the quantile REWEIGHT of that estimate and sums their moments map-side for the last one. So a group
-with a third of all rows costs no task more than another, and only the steps see a sample.
+(deviations from the medians, moments of all rows with far values pulled in, moments of all rows) the least determinant wins. A last estimate
+comes from all rows within the quantile REWEIGHT of that one.
+
+A group of up to ALONE rows takes its steps in one task. A larger one, and the estimate over all rows, takes them as aggregations: one counts rows
+by distance, which gives the cut, another sums the moments of those within it, both map-side first; rows within a thirty-second of an octave of
+distance tie. So no task holds a group with a third of all rows, and no row is left out.
 
 Rows that the base rule rejects take no part in any estimate: a group that is mostly short texts doesn't make its proper texts outliers.
 
@@ -27,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acrelake.llm.common import maybe_broadcast, written
+from acrelake.llm.common import drop_written, maybe_broadcast, written
 
 #: The symbols that count.
 SYMBOLS = "#*$%&|<>"
@@ -134,13 +136,16 @@ PRIOR_ROWS = 50
 REWEIGHT = 0.975
 
 
-#: Rows of a group, on average, that the concentration steps see where it has more.
-SAMPLE = 6000
-SEED = 17
+#: Rows of the largest group that is fitted in one task.
+ALONE = 6000
+#: Distances, by octave, and values, by floor, that are told apart where rows are counted by them.
+BINS = 32
 #: Scaled deviations beyond which the second start pulls values in.
 PULL = 1.5
 #: Log-determinants that move by less than this stand still.
 STILL = 1e-6
+#: The same where rows tie by bins of distance.
+STILL_BINNED = 1e-4
 STEPS = 50
 
 
@@ -194,15 +199,15 @@ def concentrate(x: np.ndarray, rows: float, floors: np.ndarray, support: float,
     return best
 
 
-def _fitted(sample: DataFrame, own: list[str], names: list[str], floors: np.ndarray, support: float, steps: int, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """Rows (own, center, precision, scatter) of the raw estimates; ``sample`` has the group's size as _rows."""
-    kinds = dict(sample.dtypes)
+def _fitted(rows: DataFrame, own: list[str], names: list[str], floors: np.ndarray, support: float, steps: int, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """Rows (own, center, precision, scatter) of the raw estimates, a group in one task; ``rows`` has the group's size as _rows."""
+    kinds = dict(rows.dtypes)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         center, precision, scatter, _ = concentrate(pdf[names].to_numpy(float), float(pdf["_rows"].iloc[0]), floors, support, steps, prior)
         return pd.DataFrame([[*key, center.tolist(), precision.ravel().tolist(), scatter.ravel().tolist()]], columns=[*own, "center", "precision", "scatter"])
 
-    return sample.groupBy(*own).applyInPandas(run, ", ".join([f"`{k}` {kinds[k]}" for k in own] + ["center array<double>", "precision array<double>", "scatter array<double>"]))
+    return rows.groupBy(*own).applyInPandas(run, ", ".join([f"`{k}` {kinds[k]}" for k in own] + ["center array<double>", "precision array<double>", "scatter array<double>"]))
 
 
 def _distance(names: list[str]) -> Column:
@@ -212,6 +217,106 @@ def _distance(names: list[str]) -> Column:
     return sum(terms[1:], terms[0])
 
 
+_STATE = ("center array<double>", "precision array<double>", "scatter array<double>", "logdet double")
+
+
+def _summed(rows: DataFrame, by: list[str], off: list[Column], weight: Column) -> DataFrame:
+    """Rows (by, _rows, n, s, c): sums of weights, of weighted deviations ``off`` and of their products."""
+    d = len(off)
+    flat = rows.select(*by, "_rows", weight.alias("_w"), *[o.alias(f"o{i}") for i, o in enumerate(off)])
+    of = lambda *k: F.sum(math.prod([F.col(f"o{i}") for i in k], start=F.col("_w")))
+    sums = flat.groupBy(*by).agg(F.first("_rows").alias("_rows"), F.sum("_w").alias("n"), *[of(i).alias(f"s{i}") for i in range(d)], *[of(i, j).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)])
+    return sums.select(*by, "_rows", "n", F.array(*[f"s{i}" for i in range(d)]).alias("s"), F.array(*[f"c{min(i, j)}_{max(i, j)}" for i in range(d) for j in range(d)]).alias("c"))
+
+
+def _from_sums(sums: DataFrame, by: list[str], floors: np.ndarray, grow: float, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """Rows (by, _STATE): estimates from sums of deviations from ``at``."""
+    d, kinds = len(floors), dict(sums.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                shift = np.array(row["s"]) / row["n"]
+                cov = np.array(row["c"]).reshape(d, d) / row["n"] - np.outer(shift, shift)
+                mean, precision, scatter, logdet = _estimate(np.array(row["at"]) + shift, cov * grow, float(row["_rows"]), floors, prior)
+                out.append([*[row[k] for k in by], mean.tolist(), precision.ravel().tolist(), scatter.ravel().tolist(), logdet])
+            yield pd.DataFrame(out, columns=[*by, "center", "precision", "scatter", "logdet"])
+
+    return sums.select(*by, "_rows", "n", "s", "c", "at").coalesce(8).mapInPandas(run, ", ".join([f"`{k}` {kinds[k]}" for k in by] + [*_STATE]))
+
+
+def _medians(values: DataFrame, own: list[str], floors: np.ndarray) -> DataFrame:
+    """Rows (own, m): the medians of the array column ``x`` by place, to a BINS-th of the floors, from counts."""
+    width = F.array(*[F.lit(float(f) / BINS) for f in floors])
+    flat = values.select(*own, F.posexplode(F.zip_with("x", width, lambda x, w: F.rint(x / w))).alias("i", "bin")).groupBy(*own, "i", "bin").agg(F.count("*").alias("m"))
+    group = Window.partitionBy(*own, "i")
+    upto = flat.select("*", F.sum("m").over(group.orderBy("bin")).alias("upto"), F.sum("m").over(group).alias("all"))
+    middle = upto.where("2 * upto >= all AND 2 * (upto - m) < all")
+    at = F.array_sort(F.collect_list(F.struct("i", "bin")))
+    return middle.groupBy(*own).agg(F.zip_with(at, width, lambda a, w: a["bin"] * w).alias("m"))
+
+
+def _starts(rows: DataFrame, own: list[str], names: list[str], floors: np.ndarray, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """Rows (own, _s, _STATE) of the three starts, from all rows."""
+    d = len(names)
+    middle = written(_medians(rows.select(*own, F.array(*names).alias("x")), own, floors), "medians")
+    off = rows.join(maybe_broadcast(middle), own).select(*own, F.zip_with(F.array(*names), "m", lambda x, m: F.abs(x - m)).alias("x"))
+    spread = _medians(off, own, floors).withColumnRenamed("m", "mad").join(middle, own)
+    spread = written(spread.select(*own, "m", F.zip_with("mad", F.array(*[F.lit(float(f)) for f in floors]), lambda a, f: F.greatest(1.4826 * a, f)).alias("width")), "widths")
+    drop_written(middle)
+    known = rows.join(maybe_broadcast(spread), own)
+    out = [F.col(n) - F.col("m")[i] for i, n in enumerate(names)]
+    pull = [F.greatest(-PULL * F.col("width")[i], F.least(PULL * F.col("width")[i], o)) for i, o in enumerate(out)]
+    both = known.select(*own, "_rows", F.explode(F.array(*[F.struct(F.lit(k).alias("_s"), F.array(*o).alias("o")) for k, o in ((1, pull), (2, out))])).alias("v")).select(*own, "_rows", "v._s", "v.o")
+    sums = _summed(both, [*own, "_s"], [F.col("o")[i] for i in range(d)], F.lit(1.0)).join(spread.withColumnRenamed("m", "at"), own)
+    moments = _from_sums(sums, [*own, "_s"], floors, 1.0, prior)
+    diagonal = F.array(*[(1 / F.pow(F.col("width")[i], 2)) if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
+    first = spread.select(*own, F.lit(0).alias("_s"), F.col("m").alias("center"), diagonal.alias("precision"), F.array().cast("array<double>").alias("scatter"), F.lit(None).cast("double").alias("logdet"))
+    state = written(first.unionByName(moments.withColumn("logdet", F.lit(None).cast("double"))), "starts")
+    drop_written(spread)
+    return state
+
+
+def _stepped(rows: DataFrame, own: list[str], names: list[str], floors: np.ndarray, support: float, steps: int, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """As :func:`_fitted`, for groups of any size: ``rows`` is a written table, and each step goes over all of it."""
+    by = [*own, "_s"]
+    state = _starts(rows, own, names, floors, prior).withColumn("still", F.lit(False))
+    told = []
+    for turn in range(steps):
+        # few rows: three for each ALONE rows of the table at least
+        moving = state.where("NOT still").select(*by, "center", "precision", F.col("logdet").alias("was"))
+        pairs = rows.join(F.broadcast(moving.drop("was")), own).withColumn("_bin", F.floor(BINS * F.log2(F.greatest(_distance(names), F.lit(1e-12)))))
+        hist = pairs.groupBy(*by, "_bin").agg(F.count("*").alias("m"), F.first("_rows").alias("_rows"))
+        hist = hist.withColumn("over", F.sum("m").over(Window.partitionBy(*by).orderBy("_bin")) - support * F.col("_rows"))
+        cut = written(hist.where("over >= 0 AND over - m < 0").select(*by, F.col("_bin").alias("_cut"), (1 - F.col("over") / F.col("m")).alias("_part")), "cut")
+        near = pairs.join(F.broadcast(cut), by).where("_bin <= _cut")
+        weight = F.when(F.col("_bin") < F.col("_cut"), 1.0).otherwise(F.col("_part"))
+        sums = _summed(near, by, [F.col(n) - F.col("center")[i] for i, n in enumerate(names)], weight).join(F.broadcast(moving.select(*by, F.col("center").alias("at"))), by)
+        now = _from_sums(sums, by, floors, _grow(support, len(names)), prior).join(F.broadcast(moving.select(*by, "was")), by)
+        last = F.lit(turn == steps - 1)
+        state = written(now.withColumn("still", last | F.coalesce(F.abs(F.col("was") - F.col("logdet")) <= STILL_BINNED, F.lit(False))).drop("was"), "state")
+        told.append(state)
+        drop_written(cut)
+        if state.where("NOT still").isEmpty():
+            break
+    ended = told[0].where("still")
+    for more in told[1:]:
+        ended = ended.unionByName(more.where("still"))
+    best = ended.groupBy(*own).agg(F.min_by(F.struct("center", "precision", "scatter"), F.struct("logdet", "_s")).alias("best"))
+    return best.select(*own, "best.*")
+
+
+def _raw(judged: DataFrame, sizes: DataFrame, own: list[str], names: list[str], floors: np.ndarray, support: float, steps: int, prior: tuple[np.ndarray, np.ndarray] | None, alone: int) -> DataFrame:
+    """Rows (own, center, precision, scatter), a written table: the raw estimates of all groups, each from all of its rows."""
+    rows = judged.join(maybe_broadcast(sizes), own)
+    out = _fitted(rows.where(F.col("_rows") <= alone), own, names, floors, support, steps, prior)
+    if not sizes.where(F.col("_rows") > alone).isEmpty():
+        large = written(rows.where(F.col("_rows") > alone), "large")
+        out = out.unionByName(_stepped(large, own, names, floors, support, steps, prior))
+    return written(out, "raw")
+
+
 def _reweighted(keyed: DataFrame, raw: DataFrame, own: list[str], names: list[str], floors: np.ndarray, prior: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """Rows (own, center, precision, scatter): the last estimates, from the sums over all rows near the raw ones. A group none of whose
     rows is near, as its rows are few and far from all others, keeps its raw estimate."""
@@ -244,9 +349,10 @@ def _reweighted(keyed: DataFrame, raw: DataFrame, own: list[str], names: list[st
     return sums.join(raw, own).mapInPandas(run, ", ".join([f"`{k}` {kinds[k]}" for k in own] + ["center array<double>", "precision array<double>", "scatter array<double>"]))
 
 
-def robust_outliers(rows: DataFrame, floors: dict[str, float] = FLOORS, groups: tuple[str, ...] = ("lang", "source"), support: float = 0.5, steps: int = STEPS, quantile: float = 1 - 1e-6, fit: Column | None = None, sample: int = SAMPLE) -> DataFrame:
+def robust_outliers(rows: DataFrame, floors: dict[str, float] = FLOORS, groups: tuple[str, ...] = ("lang", "source"), support: float = 0.5, steps: int = STEPS, quantile: float = 1 - 1e-6, fit: Column | None = None, sample: int = ALONE) -> DataFrame:
     """``rows`` with distance2 and outlier (boolean); ``rows`` is a written table that has the features. Rows where ``fit`` is false have
-    distances but no part in the estimates; a group without any other row has null distances and no outliers.
+    distances but no part in the estimates; a group without any other row has null distances and no outliers. ``sample`` is the number of
+    rows beyond which a group is fitted by distributed steps; none of its rows is left out.
 
     Groups are many small keys: estimates per group are one row each and are joined back on the keys.
     """
@@ -259,13 +365,11 @@ def robust_outliers(rows: DataFrame, floors: dict[str, float] = FLOORS, groups:
     keyed = written(keyed, "vectors")
     judged = keyed.where("_fit").select(*own, *names)
     sizes = written(judged.groupBy(*own).agg(F.count("*").alias("_rows")), "sizes")
-    total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-    drawn = F.rand(SEED)  # of a written table: the same rows if a task runs again
-    every = judged.where(drawn * max(total, 1) < sample).select(F.lit("any").alias("_any"), F.lit(total).alias("_rows"), *names)
-    whole = _fitted(every, ["_any"], names, floor, support, steps, None).select("center", "scatter").collect()  # one row
+    every = judged.select(F.lit("any").alias("_any"), *names)
+    total = written(sizes.agg(F.sum("_rows").alias("_rows")).where("_rows > 0").select(F.lit("any").alias("_any"), "_rows"), "total")
+    whole = _raw(every, total, ["_any"], names, floor, support, steps, None, sample).select("center", "scatter").collect()  # one row
     prior = (np.array(whole[0].center), np.array(whole[0].scatter).reshape(d, d)) if whole else None
-    some = judged.join(maybe_broadcast(sizes), own).where(drawn * F.col("_rows") < sample)
-    raw = written(_fitted(some, own, names, floor, support, steps, prior), "raw")
+    raw = _raw(judged, sizes, own, names, floor, support, steps, prior, sample)
     model = written(_reweighted(judged, maybe_broadcast(raw), own, names, floor, prior), "model")
     scored = keyed.join(maybe_broadcast(model).drop("scatter"), own, "left").withColumn("distance2", _distance(names))
     return scored.withColumn("outlier", F.coalesce(F.col("distance2") > chi2_quantile(quantile, d), F.lit(False))).drop(*own, "_fit", "center", "precision")

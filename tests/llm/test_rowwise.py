@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from acrelake.llm import bpe, license_scan, mcd, pii_crf, queries, secret_markov
+from acrelake.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -231,6 +232,22 @@ def test_a_sample_fits_as_all_rows_do(spark):
         assert counts.get((1, False), 0) == 0 and counts.get((0, True), 0) <= 2
 
 
+def test_estimates_use_every_row_of_a_large_group(spark):
+    """Steps as aggregations reach the estimate that the whole group's steps in one task reach, which a sample's don't."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(5000, 2)) @ np.array([[1, 0.4], [0, 0.7]]), rng.normal(size=(1500, 2)) * 0.3 + 6])
+    floors = np.array([0.1, 0.1])
+    want = mcd.concentrate(x, len(x), floors, 0.5)
+    df = written(spark.createDataFrame([("g", len(x), float(a), float(b)) for a, b in x], "k string, _rows long, x double, y double").repartition(7), "rows")
+    got = mcd._stepped(df, ["k"], ["x", "y"], floors, 0.5, mcd.STEPS, None).collect()
+    assert len(got) == 1
+    assert np.allclose(got[0].center, want[0], atol=0.02) and np.allclose(np.array(got[0].scatter).reshape(2, 2), want[2], rtol=0.03, atol=0.02)
+    few = mcd.concentrate(x[rng.permutation(len(x))[:300]], len(x), floors, 0.5)
+    assert not np.allclose(few[2], want[2], rtol=0.03, atol=0.02)
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("op1_pii", "op2_licenses", "op3_bpe", "op4_secrets", "op10_quality"):
