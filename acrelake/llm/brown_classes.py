@@ -2,11 +2,13 @@
 
 Texts are read and tokenised once, into pieces: about PIECE tokens of whole documents with a word list of their own. Counts of all
 words come from the pieces' lists, and go back to them by one join per distinct word of a piece, not per token; what remains of a piece
-is a code of two bytes for each token.
+is a code for each token.
 
-The EXCHANGED most frequent words of up to LONGEST bytes take part in the exchange, which bounds the class map that every task gets (a
-fixed parameter of the model, like the number of classes). All other words, and words not seen in training, are classed by the order
-of magnitude of their count. No count is left out: classes and transitions are estimated from every training token.
+The EXCHANGED most frequent words of up to LONGEST bytes take part in the rounds, which bounds the class map that every task gets. Until
+these end, all other words are classed by the order of magnitude of their count. Then each of these, too, moves to the class that raises the
+likelihood most, by all of its neighbours in training texts: their counts meet by a shuffle on the word, and their classes go back to the pieces by
+a join. Words that no class suits better, and words not seen in training, stay in the classes of magnitude. No count
+is left out: classes and transitions are estimated from every training token.
 
 Each round gathers, for every exchanged word, how often each class stands before and after it, adds these up by word, and moves words to
 the class that raises the likelihood of class bigrams most. Words are dealt out to WORKERS tasks that move theirs one after the
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrelake.llm.common import drop_written, written
+from acrelake.llm.common import drop_written, release_shuffles, written
 
 #: Tokens of a piece; one document may exceed it.
 PIECE = 1 << 20
@@ -44,9 +46,13 @@ CLASSES = 64
 #: Classes of all other words: the binary orders of magnitude of counts.
 BANDS = 48
 ALL = CLASSES + BANDS
-CODES = EXCHANGED + BANDS
+#: Codes of exchanged words, of bands, and of classes, which other words have once they are placed. Numbers from here on are places in a
+#: piece's own list of other words.
+CODES = EXCHANGED + BANDS + CLASSES
 ROUNDS = 4
 WORKERS = 8
+#: What a move must gain, in nats, where neighbours are few: to name one of so many classes takes as much.
+PRICE = float(np.log(CLASSES))
 #: Tokens that the smoothing of transitions weighs.
 SMOOTH = 10.0
 #: The share of documents held out, by the remainder of a checksum of the id.
@@ -118,15 +124,18 @@ class Model:
     classes: np.ndarray
     gain: np.ndarray
     likelihoods: list[float]
+    matrix: np.ndarray
+    weight: np.ndarray
 
 
 def _coded(pieces: DataFrame, vocabulary: DataFrame, top: DataFrame, n: int, v: int) -> DataFrame:
-    """Rows (ids, held, lens, known, base, end, codes): per document the known tokens and the unigram score, per token its code."""
+    """Rows (piece, ids, held, lens, known, base, end, codes, tail, tail_codes): per document the known tokens and the unigram score, per token
+    its code; those of training words that aren't exchanged are CODES and the place in the piece's list ``tail``, whose codes are beside it."""
     uses = pieces.select("piece", F.posexplode("words").alias("pos", "word")).join(vocabulary, "word", "left")
     uses = uses.join(F.broadcast(top), "word", "left").select("piece", "pos", F.coalesce("c", F.lit(0)).alias("c"), "code")
     uses = uses.select("piece", F.struct("pos", "c", F.coalesce("code", EXCHANGED + _band(F.col("c"))).alias("code")).alias("use"))
     uses = uses.groupBy("piece").agg(F.collect_list("use").alias("uses"))
-    rows = pieces.select("piece", "ids", "held", "lens", "seq").join(uses, "piece")
+    rows = pieces.select("piece", "ids", "held", "lens", "seq", "words").join(uses, "piece")
     kind = dict(rows.dtypes)["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,28 +145,38 @@ def _coded(pieces: DataFrame, vocabulary: DataFrame, top: DataFrame, n: int, v:
                 col = {name: one.column(i) for i, name in enumerate(one.schema.names)}
                 use = col["uses"].flatten()
                 pos, c, code = (use.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "c", "code"))
-                count, codes = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.uint16)
+                count, codes = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int32)
                 count[pos], codes[pos] = c, code
+                own = np.flatnonzero((codes >= EXCHANGED) & (count > 0))
+                tail, tail_codes = col["words"].flatten().take(pa.array(own)), codes[own]
+                codes[own] = CODES + np.arange(len(own), dtype=np.int32)
                 seq = np.frombuffer(col["seq"][0].as_buffer(), np.int32)
                 lens = col["lens"].flatten().to_numpy()
                 starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
                 known = np.add.reduceat((count > 0)[seq].astype(np.int64), starts)
                 base = np.add.reduceat(np.log10((count + 1) / (n + v + 1))[seq], starts)
                 many = lambda values, t: pa.array([values], pa.list_(t))
-                out = [col["ids"], col["held"], col["lens"], many(known, pa.int64()), many(base, pa.float64()), pa.array([int(codes[0])], pa.int32()), pa.array([codes[seq].tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, ["ids", "held", "lens", "known", "base", "end", "codes"])
+                out = [col["piece"], col["ids"], col["held"], col["lens"], many(known, pa.int64()), many(base, pa.float64()), pa.array([int(codes[0])], pa.int32()), pa.array([codes[seq].tobytes()], pa.binary()), many(tail, pa.binary()), many(tail_codes, pa.int32())]
+                yield pa.RecordBatch.from_arrays(out, ["piece", "ids", "held", "lens", "known", "base", "end", "codes", "tail", "tail_codes"])
 
-    return rows.mapInArrow(run, f"ids {kind}, held array<boolean>, lens array<int>, known array<long>, base array<double>, end int, codes binary")
+    return rows.mapInArrow(run, f"piece long, ids {kind}, held array<boolean>, lens array<int>, known array<long>, base array<double>, end int, codes binary, tail array<binary>, tail_codes array<int>")
 
 
-def _sequences(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each piece its row, the codes, those before them and the lengths of documents. Each document is closed by the end, so what
-    stands before a document's first token is an end too."""
+def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each piece its row, the numbers of tokens, of those before them, the code of each number and the lengths of documents. Each document
+    is closed by the end, so what stands before a document's first token is an end too."""
     at = {name: i for i, name in enumerate(batch.schema.names)}
     for r in range(len(batch)):
-        codes = np.frombuffer(batch.column(at["codes"])[r].as_buffer(), np.uint16)
-        before = np.concatenate([[batch.column(at["end"])[r].as_py()], codes[:-1]]).astype(np.int64)
-        yield r, codes.astype(np.int64), before, batch.column(at["lens"]).slice(r, 1).flatten().to_numpy()
+        numbers = np.frombuffer(batch.column(at["codes"])[r].as_buffer(), np.int32)
+        before = np.concatenate([[batch.column(at["end"])[r].as_py()], numbers[:-1]])
+        code = np.concatenate([np.arange(CODES), batch.column(at["tail_codes"]).slice(r, 1).flatten().to_numpy()]).astype(np.int64)
+        yield r, numbers, before, code, batch.column(at["lens"]).slice(r, 1).flatten().to_numpy()
+
+
+def _sequences(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same with the codes of the tokens and of those before them."""
+    for r, numbers, before, code, lens in _tokens(batch):
+        yield r, code[numbers], code[before], lens
 
 
 def _gathered(coded: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -199,7 +218,7 @@ def _gathered(coded: DataFrame, classes: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), cells)], ["code", "near"])
 
     schema = "code int, near array<struct<k:int,n:bigint>>"
-    return coded.select("held", "lens", "end", "codes").mapInArrow(count, schema).repartition(WORKERS, "code").mapInArrow(add, schema)
+    return coded.select("held", "lens", "end", "codes", "tail_codes").mapInArrow(count, schema).repartition(WORKERS, "code").mapInArrow(add, schema)
 
 
 def _dense(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +302,7 @@ def _moved(near: DataFrame, classes: np.ndarray, matrix: np.ndarray) -> np.ndarr
 
 def fit(coded: DataFrame, top: list, weights: np.ndarray, n: int, v: int, rounds: int = ROUNDS) -> Model:
     """``top`` has the exchanged words' rows (word, c); ``weights`` the sums of c + 1 over the words of each band."""
-    classes = np.concatenate([np.arange(EXCHANGED) % CLASSES, CLASSES + np.arange(BANDS)])
+    classes = np.concatenate([np.arange(EXCHANGED) % CLASSES, CLASSES + np.arange(BANDS), np.arange(CLASSES)])
     best, told = None, []
     for turn in range(rounds + 1):
         near = written(_gathered(coded, classes), "near", "zstd")
@@ -298,12 +317,107 @@ def fit(coded: DataFrame, top: list, weights: np.ndarray, n: int, v: int, rounds
     weight = np.zeros(ALL)
     np.add.at(weight, classes[: len(top)], [r.c + 1 for r in top])
     weight[CLASSES:] += weights
+    return Model(n, v, classes, _gain(matrix, weight, n, v), told, matrix, weight)
+
+
+def _gain(matrix: np.ndarray, weight: np.ndarray, n: int, v: int) -> np.ndarray:
     share = weight / (n + v + 1)
     passed = matrix.astype(float)
     to = (passed + SMOOTH * share) / (passed.sum(axis=1, keepdims=True) + SMOOTH)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(share > 0, np.log10(to / share), 0.0)
-    return Model(n, v, classes, gain, told)
+        return np.where(share > 0, np.log10(to / share), 0.0)
+
+
+def best_class(row: np.ndarray, at: np.ndarray, n: np.ndarray, own: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The class of each word that isn't exchanged: of CLASSES the one that raises the likelihood most, or its ``own`` band. Its neighbours are
+    the entries (row, at, n), at as in :func:`_gathered`."""
+    after, before = matrix.astype(float), matrix.T.astype(float)
+    sums = np.concatenate([after, before], axis=1)  # by class, then what stands after it and before it
+    keys, back = np.unique(row * 2 * ALL + at, return_inverse=True)
+    count = np.bincount(back, weights=n, minlength=len(keys))
+    row, at = keys // (2 * ALL), keys % (2 * ALL)
+    starts = np.searchsorted(row, np.arange(len(own)))
+    held, mine = sums[:CLASSES, at].T, sums[own[row], at]
+    gain = np.add.reduceat(_xlogx(held + count[:, None]) - _xlogx(held), starts)
+    stay = np.add.reduceat(_xlogx(mine) - _xlogx(np.maximum(mine - count, 0)), starts)
+    total, of = after.sum(axis=1), np.add.reduceat(np.where(at < ALL, count, 0), starts)
+    gain -= 2 * (_xlogx(total[:CLASSES] + of[:, None]) - _xlogx(total[:CLASSES]))
+    stay -= 2 * (_xlogx(total[own]) - _xlogx(np.maximum(total[own] - of, 0)))
+    gain[:, total[:CLASSES] == 0] = -np.inf  # words move at the same time, and an empty class would get unlike ones
+    best = gain.argmax(axis=1)
+    return np.where(gain[np.arange(len(own)), best] > stay + PRICE, best, own)
+
+
+def _placed(coded: DataFrame, model: Model) -> DataFrame:
+    """Rows (word, own, c, class): the words that aren't exchanged and move to a class, with their bands and counts."""
+    wide, classes, matrix = 2 * ALL, model.classes, model.matrix
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = {name: i for i, name in enumerate(batch.schema.names)}
+            for r, numbers, before, code, lens in _tokens(batch):
+                learn = np.repeat(~batch.column(where["held"]).slice(r, 1).flatten().to_numpy(zero_copy_only=False), lens)
+                numbers, before = numbers[learn].astype(np.int64), before[learn].astype(np.int64)
+                first, last = before >= CODES, numbers >= CODES
+                near = np.concatenate([(before[first] - CODES) * wide + classes[code[numbers[first]]], (numbers[last] - CODES) * wide + ALL + classes[code[before[last]]]])
+                keys, n = np.unique(near, return_counts=True)
+                word = keys // wide
+                some = np.unique(word)
+                if not len(some):
+                    continue
+                ends = np.concatenate([np.searchsorted(word, some), [len(keys)]]).astype(np.int32)
+                cells = pa.StructArray.from_arrays([pa.array((keys % wide).astype(np.int32)), pa.array(n.astype(np.int64))], ["k", "n"])
+                tail = batch.column(where["tail"]).slice(r, 1).flatten().take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([tail, pa.array((classes[code[CODES + some]]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), cells)], ["word", "own", "near"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), 2000):
+                batch = whole.slice(start, 2000)
+                lists = batch.column(2)
+                size = lists.value_lengths().to_numpy()
+                cells = lists.flatten()
+                at, n = (cells.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("k", "n"))
+                row, own = np.repeat(np.arange(len(batch)), size), batch.column(1).to_numpy().astype(np.int64)
+                c = np.bincount(row, weights=np.where(at < ALL, n, 0), minlength=len(batch)).astype(np.int64)
+                to = best_class(row, at, n, own, matrix)
+                move = np.flatnonzero(to != own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(move)), pa.array(own[move].astype(np.int32)), pa.array(c[move]), pa.array(to[move].astype(np.int32))], ["word", "own", "c", "class"])
+
+    near = coded.select("held", "lens", "end", "codes", "tail", "tail_codes").mapInArrow(count, "word binary, own int, near array<struct<k:int,n:bigint>>")
+    near = near.groupBy("word").agg(F.first("own").alias("own"), F.flatten(F.collect_list("near")).alias("near"))
+    return near.mapInArrow(place, "word binary, own int, c long, class int")
+
+
+def _recoded(coded: DataFrame, moved: DataFrame) -> DataFrame:
+    """``coded`` with the codes of the words in ``moved`` replaced by those of their classes."""
+    uses = coded.select("piece", F.posexplode(F.arrays_zip("tail", "tail_codes")).alias("pos", "t")).select("piece", "pos", F.col("t.tail").alias("word"), F.col("t.tail_codes").alias("code"))
+    uses = uses.join(moved.select("word", "class"), "word", "left").select("piece", F.struct("pos", F.coalesce(EXCHANGED + BANDS + F.col("class"), "code").alias("code")).alias("use"))
+    lists = uses.groupBy("piece").agg(F.transform(F.array_sort(F.collect_list("use")), lambda u: u["code"]).alias("codes_"))
+    return coded.join(lists, "piece", "left").withColumn("tail_codes", F.coalesce("codes_", "tail_codes")).drop("codes_")
+
+
+def finished(coded: DataFrame, model: Model) -> tuple[DataFrame, Model]:
+    """Words that aren't exchanged move to classes as well, if that raises the likelihood of class bigrams."""
+    moved = written(_placed(coded, model), "moved", "zstd")
+    sums = moved.groupBy("own", "class").agg(F.sum(F.col("c") + 1).alias("w")).collect()  # at most BANDS * CLASSES
+    if not sums:
+        return coded, model
+    again = written(_recoded(coded, moved), "recoded", "zstd")
+    near = written(_gathered(again, model.classes), "near", "zstd")
+    matrix = _matrix(near, model.classes)
+    drop_written(near, moved)
+    told = [*model.likelihoods, likelihood(matrix)]
+    if told[-1] <= likelihood(model.matrix):
+        drop_written(again)
+        return coded, model
+    drop_written(coded)
+    release_shuffles(coded.sparkSession)
+    weight = model.weight.copy()
+    for r in sums:
+        weight[r["own"]] -= r.w
+        weight[r["class"]] += r.w
+    return again, Model(model.n, model.v, model.classes, _gain(matrix, weight, model.n, model.v), told, matrix, weight)
 
 
 def _scores(coded: DataFrame, model: Model, id_col: str) -> DataFrame:
@@ -339,6 +453,7 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         weights[min(int(r.c).bit_length() - 1, BANDS - 1)] -= r.c + 1
     coded = written(_coded(pieces, vocabulary, known, n, v), "coded", "zstd")
     drop_written(pieces, vocabulary)
-    model = fit(coded, top, weights, n, v, rounds)
+    release_shuffles(docs.sparkSession)
+    coded, model = finished(coded, fit(coded, top, weights, n, v, rounds))
     out = _scores(coded, model, id_col).withColumn("train_tokens", F.lit(n).cast("long"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -165,6 +165,29 @@ def test_class_model_sums_to_one(spark):
     assert max(model.likelihoods) > model.likelihoods[0]
 
 
+def test_words_beyond_the_exchanged_ones_get_classes(spark, monkeypatch):
+    """Words too long for the exchange still learn the order of words, and the model still sums to one."""
+    rng, kept = np.random.default_rng(7), []
+    long = lambda kind, i: f"{kind}{i}" + "x" * (brown_classes.LONGEST if i >= 10 else 0)
+    kinds = [long("n", i) for i in range(60)], [long("v", i) for i in range(60)]
+    share = np.array([10.0] * 10 + [1.0] * 50)
+    text = lambda n, order: " ".join(rng.choice(kinds[order(k)], p=share / share.sum()) for k in range(n))
+    turns = lambda k: k % 2
+    held = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    learn = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rare = lambda n: " ".join(long("nv"[k % 2], rng.integers(10, 60)) for k in range(n))
+    rows = [(i, text(40, turns)) for i in learn[:600]] + [(i, rare(40)) for i in held[:20]]
+    finished = brown_classes.finished
+    monkeypatch.setattr(brown_classes, "finished", lambda coded, model: kept.append(finished(coded, model)) or kept[0])
+    got = {r.doc_id: r for r in brown_classes.class_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[i].score - got[i].base_score for i in held[:20]) > 5
+    model = kept[0][1]
+    share = model.weight / (model.n + model.v + 1)
+    assert share.min() >= 0 and share.sum() == pytest.approx(1)
+    assert (share * 10**model.gain).sum(axis=1) == pytest.approx(np.ones(brown_classes.ALL))
+    assert model.likelihoods[-1] > model.likelihoods[0]
+
+
 def test_class_scores_of_odd_texts(spark):
     docs = odd_docs(spark)
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
