@@ -156,18 +156,24 @@ def _coded(pieces: DataFrame, vocabulary: DataFrame, top: DataFrame, n: int, v:
                 known = np.add.reduceat((count > 0)[seq].astype(np.int64), starts)
                 base = np.add.reduceat(np.log10((count + 1) / (n + v + 1))[seq], starts)
                 many = lambda values, t: pa.array([values], pa.list_(t))
-                out = [col["piece"], col["ids"], col["held"], col["lens"], many(known, pa.int64()), many(base, pa.float64()), pa.array([int(codes[0])], pa.int32()), pa.array([codes[seq].tobytes()], pa.binary()), many(tail, pa.binary()), many(tail_codes, pa.int32())]
+                out = [col["piece"], col["ids"], col["held"], col["lens"], many(known, pa.int64()), many(base, pa.float64()), pa.array([int(codes[0])], pa.int32()), pa.array([_packed(codes[seq])], pa.binary()), many(tail, pa.binary()), many(tail_codes, pa.int32())]
                 yield pa.RecordBatch.from_arrays(out, ["piece", "ids", "held", "lens", "known", "base", "end", "codes", "tail", "tail_codes"])
 
     return rows.mapInArrow(run, f"piece long, ids {kind}, held array<boolean>, lens array<int>, known array<long>, base array<double>, end int, codes binary, tail array<binary>, tail_codes array<int>")
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Low halves first, then high ones, which are nearly all alike and take no room."""
+    return (numbers & 0xFFFF).astype(np.uint16).tobytes() + (numbers >> 16).astype(np.uint16).tobytes()
+
+
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of each piece its row, the numbers of tokens, of those before them, the code of each number and the lengths of documents. Each document
     is closed by the end, so what stands before a document's first token is an end too."""
     at = {name: i for i, name in enumerate(batch.schema.names)}
     for r in range(len(batch)):
-        numbers = np.frombuffer(batch.column(at["codes"])[r].as_buffer(), np.int32)
+        low, high = np.frombuffer(batch.column(at["codes"])[r].as_buffer(), np.uint16).reshape(2, -1).astype(np.int32)
+        numbers = low | high << 16
         before = np.concatenate([[batch.column(at["end"])[r].as_py()], numbers[:-1]])
         code = np.concatenate([np.arange(CODES), batch.column(at["tail_codes"]).slice(r, 1).flatten().to_numpy()]).astype(np.int64)
         yield r, numbers, before, code, batch.column(at["lens"]).slice(r, 1).flatten().to_numpy()
@@ -391,15 +397,27 @@ def _placed(coded: DataFrame, model: Model) -> DataFrame:
 
 def _recoded(coded: DataFrame, moved: DataFrame) -> DataFrame:
     """``coded`` with the codes of the words in ``moved`` replaced by those of their classes."""
-    uses = coded.select("piece", F.posexplode(F.arrays_zip("tail", "tail_codes")).alias("pos", "t")).select("piece", "pos", F.col("t.tail").alias("word"), F.col("t.tail_codes").alias("code"))
-    uses = uses.join(moved.select("word", "class"), "word", "left").select("piece", F.struct("pos", F.coalesce(EXCHANGED + BANDS + F.col("class"), "code").alias("code")).alias("use"))
-    lists = uses.groupBy("piece").agg(F.transform(F.array_sort(F.collect_list("use")), lambda u: u["code"]).alias("codes_"))
-    return coded.join(lists, "piece", "left").withColumn("tail_codes", F.coalesce("codes_", "tail_codes")).drop("codes_")
+    uses = coded.select("piece", F.posexplode("tail").alias("pos", "word"))
+    uses = uses.join(moved.select("word", "class"), "word").select("piece", F.struct("pos", (EXCHANGED + BANDS + F.col("class")).alias("code")).alias("use"))
+    lists = uses.groupBy("piece").agg(F.collect_list("use").alias("uses"))
+    rows = coded.join(lists, "piece", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index("tail_codes")
+            for r in range(len(batch)):
+                one = batch.slice(r, 1)
+                use, codes = one.column(at + 1).flatten(), one.column(at).flatten().to_numpy().copy()
+                codes[use.field("pos").to_numpy(zero_copy_only=False)] = use.field("code").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*one.columns[:at], pa.array([codes], pa.list_(pa.int32()))], batch.schema.names[: at + 1])
+
+    return rows.select(*coded.columns, "uses").mapInArrow(run, coded.schema)
 
 
 def finished(coded: DataFrame, model: Model) -> tuple[DataFrame, Model]:
     """Words that aren't exchanged move to classes as well, if that raises the likelihood of class bigrams."""
     moved = written(_placed(coded, model), "moved", "zstd")
+    release_shuffles(coded.sparkSession)
     sums = moved.groupBy("own", "class").agg(F.sum(F.col("c") + 1).alias("w")).collect()  # at most BANDS * CLASSES
     if not sums:
         return coded, model
@@ -451,6 +469,7 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         weights[r.band] += r.w
     for r in top:
         weights[min(int(r.c).bit_length() - 1, BANDS - 1)] -= r.c + 1
+    release_shuffles(docs.sparkSession)
     coded = written(_coded(pieces, vocabulary, known, n, v), "coded", "zstd")
     drop_written(pieces, vocabulary)
     release_shuffles(docs.sparkSession)
