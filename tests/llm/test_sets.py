@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -316,3 +317,19 @@ def test_large_buckets_lose_no_link(spark, tmp_path):
     met = {norm[k] for k in keep}
     tails = [x for i in range(1, 41) if any(i in p for p in due) for x in [lines[i]]]
     assert tails and all(x in met for x in tails)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Spark numbers shuffles in turn: that of a written table has no files any more, that of a plain query still has."""
+    def live():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle_" in blocks.apply(i).getName() for i in range(blocks.size()))
+
+    before = live()
+    written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if live() <= before:
+            break
+        time.sleep(0.1)
+    assert live() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
