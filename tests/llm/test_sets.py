@@ -319,6 +319,28 @@ def test_large_buckets_lose_no_link(spark, tmp_path):
     assert tails and all(x in met for x in tails)
 
 
+def test_lines_without_company_leave_no_grams_on_disk(spark, monkeypatch):
+    """Of a large bucket's lines, those whose grams are their own take part in no join of grams; the links of the others stay. What one step
+    shuffles is gone when its table is written."""
+    dice, taken = random.Random(3), []
+    word = lambda: "".join(dice.choice("abcdefghiklmnoprstuw") for _ in range(6))
+    lines = [" ".join(word() for _ in range(40)) for _ in range(300)]
+    lines += [changed(dice, x, 3) for x in lines[:10]]
+    company = fuzzy_lines._with_company
+
+    def counted(member):
+        out = company(member)
+        taken.append(out.count())
+        return out
+
+    monkeypatch.setattr(fuzzy_lines, "_with_company", counted)
+    df = spark.createDataFrame(list(enumerate(lines)), "k1 long, norm string")
+    group = spark.createDataFrame([(299, i, i) for i in range(len(lines))], "p long, id long, component long")
+    got = {(r.a, r.b) for r in fuzzy_lines._by_differences(group, df, 0.95).collect()}
+    assert {(i, 300 + i) for i in range(10)} <= got
+    assert len(taken) == fuzzy_lines.PASSES and sum(taken) <= 30, taken
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     """Spark numbers shuffles in turn: that of a written table has no files any more, that of a plain query still has."""
     def live():
