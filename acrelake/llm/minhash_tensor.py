@@ -14,7 +14,8 @@ their differences from it, R = P - X and A = X - P. As common(X, Y) = P - R(X) -
 standing for their sizes, two members are linked only if their differences share so many shingles that v(X) + v(Y), v(X) = R(X) - P / 2 +
 X * num / (num + den), is reached. A member that is linked with P at once joins its component. For others that bound is
 positive, hence their differences meet by a join on the rarest shingles of each (a prefix filter): near copies just below
-the threshold differ from each other by shingles of their own, and never become candidates.
+the threshold differ from each other by shingles of their own, and never become candidates. Where two meet, what both have left from there on
+must still suffice (a positional filter, for what is lacking and what is new apart).
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer
 words than the shingle's give one shingle; rows with a null id belong to components like others but can't name them
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrelake.llm.common import drop_written, maybe_broadcast, written
+from acrelake.llm.common import drop_written, maybe_broadcast, prefix_sums, written
 from acrelake.llm.graph import link_buckets, shared_keys
 
 WORDS = 5
@@ -185,15 +186,19 @@ def _by_differences(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     tagged = F.concat(F.transform("r", lambda e: F.struct(e.alias("e"), F.lit(1).alias("lost"))), F.transform("a", lambda e: F.struct(e.alias("e"), F.lit(0).alias("lost"))))
     flat = member.select("p", "id", F.explode(tagged).alias("d")).select("p", "id", "d.e", "d.lost")
     often = flat.groupBy("p", "e").agg(F.count("*").alias("f")).where("f > 1")
-    ordered = flat.join(often, ["p", "e"]).groupBy("p", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("order"), F.sum("lost").alias("nr"), F.sum(1 - F.col("lost")).alias("na"))
+    ordered = flat.join(often, ["p", "e"]).groupBy("p", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e", "lost"))).alias("order"), F.sum("lost").alias("nr"), F.sum(1 - F.col("lost")).alias("na"))
     ranked = member.select("p", "id", "component", "v", "edge", outside.alias("out")).join(ordered, ["p", "id"])
     # the least overlap that a partner outside P's reach (its v is over edge), or within it (-edge at least), asks for, and the prefix
     # of the rarest shingles that can't be without a shared one
     least = lambda margin: F.greatest(F.ceil((F.col("v") + margin) / F.lit(scale)), F.lit(1))
     prefix = lambda margin: F.greatest(F.size("order") - least(margin) + 1, F.lit(0)).cast("int")
-    ranked = ranked.select("p", "id", "component", "v", "nr", "na", "out", F.expr("order.e").alias("e"), prefix(F.col("edge")).alias("to_out"), F.when(F.col("out"), prefix(-F.col("edge"))).otherwise(0).alias("to_in"))
+    ranked = ranked.select("p", "id", "component", "v", "nr", "na", "out", F.expr("order.e").alias("e"), prefix_sums(F.expr("order.lost")).alias("past"), prefix(F.col("edge")).alias("to_out"), F.when(F.col("out"), prefix(-F.col("edge"))).otherwise(0).alias("to_in"))
     ranked = written(ranked, "ranked")
-    post = lambda size, where: ranked.where(where).select("p", "id", "component", "v", "nr", "na", F.explode(F.slice("e", F.lit(1), F.col(size))).alias("e"))
+    # a pair is met at its first common shingle at the latest: of either kind it has no more in common than both have from there on
+    left_r, left_a = F.col("nr") - F.col("o.past"), F.col("na") - (F.col("at") - F.col("o.past"))
+    flagged = lambda size: F.slice(F.arrays_zip("e", "past"), F.lit(1), F.col(size))
+    posted = lambda size, where: ranked.where(where).select("p", "id", "component", "v", "nr", "na", F.posexplode(flagged(size)).alias("at", "o"))
+    post = lambda size, where: posted(size, where).select("p", "id", "component", "v", left_r.alias("nr"), left_a.alias("na"), F.col("o.e").alias("e"))
     slack = scale * (F.col("nr") + F.col("na")) - F.col("v")
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -122,6 +122,36 @@ def test_near_copies_just_below_the_threshold(spark, tmp_path):
     assert links <= set(edges) and components(links, ids) == components([e for e in edges if e[0]], ids)
 
 
+def test_near_copies_that_share_changes_meet_seldom(spark, monkeypatch):
+    """Copies that share some of their changes with others but not enough: rows of the join of differences stay few."""
+    rng, rows = random.Random(9), []
+    base = words(rng, 200)
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(0, 200, 10), 9):
+            copy[at] = f"c{at}x{rng.randint(0, 3)}"
+        if i % 10 == 9:  # a copy of the one before
+            copy = [f"own{i}", *rows[-1][1].split()[1:]]
+        rows.append((i, " ".join(copy)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(196)} for i, t in rows}
+    edges = {(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    open_ = spark.createDataFrame([(1, i, i, 0, 150) for i in range(150)], "key long, id long, component long, main long, n long")
+    known = spark.createDataFrame([(bytearray(minhash_tensor.xxhash.xxh3_128_digest(minhash_tensor.shingle_set(t).tobytes())), i) for i, t in rows], "class_id binary, id long")
+    sets_of = lambda wanted: written(minhash_tensor.full_sets(df, "text").join(known, "class_id").join(wanted, "id", "left_semi").select("id", "shingles"), "sets")
+    met, distinct = [], type(df).distinct
+
+    def counted(frame):
+        if frame.columns == ["p", "x", "y"]:
+            met.append(frame.count())
+        return distinct(frame)
+
+    monkeypatch.setattr(type(df), "distinct", counted)
+    links = {(r.a, r.b) for r in minhash_tensor._by_differences(open_, sets_of, 75, 100).collect()}
+    assert len(edges) >= 15 and links == edges
+    assert len(met) == 1 and met[0] <= 50_000, met
+
+
 def test_decontamination(spark, tmp_path):
     rng = random.Random(5)
     items = [(k, " ".join(words(rng, n)), 0) for k, n in enumerate((40, 13, 14, 12, 6, 3, 25, 200))] + [(20, None, 0), (21, "", 0), (22, "...", 0)]
