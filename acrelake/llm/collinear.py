@@ -67,13 +67,16 @@ def minimisers(ids: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.nd
 
 def chains(pos: np.ndarray, other: np.ndarray, k: int = K, gap: float = GAP) -> list[list[int]]:
     """Matches grouped to collinear chains, as indices in order; each match is in one chain."""
+    if len(pos) == 1:
+        return [[0]]
     order = np.lexsort((-other, pos))
-    ranks = np.unique(other, return_inverse=True)[1] + 1
-    size = int(ranks.max()) + 1
+    ranks = (np.unique(other, return_inverse=True)[1] + 1).tolist()
+    size = max(ranks) + 1
+    pos, other = pos.tolist(), other.tolist()
     best, who = [-np.inf] * size, [-1] * size
     score, before = [0.0] * len(pos), [-1] * len(pos)
     for i in order.tolist():
-        p, q, r = float(pos[i]), float(other[i]), int(ranks[i])
+        p, q, r = float(pos[i]), float(other[i]), ranks[i]
         top, j = -np.inf, -1
         x = r - 1
         while x > 0:
@@ -141,11 +144,14 @@ def _apart(h: np.ndarray, at: np.ndarray, k: int = K) -> np.ndarray:
 def _extend(a: np.ndarray, b: np.ndarray) -> int:
     """How far two arrays agree from their start, crossing up to CROSS mismatches that agreement follows."""
     n = min(len(a), len(b))
-    same = a[:n] == b[:n]
-    good, i, missed = 0, 0, 0
+    same = (a[:n] == b[:n]).tobytes()
+    i = same.find(0)
+    if i < 0:
+        return n
+    good, missed = i, 0
     while i < n and missed <= CROSS:
         if same[i]:
-            if missed == 0 or (i + 3 <= n and same[i : i + 3].all()):
+            if missed == 0 or same[i : i + 3] == b"\1\1\1":
                 good, missed = i + 1, 0
             else:
                 missed += 1
@@ -290,7 +296,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 margin = _margin(len(r.pos))
                 lo, ro = max(0, int(r.pos[0]) - margin), max(0, int(r.other[0]) - margin)
                 b = b[ro : int(r.other[-1]) + K + margin]
-                for s, e, o, f, cost in align(a, b, [int(p) - lo for p in r.pos], [int(q) - ro for q in r.other]):
+                for s, e, o, f, cost in align(a, b, (np.asarray(r.pos) - lo).tolist(), (np.asarray(r.other) - ro).tolist()):
                     if e - s >= LEAST_PART and cost <= MOST_EDITS * (e - s):
                         rows.append((r.d, r.id, r.other_id, s + lo, e + lo, o + ro, f + ro, cost))
             yield pd.DataFrame(rows, columns=["d", "id", "other_id", "start", "end", "other_start", "other_end", "edits"])

@@ -158,3 +158,25 @@ def test_queries_of_token_counts_and_passages(spark, tmp_path):
     assert len(found[1]) <= 64 and len(found[2]) <= 64
     assert queries.op6_token_counts(spark, f"{tmp_path}/b").count() == 0
     assert queries.op8_substring_dedup(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_extension_goes_word_by_word():
+    """The extension, and chains of one match, against a plain version that looks at each word in turn."""
+
+    def plain(a, b):
+        n = min(len(a), len(b))
+        good, i, missed = 0, 0, 0
+        while i < n and missed <= collinear.CROSS:
+            if a[i] == b[i] and (missed == 0 or (i + 3 <= n and all(a[i + j] == b[i + j] for j in range(3)))):
+                good, missed = i + 1, 0
+            else:
+                missed += 1
+            i += 1
+        return good
+
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        a = rng.integers(0, 50, rng.integers(0, 25))
+        b = np.where(rng.random(len(a)) < rng.choice([0, 0.05, 0.2, 0.6]), a + 1, a)[: rng.integers(0, 26)]
+        assert collinear._extend(a, b) == plain(a.tolist(), b.tolist())
+    assert collinear.chains(np.array([7]), np.array([3])) == [[0]]
