@@ -33,12 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrelake.llm.common import drop_written, release_shuffles, written
+from acrelake.llm.common import drop_written, release_shuffles, written, written_in_turns
 
 #: Tokens of a piece; one document may exceed it.
 PIECE = 1 << 20
 #: Bytes of distinct words after which a piece ends too.
 PIECE_BYTES = 8 << 20
+#: Words meet pieces in so many turns, so that the words of one turn alone are on disk.
+TURNS = 2
 #: Words that take part in the exchange, bytes of the longest of them, and their classes.
 EXCHANGED = 16_384
 LONGEST = 64
@@ -128,6 +130,11 @@ class Model:
     weight: np.ndarray
 
 
+def _turns(pieces: DataFrame) -> list[DataFrame]:
+    """The rows of ``pieces``, or of a table with a row for each, in TURNS parts."""
+    return [pieces.where(F.pmod(F.xxhash64("piece"), F.lit(TURNS)) == turn) for turn in range(TURNS)]
+
+
 def _coded(pieces: DataFrame, vocabulary: DataFrame, top: DataFrame, n: int, v: int) -> DataFrame:
     """Rows (piece, ids, held, lens, known, base, end, codes, tail, tail_codes): per document the known tokens and the unigram score, per token
     its code; those of training words that aren't exchanged are CODES and the place in the piece's list ``tail``, whose codes are beside it."""
@@ -421,7 +428,7 @@ def finished(coded: DataFrame, model: Model) -> tuple[DataFrame, Model]:
     sums = moved.groupBy("own", "class").agg(F.sum(F.col("c") + 1).alias("w")).collect()  # at most BANDS * CLASSES
     if not sums:
         return coded, model
-    again = written(_recoded(coded, moved), "recoded", "zstd")
+    again = written_in_turns([_recoded(some, moved) for some in _turns(coded)], "recoded", "zstd")
     near = written(_gathered(again, model.classes), "near", "zstd")
     matrix = _matrix(near, model.classes)
     drop_written(near, moved)
@@ -470,7 +477,7 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for r in top:
         weights[min(int(r.c).bit_length() - 1, BANDS - 1)] -= r.c + 1
     release_shuffles(docs.sparkSession)
-    coded = written(_coded(pieces, vocabulary, known, n, v), "coded", "zstd")
+    coded = written_in_turns([_coded(some, vocabulary, known, n, v) for some in _turns(pieces)], "coded", "zstd")
     drop_written(pieces, vocabulary)
     release_shuffles(docs.sparkSession)
     coded, model = finished(coded, fit(coded, top, weights, n, v, rounds))

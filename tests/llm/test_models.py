@@ -197,3 +197,11 @@ def test_class_scores_of_odd_texts(spark):
     lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = brown_classes.class_scores(spark.createDataFrame([(lone, "a b")], "doc_id long, text string")).first()
     assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+
+
+def test_pieces_are_coded_in_turns(spark):
+    """The parts hold each piece once, and the table written in turns holds all of them."""
+    pieces = spark.range(100).withColumnRenamed("id", "piece")
+    parts = brown_classes._turns(pieces)
+    assert len(parts) == brown_classes.TURNS > 1 and all(0 < p.count() < 100 for p in parts)
+    assert sorted(r.piece for r in brown_classes.written_in_turns(parts, "turns").collect()) == list(range(100))
