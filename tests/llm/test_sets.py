@@ -385,3 +385,40 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert live() <= before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_lines_that_fit_no_other_bring_no_grams(spark, monkeypatch):
+    """Lines of a large bucket go before any text of theirs is read, if no line of another component there has nearly their length and letters."""
+    dice, seen = random.Random(5), []
+    word = lambda: "".join(dice.choice("abcdefghiklmnoprstuw") for _ in range(dice.randint(3, 12)))
+    rows = [(i, " ".join([word() for _ in range(3)] + ["common", "triple", "here"] + [word() for _ in range(4)])) for i in range(120)]
+    rows += [(200 + i, rows[i][1][:-1] + "Z") for i in range(8)]
+    by = fuzzy_lines._by_differences
+    monkeypatch.setattr(fuzzy_lines, "_by_differences", lambda group, *a: (seen.append(group.count()), by(group, *a))[1])
+    got = fuzzy_lines.with_counts(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()
+    assert {r.doc.doc_id for r in got} == set(range(200, 208))
+    assert sum(seen) <= 12, seen
+
+
+@pytest.mark.parametrize("tried", [4096, 3])
+def test_fitting_lines_against_all_pairs(spark, monkeypatch, tried):
+    monkeypatch.setattr(fuzzy_lines, "TRIED", tried)
+    dice, n = random.Random(7), len(fuzzy_lines.LETTERS)
+    rows = []
+    for i in range(400):
+        base = random.Random(i % 130)
+        letters = [base.randint(0, 5) for _ in range(n)]
+        letters[i % n] += dice.randint(0, 6)
+        rows.append((i % 3, i, dice.randint(0, 3) if i % 2 else i, sum(letters) + base.randint(20, 160), letters))
+    rows += [(9, 1000 + i, i, length, [0] * n) for i, length in enumerate((100, 105, 95, 1, 2, 400, 421, 500))]
+
+    def fit(a, b):
+        most = int(round(0.05 * max(a[3], b[3]), 6))
+        side = lambda x, y: sum(max(u - v, 0) for u, v in zip(x[4], y[4]))
+        return a[0] == b[0] and a[2] != b[2] and abs(a[3] - b[3]) <= most and max(side(a, b), side(b, a)) <= most
+
+    want = {(a[0], a[1], a[2]) for a in rows if any(fit(a, b) for b in rows)}
+    got = [tuple(r) for r in fuzzy_lines._with_fitting(written(spark.createDataFrame(rows, "p long, id long, component long, len int, letters array<int>"), "group"), 0.95).collect()]
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert 50 < len(want) < 350
+    assert set(got) == want if tried > 400 else len(got) > len(want)
