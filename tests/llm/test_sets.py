@@ -422,3 +422,17 @@ def test_fitting_lines_against_all_pairs(spark, monkeypatch, tried):
     assert len(got) == len(set(got)) and want <= set(got)
     assert 50 < len(want) < 350
     assert set(got) == want if tried > 400 else len(got) > len(want)
+
+
+def test_rarest_grams_are_ordered_in_turns(spark, monkeypatch):
+    """The grams of one turn's groups alone are on disk while the rarest ones are looked for."""
+    dice, turns = random.Random(11), []
+    lines = ["".join(dice.choice("abcdefghiklmnoprstuw ") for _ in range(200)).strip() for _ in range(6)]
+    lines += [changed(dice, x, 3) for x in lines]
+    in_turns = fuzzy_lines.written_in_turns
+    monkeypatch.setattr(fuzzy_lines, "written_in_turns", lambda parts, *a: (turns.append(len(parts)), in_turns(parts, *a))[1])
+    df = spark.createDataFrame(list(enumerate(lines)), "k1 long, norm string")
+    group = spark.createDataFrame([(p, i, i) for p in (0, 1, 2) for i in range(len(lines))], "p long, id long, component long")
+    got = {(r.a, r.b) for r in fuzzy_lines._by_differences(group, df, 0.95).collect()}
+    assert {(i, 6 + i) for i in range(6)} <= got
+    assert turns == [fuzzy_lines.PASSES] * 2
