@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,11 @@ WORKERS = 8
 PRICE = float(np.log(CLASSES))
 #: Tokens that the smoothing of transitions weighs.
 SMOOTH = 10.0
+#: Words whose classes are looked for at once, as 64 numbers go with each of their counts.
+AT_ONCE = 500
+#: A count beside a word: which class, after the word or, ALL further on, before it, and how often. Packed, as Spark takes bytes along as they
+#: are and builds lists of structs value by value.
+CELL = np.dtype([("k", "u1"), ("n", "<i8")])
 #: The share of documents held out, by the remainder of a checksum of the id.
 FOLDS, HELD = 7, 2
 
@@ -192,6 +198,20 @@ def _sequences(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield r, code[numbers], code[before], lens
 
 
+def _cells(ends: np.ndarray, k: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Counts as one value for each row; ``ends`` are the offsets of the rows."""
+    flat = np.empty(len(k), CELL)
+    flat["k"], flat["n"] = k, n
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * CELL.itemsize).astype(np.int32)), pa.py_buffer(flat.tobytes())])
+
+
+def _uncelled(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`_cells` has packed: of each count its row, its place and its number."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], CELL, (ends[-1] - ends[0]) // CELL.itemsize, ends[0]) if ends[-1] > ends[0] else np.zeros(0, CELL)
+    return np.repeat(np.arange(len(column)), np.diff(ends) // CELL.itemsize), flat["k"].astype(np.int64), flat["n"].astype(np.int64)
+
+
 def _gathered(coded: DataFrame, classes: np.ndarray) -> DataFrame:
     """Rows (code, near): how often each class stands after it and before it, in training texts. A task holds one row of 2 * ALL
     numbers for each code, whatever it reads."""
@@ -209,42 +229,32 @@ def _gathered(coded: DataFrame, classes: np.ndarray) -> DataFrame:
         yield from told(near.reshape(CODES, wide))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        near = np.zeros(CODES * wide, np.int64)
         for batch in batches:
-            lists = batch.column(1)
-            ends, at, n = lists.offsets.to_numpy(), lists.values.field("k").to_numpy(zero_copy_only=False), lists.values.field("n").to_numpy(zero_copy_only=False)
-            for r, code in enumerate(batch.column(0).to_pylist()):
-                row = sums.setdefault(code, np.zeros(wide, np.int64))
-                row[at[ends[r] : ends[r + 1]]] += n[ends[r] : ends[r + 1]]
-        near = np.zeros((CODES, wide), np.int64)
-        for code, row in sums.items():
-            near[code] = row
-        yield from told(near)
+            row, at, n = _uncelled(batch.column(1))
+            np.add.at(near, batch.column(0).to_numpy().astype(np.int64)[row] * wide + at, n)
+        yield from told(near.reshape(CODES, wide))
 
     def told(near: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Only what isn't zero is sent."""
         some = np.flatnonzero(near.any(axis=1))
         for part in np.array_split(some, max(1, len(some) // 2000)) if len(some) else []:
             code, at = np.nonzero(near[part])
-            ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(part)))]).astype(np.int32)
-            cells = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(near[part][code, at])], ["k", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), cells)], ["code", "near"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(part)))])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), _cells(ends, at, near[part[code], at])], ["code", "near"])
 
-    schema = "code int, near array<struct<k:int,n:bigint>>"
+    schema = "code int, near binary"
     return coded.select("held", "lens", "end", "codes", "tail_codes").mapInArrow(count, schema).repartition(WORKERS, "code").mapInArrow(add, schema)
 
 
 def _dense(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    codes, rows = [], []
+    codes, rows = [np.zeros(0, np.int64)], [np.zeros((0, 2 * ALL), np.int64)]
     for batch in batches:
-        lists = batch.column(1)
-        ends, at, n = lists.offsets.to_numpy(), lists.values.field("k").to_numpy(zero_copy_only=False), lists.values.field("n").to_numpy(zero_copy_only=False)
-        for r, code in enumerate(batch.column(0).to_pylist()):
-            row = np.zeros(2 * ALL, np.int64)
-            row[at[ends[r] : ends[r + 1]]] = n[ends[r] : ends[r + 1]]
-            codes.append(code)
-            rows.append(row)
-    return np.array(codes, np.int64), np.array(rows, np.int64).reshape(len(rows), 2 * ALL)
+        row, at, n = _uncelled(batch.column(1))
+        codes.append(batch.column(0).to_numpy().astype(np.int64))
+        rows.append(np.zeros((len(batch), 2 * ALL), np.int64))
+        rows[-1][row, at] = n
+    return np.concatenate(codes), np.concatenate(rows)
 
 
 def _matrix(near: DataFrame, classes: np.ndarray) -> np.ndarray:
@@ -351,7 +361,7 @@ def best_class(row: np.ndarray, at: np.ndarray, n: np.ndarray, own: np.ndarray,
     row, at = keys // (2 * ALL), keys % (2 * ALL)
     starts = np.searchsorted(row, np.arange(len(own)))
     held, mine = sums[:CLASSES, at].T, sums[own[row], at]
-    gain = np.add.reduceat(_xlogx(held + count[:, None]) - _xlogx(held), starts)
+    gain = np.add.reduceat(_xlogx(held + count[:, None]) - _xlogx(sums[:CLASSES])[:, at].T, starts)
     stay = np.add.reduceat(_xlogx(mine) - _xlogx(np.maximum(mine - count, 0)), starts)
     total, of = after.sum(axis=1), np.add.reduceat(np.where(at < ALL, count, 0), starts)
     gain -= 2 * (_xlogx(total[:CLASSES] + of[:, None]) - _xlogx(total[:CLASSES]))
@@ -378,27 +388,48 @@ def _placed(coded: DataFrame, model: Model) -> DataFrame:
                 some = np.unique(word)
                 if not len(some):
                     continue
-                ends = np.concatenate([np.searchsorted(word, some), [len(keys)]]).astype(np.int32)
-                cells = pa.StructArray.from_arrays([pa.array((keys % wide).astype(np.int32)), pa.array(n.astype(np.int64))], ["k", "n"])
-                tail = batch.column(where["tail"]).slice(r, 1).flatten().take(pa.array(some))
-                yield pa.RecordBatch.from_arrays([tail, pa.array((classes[code[CODES + some]]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), cells)], ["word", "own", "near"])
+                ends = np.concatenate([np.searchsorted(word, some), [len(keys)]])
+                for i in range(0, len(some), 1 << 20):  # the cells of so many words have offsets of 32 bits
+                    part, cut = some[i : i + (1 << 20)], ends[i : i + (1 << 20) + 1]
+                    tail = batch.column(where["tail"]).slice(r, 1).flatten().take(pa.array(part))
+                    cells = _cells(cut - cut[0], keys[cut[0] : cut[-1]] % wide, n[cut[0] : cut[-1]])
+                    yield pa.RecordBatch.from_arrays([tail, pa.array(classes[code[CODES + part]].astype(np.int32)), cells], ["word", "own", "near"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, len(whole), 2000):
-                batch = whole.slice(start, 2000)
-                lists = batch.column(2)
-                size = lists.value_lengths().to_numpy()
-                cells = lists.flatten()
-                at, n = (cells.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("k", "n"))
-                row, own = np.repeat(np.arange(len(batch)), size), batch.column(1).to_numpy().astype(np.int64)
-                c = np.bincount(row, weights=np.where(at < ALL, n, 0), minlength=len(batch)).astype(np.int64)
-                to = best_class(row, at, n, own, matrix)
-                move = np.flatnonzero(to != own)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(move)), pa.array(own[move].astype(np.int32)), pa.array(c[move]), pa.array(to[move].astype(np.int32))], ["word", "own", "c", "class"])
-
-    near = coded.select("held", "lens", "end", "codes", "tail", "tail_codes").mapInArrow(count, "word binary, own int, near array<struct<k:int,n:bigint>>")
-    near = near.groupBy("word").agg(F.first("own").alias("own"), F.flatten(F.collect_list("near")).alias("near"))
+        left: list[pa.RecordBatch] = []  # rows of the last word, which may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            first = starts_of(batch)
+            if len(first) == 1 and left and batch.column(0)[0] == left[0].column(0)[0]:
+                left.append(batch)
+                continue
+            whole = pa.Table.from_batches([*left, batch]).combine_chunks().to_batches()[0]
+            first = starts_of(whole)
+            for i in range(0, len(first) - 1, AT_ONCE):
+                ends = first[i : i + AT_ONCE + 1]
+                yield settled(whole.slice(ends[0], ends[-1] - ends[0]), ends[:-1] - ends[0])
+            left = [whole.slice(first[-1])]
+        if left:
+            yield settled(pa.Table.from_batches(left).combine_chunks().to_batches()[0], np.zeros(1, np.int64))
+
+    def starts_of(batch: pa.RecordBatch) -> np.ndarray:
+        word = batch.column(0)
+        return np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False))])
+
+    def settled(batch: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+        """The words that move; ``first`` are the first rows of each word."""
+        row, at, n = _uncelled(batch.column(2))
+        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(batch))))[row]
+        own = batch.column(1).to_numpy().astype(np.int64)[first]
+        c = np.bincount(row, weights=np.where(at < ALL, n, 0), minlength=len(first)).astype(np.int64)
+        to = best_class(row, at, n, own, matrix)
+        move = np.flatnonzero(to != own)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first[move])), pa.array(own[move].astype(np.int32)), pa.array(c[move]), pa.array(to[move].astype(np.int32))], ["word", "own", "c", "class"])
+
+    near = coded.select("held", "lens", "end", "codes", "tail", "tail_codes").mapInArrow(count, "word binary, own int, near binary")
+    # in the order of words, so that each is met whole; no list of its rows is built
+    near = near.repartition("word").sortWithinPartitions("word")
     return near.mapInArrow(place, "word binary, own int, c long, class int")
 
 

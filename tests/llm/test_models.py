@@ -205,3 +205,25 @@ def test_pieces_are_coded_in_turns(spark):
     parts = brown_classes._turns(pieces)
     assert len(parts) == brown_classes.TURNS > 1 and all(0 < p.count() < 100 for p in parts)
     assert sorted(r.piece for r in brown_classes.written_in_turns(parts, "turns").collect()) == list(range(100))
+
+
+def test_counts_travel_packed(spark):
+    """Neighbours' counts are bytes, and a word is met whole however its rows are cut into batches."""
+    ends, k, n = np.array([0, 2, 2, 5]), np.array([3, 223, 0, 7, 9]), np.array([1, 2**40, 5, 6, 7])
+    packed = brown_classes._cells(ends, k, n)
+    row, at, back = brown_classes._uncelled(packed)
+    assert (row.tolist(), at.tolist(), back.tolist()) == ([0, 0, 2, 2, 2], k.tolist(), n.tolist())
+    row, at, back = brown_classes._uncelled(packed.slice(1, 2))
+    assert (row.tolist(), at.tolist(), back.tolist()) == ([1, 1, 1], [0, 7, 9], [5, 6, 7])
+    rng, scores = np.random.default_rng(5), []
+    word = lambda i, k: "nv"[k % 2] + str(i) + "x" * (brown_classes.LONGEST if i >= 10 else 0)
+    rows = [(i, " ".join(word(rng.integers(10 if i % 7 == 0 else 60), k) for k in range(40))) for i in range(200)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for size in ("10000", "1"):
+            spark.conf.set(key, size)
+            scores.append({r.doc_id: r.score for r in brown_classes.class_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id"), rounds=1).collect()})
+    finally:
+        spark.conf.set(key, before)
+    assert len(scores[0]) == 200 and scores[0] == pytest.approx(scores[1])
