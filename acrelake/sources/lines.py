@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from acrelake.sources import scratch
 
+#: Records with these characters take a parser; others are cut at their commas.
+_ODD = "[\"\r\n\\x00]"
 _SCHEMA = "file string, split long, i long, quotes long, even long, odd long, open boolean, value string"
 
 
@@ -71,14 +73,18 @@ def read_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Rows (file, line, cells array<string>) that hold anything, and headers (file, header array<string>), a row for each file. The
     widest header bounds the cells of a row."""
     records = read_records(spark, path)
-    heads = records.where("record = 1").select("file", "value")
+    heads = scratch.written(records.where("record = 1").select("file", "value"), "heads")  # a row for each file, read again and again
     width = heads.agg(F.max(F.size(F.split("value", ",", -1)))).first()[0] or 1  # one number; commas inside of quotes only make it larger
     names = [f"c{i}" for i in range(width)]
 
     def cells(value: str):  # noqa: ANN202
         parsed = F.from_csv(value, ", ".join(f"{n} string" for n in names), {"escape": '"', "maxColumns": str(max(20480, width)), "multiLine": "true"})
-        return F.array(*[parsed[n] for n in names])
+        # a lambda's argument is parsed once, where fields of a parsed column are parsed each on their own
+        quoted = F.transform(F.array(parsed), lambda p: F.array(*[p[n] for n in names]))[0]
+        plain = F.transform(F.array(F.split(value, ",", -1)), lambda w: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.nullif(F.get(w, i), F.lit(""))))[0]
+        return F.when(F.col(value).rlike(_ODD), quoted).otherwise(plain)
 
-    body = records.where("record > 1").select("file", "line", cells("value").alias("cells"))
+    # the argument of a generator is computed once, not again in the filter
+    body = records.where("record > 1").select("file", "line", F.explode(F.array(cells("value"))).alias("cells"))
     body = body.where(F.exists("cells", lambda c: F.btrim(c) != ""))
     return body, heads.select("file", F.array_compact(cells("value")).alias("header"))

@@ -201,3 +201,21 @@ def test_addresses(spark):
     for cases, f in ((mail, address.mailing_parses), (site, address.site_parses)):
         rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "a string, want boolean")
         assert rows.where(~f(F.col("a")).eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    """One parser in the plan for each record, however many cells it has; with and without quotes the cells are the same."""
+    rows = ["a,b,c", "1,,x y", ' 2 ,"q, ""z""",', "3", ",,", '"4","",5,6', "7,8,9,10", "", '"l\nm",n,\r']
+    (tmp_path / "f.csv").write_text("\n".join(rows) + "\n")
+    body, heads = lines.read_rows(spark, str(tmp_path))
+    assert body._jdf.queryExecution().optimizedPlan().prettyJson().count("CsvToStructs") <= 2  # in records that end in their line, and in others
+    got = {r.line: r.cells for r in body.collect()}
+    assert got == {2: ["1", None, "x y"], 3: [" 2 ", 'q, "z"', None], 4: ["3", None, None], 6: ["4", got[6][1], "5"], 7: ["7", "8", "9"], 9: ["l\nm", "n", None]}
+    assert not got[6][1] and heads.first().header == ["a", "b", "c"]
+
+
+def test_fields_of_exports_are_read_once(spark):
+    """Values, errors and bounds look at one reading: a date's four formats are tried once."""
+    raw = spark.createDataFrame([tuple("x" for _ in exports.LAND_SALES.columns)], ", ".join(f"{c} string" for c in exports.LAND_SALES.columns))
+    plan = exports.validated(raw, exports.LAND_SALES)._jdf.queryExecution().analyzed().prettyJson()
+    assert plan.count("yyyy/M/d") <= 2  # a function and what stands for it
