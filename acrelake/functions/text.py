@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,12 +87,20 @@ def json_or_empty(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` computed once, however often it uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def number(c: Column) -> Column:
     """struct(value, bad): money signs, separators and percent signs are ignored; null words are null; the rest is bad."""
-    bare = strip(F.regexp_replace(c, "[$,%]", ""))
-    empty = bare.isNull() | F.upper(bare).isin(*_NULLS)
-    value = F.when(~empty & bare.rlike(_NUMBER), bare.try_cast("double"))
-    return F.struct(value.alias("value"), (~empty & value.isNull()).alias("bad"))
+
+    def told(bare: Column) -> Column:
+        empty = bare.isNull() | F.upper(bare).isin(*_NULLS)
+        value = F.when(~empty & bare.rlike(_NUMBER), bare.try_cast("double"))
+        return once(value, lambda v: F.struct(v.alias("value"), (~empty & v.isNull()).alias("bad")))
+
+    return once(strip(F.regexp_replace(c, "[$,%]", "")), told)
 
 
 def date(c: Column) -> Column:

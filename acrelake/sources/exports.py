@@ -133,6 +133,8 @@ def validated(raw: DataFrame, spec: ExportSpec, as_of: datetime.date | None = No
     texts, required dates, then field by field; with ``gather`` all parse errors joined by ``; ``, then the first range that fails. ``as_of``,
     the day of the run, bounds years and must be given where a field has such a bound. A file's day is taken from ``raw``."""
     values, texts, parses, ranges, mixed = [], [], [], [], []
+    # read once in a projection of its own: values, errors and bounds all look at what was read
+    raw = raw.select(*keep, *([spec.dated] if spec.dated else []), *[_read(F.col(f.name), f).alias(f.name) for f in spec.fields])
     for f in spec.fields:
         value, parse, limits = _parsed(F.col(f.name), f, as_of)
         values.append(value.alias(f.name))
@@ -152,17 +154,21 @@ def file_day(path: Column, spec: ExportSpec) -> Column:
     return F.try_to_date(F.nullif(F.regexp_extract(path, spec.pattern, 1), F.lit("")), "yyyyMMdd")
 
 
-def _parsed(c: Column, f: Field, as_of: datetime.date | None) -> tuple[Column, list[Column], list[Column]]:
-    bare = F.nullif(text.strip(c), F.lit(""))
+def _read(c: Column, f: Field) -> Column:
+    """The bare text of a string, of other kinds struct(value, bad)."""
+    if f.kind in ("string", "digits"):
+        return F.nullif(text.strip(c), F.lit(""))
+    if f.kind == "date":
+        return text.once(F.nullif(text.strip(c), F.lit("")), lambda bare: text.once(text.date(bare), lambda v: F.struct(v.alias("value"), (bare.isNotNull() & v.isNull()).alias("bad"))))
+    return text.number(c)
+
+
+def _parsed(read: Column, f: Field, as_of: datetime.date | None) -> tuple[Column, list[Column], list[Column]]:
     if f.kind == "string":
-        return bare, [F.when(bare.isNull(), f"{f.name}: required")] if f.required else [], []
+        return read, [F.when(read.isNull(), f"{f.name}: required")] if f.required else [], []
     if f.kind == "digits":
-        return bare, [F.when(~bare.rlike("^[0-9]+$"), f"{f.name}: not all digits")], []
-    if f.kind == "date":
-        value, bad = text.date(c), bare.isNotNull() & text.date(c).isNull()
-    else:
-        parsed = text.number(c)
-        value, bad = parsed["value"], parsed["bad"]
+        return read, [F.when(~read.rlike("^[0-9]+$"), f"{f.name}: not all digits")], []
+    value, bad = read["value"], read["bad"]
     parse, limits = [F.when(bad, f"{f.name}: not a {'date' if f.kind == 'date' else 'number'}")], []
     if f.required:
         parse.append(F.when(value.isNull(), f"{f.name}: required"))
@@ -194,10 +200,10 @@ def read_export(spark: SparkSession, path: str, spec: ExportSpec, as_of: datetim
     rows, headers = lines.read_rows(spark, path)
     names = F.transform("header", lambda h: F.lower(F.btrim(F.regexp_replace(F.coalesce(h, F.lit("")), "^\ufeff", ""))))
     judged = headers.select("file", names.alias("header")).select("file", "header", _header_error(F.col("header"), spec).alias("error"))
-    fit = judged.where("error IS NULL").select("file", "header")
+    # where a file has each column; -1, which gives null, where it lacks one
+    fit = judged.where("error IS NULL").select("file", *[(F.array_position("header", F.lit(c)) - 1).cast("int").alias(f"at_{c}") for c in spec.columns])
     # a row for each file, so few beside the rows that the join by file may be one by broadcast, if Spark finds it small
-    cells = rows.join(fit, "file").withColumn("cells", F.map_from_arrays("header", F.transform("header", lambda _, i: F.get("cells", i))))
-    raw = cells.select("file", "line", *[F.col("cells")[c].alias(c) for c in spec.columns])
+    raw = rows.join(fit, "file").select("file", "line", *[F.get("cells", F.col(f"at_{c}")).alias(c) for c in spec.columns])
     if spec.dated:
         raw = raw.withColumn(spec.dated, file_day(F.col("file"), spec))
     return validated(raw, spec, as_of, keep=("file", "line")), judged.where("error IS NOT NULL").select("file", "error")
